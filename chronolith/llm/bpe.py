@@ -190,16 +190,14 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarr
     return out, at
 
 
-_ENCODERS: dict[tuple, "Encoder"] = {}
+_ENCODER: list["Encoder"] = []
 
 
-def _encoder(shared, pattern: str) -> "Encoder":
+def _encoder(vocabulary: Vocabulary, pattern: str) -> "Encoder":
     """The encoder of this worker process, so that tasks after the first know its units."""
-    key = (shared.id, pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value, pattern)
-    return _ENCODERS[key]
+    if not _ENCODER or _ENCODER[0].vocabulary is not vocabulary or _ENCODER[0].pattern != pattern:
+        _ENCODER[:] = [Encoder(vocabulary, pattern)]
+    return _ENCODER[0]
 
 
 class Encoder:
@@ -211,7 +209,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.split = vocabulary, regex.compile(pattern)
+        self.vocabulary, self.pattern, self.split = vocabulary, pattern, regex.compile(pattern)
         self.forget()
 
     def forget(self) -> None:
@@ -311,7 +309,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)))
 
     def make():
-        encoder = _encoder(shared, pattern)
+        encoder = _encoder(shared.value, pattern)
 
         def run(column: pa.Array) -> list[pa.Array]:
             flat, at = encoder.encode([x or "" for x in column.to_pylist()])
@@ -344,7 +342,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
 
     def make():
         vocabulary = shared.value
-        encoder = _encoder(shared, pattern)
+        encoder = _encoder(shared.value, pattern)
 
         def run(column: pa.Array) -> list[pa.Array]:
             flat, at = encoder.encode([x or "" for x in column.to_pylist()])
