@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, secrets, simhash, topk, urls
+from . import bpe, decontaminate, secrets, simhash, suffix, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,8 +39,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_top_k, op3_secrets, op4_simhash, op5_url_filter, op8_byte_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_top_k, op3_secrets, op4_simhash, op5_url_filter, op8_byte_bpe, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
