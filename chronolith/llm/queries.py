@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets, simhash, suffix, topk, urls
-from .common import table
+from . import bpe, decontaminate, language, quality, secrets, simhash, suffix, topk, urls
+from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +36,20 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(crc_mod("doc_id", 4) != 2))
+    found = language.predict(docs, model)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -44,7 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_top_k, op3_secrets, op4_simhash, op5_url_filter, op8_byte_bpe, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_top_k, op3_secrets, op4_simhash, op5_url_filter, op6_quality, op7_language, op8_byte_bpe, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
