@@ -13,6 +13,7 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -99,16 +100,28 @@ def durable(df: DataFrame) -> DataFrame:
 
     A folder is set only where the session has none, as in tests.
     """
-    spark = df.sparkSession
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one of its own is set only where there is none, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        place = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        place = spark.conf.get("spark.checkpoint.dir", None)
         if not place:
             import tempfile
 
             place = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(place)
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``durable``, but as a compressed Parquet table in that folder."""
+    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -124,4 +137,4 @@ def crc_text(value: object) -> int:
     return zlib.crc32(str(value).encode())
 
 
-__all__ = ["STEP_BYTES", "carried", "crc_mod", "crc_text", "durable", "map_texts", "ragged", "steps", "table", "text_bytes"]
+__all__ = ["STEP_BYTES", "carried", "checkpoint_folder", "crc_mod", "crc_text", "durable", "map_texts", "ragged", "steps", "table", "text_bytes", "written"]
