@@ -191,11 +191,13 @@ def judge(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "t
     )
 
 
-def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows without any benchmark window; all columns, or ``keep``."""
-    keep = tuple(keep or docs.columns)
-    found = find(docs.withColumn("__whole", F.struct(*[F.col(f"`{c}`") for c in keep])), benchmark, n, text, ("__whole",))
-    return found.where(F.size("starts") == 0).select("__whole.*")
+def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text") -> DataFrame:
+    """The rows without any benchmark window, all columns as they were."""
+    at = docs.columns.index(text)
+    inner = [f"__c{i}" for i in range(len(docs.columns))]
+    found = find(docs.toDF(*inner), benchmark, n, inner[at], tuple(c for c in inner if c != inner[at]))
+    fine = found.where(F.size("starts") == 0)
+    return fine.select(*[F.col("__text" if i == at else f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "text") -> DataFrame:

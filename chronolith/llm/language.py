@@ -213,8 +213,8 @@ class Labeller:
         return sums(np.concatenate(found), counts) / np.maximum(1, counts)[:, None]
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, lang_pred and score (the mean marginal of that language)."""
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep``, lang_pred and score (the mean marginal of that language), under the names of ``out``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -234,7 +234,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
         return run
 
-    return map_texts(docs, text, keep, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], make, limit=12 << 20)
+    return map_texts(docs, text, keep, [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())], make, limit=12 << 20)
+
+
+def drop_unknown(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows with a language, all columns as they were."""
+    found = predict(docs, model, text, tuple(docs.columns), ("__lang_pred", "__lang_score"))
+    return found.where(F.col("__lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def label_words(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -183,15 +183,15 @@ def links(distinct: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
 
 
 def groups(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), doc_id: str = "doc_id", shingle: int = SHINGLE, long_list: int = LONG_LIST) -> DataFrame:
-    """The id, ``keep``, fp (long) and component_id: the smallest id that is reachable over links, its own included."""
-    names = carried(docs, [doc_id, *keep], ["fp", "component_id"])
+    """The id, ``keep``, fp (long), root (its component's smallest fp) and component_id: the smallest id that is reachable over links, its own included."""
+    names = carried(docs, [doc_id, *keep], ["fp", "root", "component_id"])
     marks = durable(mark(docs, text, tuple(names), shingle))
     distinct = durable(marks.groupBy("fp").agg(F.min(f"`{doc_id}`").alias("first")))
     found = durable(components(links(distinct.select("fp"), long_list)))
     least = found.join(distinct, found["node"] == distinct["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marks.join(named, "fp").select(*[F.col(f"`{c}`") for c in names], "fp", "component_id")
+    linked = found.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return marks.join(named, "fp").select(*[F.col(f"`{c}`") for c in names], "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -206,24 +206,25 @@ def components_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of the table, one of each component: that of its smallest id.
 
-    A component without any id keeps one row too. Of rows that repeat the
-    smallest id one stays: the one of the least text.
+    A component without any id keeps one row too. Of its rows that repeat the
+    smallest id one stays, that of the least hash of its text.
     """
-    found = groups(docs, text, (), doc_id).select(F.col(f"`{doc_id}`").alias("__id"), "fp", "component_id")
-    named = found.where("__id = component_id").select("__id").distinct()
-    rows = docs.join(named, docs[f"`{doc_id}`"] == named["__id"], "left_semi")
-    counts = rows.groupBy(f"`{doc_id}`").count().where("count > 1")
-    if not durable(counts.limit(1)).isEmpty():
-        rows = _one_of_each(rows, doc_id, text)
+    digest = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    plain = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__t"), digest.alias("__digest"))
+    found = durable(groups(plain, "__t", ("__digest",), "__id"))
+    kept = found.where("__id = component_id").groupBy("__id", "root").agg(F.min("__digest").alias("__own")).select("__id", "__own")
+    rows = docs.join(kept, (docs[f"`{doc_id}`"] == kept["__id"]) & (digest == kept["__own"]), "left_semi")
+    if not found.where("__id = component_id").groupBy("__id", "__digest").count().where("count > 1").limit(1).isEmpty():
+        rows = _one_of_each(rows, text, F.col(f"`{doc_id}`"), digest)
     if found.where("component_id is null").limit(1).isEmpty():
         return rows
     return rows.unionByName(_without_ids(docs, text, doc_id))
 
 
-def _one_of_each(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row for each id, that of the least text; combined before the shuffle."""
+def _one_of_each(rows: DataFrame, text: str, *keys: Column) -> DataFrame:
+    """One row for each key, that of the least text; combined before the shuffle."""
     whole = F.struct(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in rows.columns if c != text])
-    best = rows.groupBy(F.col(f"`{doc_id}`").alias("__id")).agg(F.min(whole).alias("__row"))
+    best = rows.groupBy(*[k.alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.min(whole).alias("__row"))
     return best.select(*[F.col("__row").getField(c).alias(c) for c in rows.columns])
 
 
@@ -235,4 +236,4 @@ def _without_ids(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     grouped = groups(numbered, "__t", ("__has",), "__number").groupBy("component_id").agg(F.max("__has").alias("has"))
     wanted = numbered.join(grouped.where("not has"), numbered["__number"] == grouped["component_id"]).select("__digest")
     rows = docs.where(F.col(f"`{doc_id}`").isNull()).withColumn("__digest", digest).join(wanted, "__digest")
-    return _one_of_each(rows.withColumnRenamed(doc_id, "__null_id"), "__digest", text).select(*[F.col("__null_id").alias(c) if c == doc_id else F.col(f"`{c}`") for c in docs.columns])
+    return _one_of_each(rows.withColumnRenamed(doc_id, "__null_id"), text, F.col("__digest")).select(*[F.col("__null_id").alias(c) if c == doc_id else F.col(f"`{c}`") for c in docs.columns])
