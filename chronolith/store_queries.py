@@ -1,6 +1,182 @@
-def queries():
-    return {}
+"""Registered queries of the store, its metadata, the codecs and the text format, each with checking SQL.
 
+They write ``events``, times cut to minutes, into a scratch store as a first
+batch and every third event again, with other values and some times moved, as a second.
+"""
 
-def oracle_sql():
-    return {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .plans.syntax import NAME, parse_selector
+from .sources import codecs, derived, wal
+from .sources.exposition import parse_lines, render_lines
+from .sources.store import MetricStore
+
+#: 2024-01-10, and a bucket's start and a moment of some days later.
+CUT = 1_704_844_800_000
+LATER = CUT + 5 * 86_400_000 + 12_345_000
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: under the checkpoint folder, or a temporary one where none is set, as in tests."""
+    context = spark.sparkContext
+    place = context._jsc.sc().getCheckpointDir()
+    root = place.get() if place.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")
+    return f"{root if ':' in root else 'file://' + root}/stores/{uuid.uuid4().hex}"
+
+
+def first_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.events(spark, sf_dir)
+    labels = F.create_map(F.lit(NAME), F.lit("ev"), F.lit("event_type"), "event_type")
+    return rows.select(labels.alias("labels"), (F.col("t") - F.col("t") % 60_000).alias("ts"), "value", "event_id")
+
+
+def second_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = first_batch(spark, sf_dir).where("event_id % 3 = 0")
+    return rows.withColumns({"ts": F.col("ts") + 60_000 * (F.col("event_id") % 2), "value": F.col("value") + 1000})
+
+
+def _store(spark: SparkSession, sf_dir: str, *more: str) -> MetricStore:
+    store = MetricStore(spark, scratch(spark))
+    store.ingest(first_batch(spark, sf_dir), "event_id")
+    for how in more:
+        getattr(store, how)(second_batch(spark, sf_dir), "event_id")
+    return store
+
+
+def _flat(store: MetricStore, samples: DataFrame | None = None) -> DataFrame:
+    rows = (store.samples() if samples is None else samples).join(store.series(), "sid")
+    return rows.select(F.col("labels")["event_type"].alias("event_type"), "ts", F.round("value", 6).alias("value"))
+
+
+def sk1_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_store(spark, sf_dir, "ingest"))
+
+
+def sk2_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(_store(spark, sf_dir, "import_samples"))
+
+
+def sk3_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).ingest(second_batch(spark, sf_dir), "event_id")
+
+
+def sk5_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    wal.append(first_batch(spark, sf_dir).orderBy("event_id"), path)
+    store = MetricStore(spark, scratch(spark))
+    wal.replay(spark, path, store)
+    return _flat(store)
+
+
+def sk7_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _store(spark, sf_dir).export_lines([parse_selector('ev{event_type=~"c.*"}')], CUT, LATER)
+    parsed = lines.select(F.from_json("value", "metric map<string,string>, values array<double>, timestamps array<long>").alias("x"))
+    points = parsed.select(F.col("x.metric")["event_type"].alias("event_type"), F.explode(F.arrays_zip("x.timestamps", "x.values")).alias("p"))
+    return points.select("event_type", F.col("p.timestamps").alias("ts"), F.round("p.values", 6).alias("value"))
+
+
+def sc1_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _store(spark, sf_dir, "ingest").select(parse_selector('{event_type!="click"}'), CUT, LATER)
+    return rows.select(F.col("labels")["event_type"].alias("event_type"), "ts", F.round("value", 6).alias("value"))
+
+
+def sc2_select_at_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _store(spark, sf_dir).select_at_steps(parse_selector("ev"), CUT, LATER, 21_600_000, 3_600_000)
+    return rows.select(F.col("labels")["event_type"].alias("event_type"), "ts", F.round("value", 6).alias("value"))
+
+
+def d1_series_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _store(spark, sf_dir).series_matching(parse_selector('{event_type=~".*c.*"}'), CUT, CUT + 3_600_000)
+    return found.select(F.col("labels")["event_type"].alias("event_type"))
+
+
+def d2_label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).label_names()
+
+
+def d3_label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).label_values("event_type")
+
+
+def d4_delete_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir, "ingest")
+    store.delete_before(LATER)
+    return _flat(store)
+
+
+def d5_delete_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    store.delete_before_batch(LATER, 10**9)
+    store.finalize_retention()
+    return _flat(store)
+
+
+def d7_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir, "ingest")
+    store.compact_before(LATER)
+    return _flat(store)
+
+
+def d10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _store(spark, sf_dir).stats(LATER)
+    return spark.createDataFrame([(s["seriesCount"], s["sampleCount"], s["oldestSampleMs"], s["newestSampleMs"], s["samplesLastHour"])], "series_count long, sample_count long, oldest long, newest long, last_hour long")
+
+
+def d13_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, sf_dir).rollup()
+
+
+def sc6_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.events(spark, sf_dir)
+    labels = F.create_map(F.lit(NAME), F.lit("ev"), F.lit("event_type"), "event_type", F.lit("id"), F.col("event_id").cast("string"))
+    parsed = parse_lines(render_lines(rows.select(labels.alias("labels"), "value")))
+    return parsed.select("name", F.col("labels")["event_type"].alias("event_type"), F.col("labels")["id"].alias("id"), F.round("value", 6).alias("value"))
+
+
+def cd2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = derived.samples(spark, sf_dir, frozenset(["events_value"])).select(F.col("labels")["event_type"].alias("event_type"), "ts", "value")
+    return codecs.unpack(codecs.pack(rows, ["event_type"]), ["event_type"]).select("event_type", "ts", F.round("value", 6).alias("value"))
+
+
+_QUERIES = (sk1_upsert, sk2_import, sk3_changes, sk5_log_replay, sk7_export, sc1_select, sc2_select_at_steps, d1_series_matching, d2_label_names, d3_label_values, d4_delete_before, d5_delete_batches, d7_compaction, d10_stats, d13_rollup, sc6_exposition, cd2_blocks)
+
+_BASE = """WITH ev AS (SELECT event_id, event_type, value, epoch_ms(ts) AS t FROM events),
+a AS (SELECT event_type, t - t % 60000 AS ts, event_id, value FROM ev),
+b AS (SELECT event_type, ts + 60000 * (event_id % 2) AS ts, event_id, value + 1000 AS value FROM a WHERE event_id % 3 = 0),
+a1 AS (SELECT event_type, ts, arg_max(value, event_id) AS value FROM a GROUP BY ALL),
+b1 AS (SELECT event_type, ts, arg_max(value, event_id) AS value FROM b GROUP BY ALL),
+up AS (SELECT event_type, ts, coalesce(b1.value, a1.value) AS value FROM a1 FULL JOIN b1 USING (event_type, ts)) """
+_ROWS = "SELECT event_type, ts, round(value, 6) AS value FROM "
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in _QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    bucket = LATER - LATER % 21_600_000
+    return {
+        "sk1_upsert": _BASE + _ROWS + "up",
+        "sk2_import": _BASE + "SELECT event_type, ts, round(coalesce(a1.value, b1.value), 6) AS value FROM a1 FULL JOIN b1 USING (event_type, ts)",
+        "sk3_changes": _BASE + "SELECT ts, count(*) AS sample_count FROM b1 ANTI JOIN a1 USING (event_type, ts) GROUP BY ts",
+        "sk5_log_replay": _BASE + _ROWS + "a1",
+        "sk7_export": _BASE + _ROWS + f"a1 WHERE event_type LIKE 'c%' AND ts BETWEEN {CUT} AND {LATER}",
+        "sc1_select": _BASE + _ROWS + f"up WHERE event_type <> 'click' AND ts BETWEEN {CUT} AND {LATER}",
+        "sc2_select_at_steps": _BASE + f"SELECT DISTINCT event_type, ts, round(value, 6) AS value FROM (SELECT e, event_type, max(ts) AS ts, arg_max(value, ts) AS value FROM a1 JOIN (SELECT unnest(range({CUT}, {LATER + 1}, 21600000)) AS e) ON ts > e - 3600000 AND ts <= e GROUP BY e, event_type)",
+        "d1_series_matching": _BASE + f"SELECT DISTINCT event_type FROM a1 WHERE event_type LIKE '%c%' AND ts BETWEEN {CUT} AND {CUT + 3_600_000}",
+        "d2_label_names": "SELECT unnest(['__name__', 'event_type']) AS name",
+        "d3_label_values": "SELECT DISTINCT event_type AS value FROM events",
+        "d4_delete_before": _BASE + _ROWS + f"up WHERE ts >= {LATER}",
+        "d5_delete_batches": _BASE + _ROWS + f"a1 WHERE ts >= {bucket}",
+        "d7_compaction": _BASE + _ROWS + "up",
+        "d10_stats": _BASE + f"SELECT count(DISTINCT event_type) AS series_count, count(*) AS sample_count, min(ts) AS oldest, max(ts) AS newest, count(*) FILTER (WHERE ts >= {LATER - 3_600_000}) AS last_hour FROM a1",
+        "d13_rollup": _BASE + "SELECT ts AS bucket_ms, count(*) AS sample_count FROM a1 GROUP BY ts",
+        "sc6_exposition": "SELECT 'ev' AS name, event_type, CAST(event_id AS VARCHAR) AS id, round(value, 6) AS value FROM events",
+        "cd2_blocks": "SELECT event_type, epoch_ms(ts) AS ts, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY 1, 2",
+    }
