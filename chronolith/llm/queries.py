@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language, lm, quality, secrets, simhash, suffix, topk, urls
 from .common import crc_mod, table
+from .sql import oracle_sql
+
+__all__ = ["oracle_sql", "queries"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -67,7 +70,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_decontaminate, op2_top_k, op3_secrets, op4_simhash, op5_url_filter, op6_quality, op7_language, op8_byte_bpe, op9_lm_score, op10_suffix_dedup)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
