@@ -210,7 +210,8 @@ class Labeller:
     def means(self, texts: list[bytes]) -> np.ndarray:
         found = self.marginals(texts)
         counts = np.array([len(m) for m in found], np.int64)
-        return sums(np.concatenate(found), counts) / np.maximum(1, counts)[:, None]
+        # Matrix products may round differently from one batch to the next.
+        return np.round(sums(np.concatenate(found), counts) / np.maximum(1, counts)[:, None], 9)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

@@ -67,10 +67,12 @@ class WordTable:
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Sum of the next ``counts[i]`` values for each i."""
-    total = np.concatenate((np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0)))
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+    """Sum of the next ``counts[i]`` values for each i; a sum doesn't depend on its neighbours."""
+    out = np.zeros((len(counts), *values.shape[1:]))
+    some = counts > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(counts) - counts)[some], axis=0)
+    return out
 
 
 def sampled(column: Column, share: float) -> Column:
