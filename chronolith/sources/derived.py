@@ -6,6 +6,8 @@ no task has to order all events of a type.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", t.alias("t"), F.col("user_id").cast("string").alias("user_id"), "event_type", "value")
 
 
-def _series(rows: DataFrame, name: str, labels: dict[str, Column], value: Column, order: str = "event_id") -> DataFrame:
-    """(labels, ts, value) with the last event of a series and millisecond."""
-    keys = list(labels)
-    named = rows.select(*[c.alias(f"l_{k}") for k, c in labels.items()], F.col("t").alias("ts"), value.cast("double").alias("value"), F.col(order).alias("__order"))
-    once = named.groupBy(*[f"l_{k}" for k in keys], "ts").agg(F.max_by("value", "__order").alias("value"))
-    pairs = [F.lit(NAME), F.lit(name)] + [x for k in keys for x in (F.lit(k), F.col(f"l_{k}"))]
-    return once.select(F.create_map(*pairs).alias("labels"), "ts", "value")
+def _sid(name: str, keys: list[str]) -> Column:
+    return F.xxhash64(F.lit(name), *keys).alias("sid")
+
+
+def _samples(rows: DataFrame, name: str, keys: list[str], value: Column) -> DataFrame:
+    """(sid, ts, value) with the last event of a series and millisecond."""
+    once = rows.select(*keys, F.col("t").alias("ts"), value.cast("double").alias("value"), "event_id").groupBy(*keys, "ts").agg(F.max_by("value", "event_id").alias("value"))
+    return once.select(_sid(name, keys), "ts", "value")
+
+
+def _series(rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """(sid, labels) from the distinct keys alone: values and windows aren't computed for it."""
+    pairs = [F.lit(NAME), F.lit(name)] + [x for k in keys for x in (F.lit(k), F.col(k))]
+    return rows.select(*keys).distinct().select(_sid(name, keys), F.create_map(*pairs).alias("labels"))
 
 
 def _running(rows: DataFrame, keys: list[str], amount: Column) -> DataFrame:
@@ -41,38 +50,27 @@ def _running(rows: DataFrame, keys: list[str], amount: Column) -> DataFrame:
     return rows.withColumn("inner", inner).join(hours, [*keys, "h"]).withColumn("n", F.col("before") + F.col("inner"))
 
 
-
-
-def samples(spark: SparkSession, sf_dir: str, names: frozenset[str]) -> DataFrame:
-    """(labels, ts, value) of the named metrics."""
-    rows = events(spark, sf_dir)
-    by_type = {"event_type": F.col("event_type")} if names else {}
-    parts = []
-    if "events_value" in names:
-        parts.append(_series(rows, "events_value", by_type, F.col("value")))
-    if "events_user_value" in names:
-        parts.append(_series(rows, "events_user_value", {**by_type, "user_id": F.col("user_id")}, F.col("value")))
-    if names & {"events_total", "events_cycle"}:
-        counted = _running(rows, ["event_type"], F.lit(1))
-        if "events_total" in names:
-            parts.append(_series(counted, "events_total", by_type, F.col("n")))
-        if "events_cycle" in names:
-            parts.append(_series(counted, "events_cycle", by_type, F.col("n") % 50))
-    if "events_bucket" in names:
-        bounds = F.explode(F.array(*[F.lit(b) for b in BOUNDS]))
-        wide = rows.withColumn("le", bounds)
-        fits = F.when(F.col("le") == "+Inf", 1).otherwise((F.col("value") <= F.expr("try_cast(le as double)")).cast("int"))
-        parts.append(_series(_running(wide, ["event_type", "le"], fits), "events_bucket", {**by_type, "le": F.col("le")}, F.col("n")))
-    if names & {"hourly_count", "hourly_sum"}:
-        hours = rows.withColumn("t", F.ceil(F.col("t") / HOUR_MS) * HOUR_MS).groupBy("event_type", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"))
-        for name, column in (("hourly_count", "n"), ("hourly_sum", "s")):
-            if name in names:
-                parts.append(_series(hours.withColumn("event_id", F.lit(0)), name, by_type, F.col(column)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+BY_TYPE = ["event_type"]
 
 
 def source(spark: SparkSession, sf_dir: str, names: frozenset[str]) -> Source:
-    return Source.of(samples(spark, sf_dir, names))
+    """The named metrics."""
+    rows = events(spark, sf_dir)
+    wide = rows.withColumn("le", F.explode(F.array(*[F.lit(b) for b in BOUNDS])))
+    hours = rows.withColumn("t", F.ceil(F.col("t") / HOUR_MS) * HOUR_MS).groupBy("event_type", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.lit(0).alias("event_id"))
+    counted = _running(rows, BY_TYPE, F.lit(1))
+    fits = F.when(F.col("le") == "+Inf", 1).otherwise((F.col("value") <= F.expr("try_cast(le as double)")).cast("int"))
+    # name: rows with values, the value, rows with the keys, the keys
+    metrics = {
+        "events_value": (rows, F.col("value"), rows, BY_TYPE),
+        "events_user_value": (rows, F.col("value"), rows, ["event_type", "user_id"]),
+        "events_total": (counted, F.col("n"), rows, BY_TYPE),
+        "events_cycle": (counted, F.col("n") % 50, rows, BY_TYPE),
+        "events_bucket": (_running(wide, ["event_type", "le"], fits), F.col("n"), wide, ["event_type", "le"]),
+        "hourly_count": (hours, F.col("n"), rows, BY_TYPE),
+        "hourly_sum": (hours, F.col("s"), rows, BY_TYPE),
+    }
+    chosen = [(name, *metrics[name]) for name in sorted(names)]
+    samples = reduce(DataFrame.unionByName, [_samples(r, name, keys, value) for name, r, value, _, keys in chosen])
+    series = reduce(DataFrame.unionByName, [_series(r, name, keys) for name, _, _, r, keys in chosen])
+    return Source(series, samples)

@@ -140,7 +140,7 @@ def sc6_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cd2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = derived.samples(spark, sf_dir, frozenset(["events_value"])).select(F.col("labels")["event_type"].alias("event_type"), "ts", "value")
+    rows = derived.events(spark, sf_dir).groupBy("event_type", F.col("t").alias("ts")).agg(F.max_by("value", "event_id").alias("value"))
     return codecs.unpack(codecs.pack(rows, ["event_type"]), ["event_type"]).select("event_type", "ts", F.round("value", 6).alias("value"))
 
 
