@@ -36,7 +36,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    return urls.judge(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
