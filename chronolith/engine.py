@@ -61,24 +61,29 @@ class Engine:
     def _value(self, tree, grid: Grid) -> Vector | Scalar | String:
         return Lowering(self.source, grid, self.lookback).value(tree)
 
-    def table(self, query: str, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
-        """``(labels, step, value)`` of a range query, lazily; the step is the time in milliseconds. A scalar has no labels."""
+    def _rows(self, query: str, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
+        """``(sid, labels, step, value)``; series that differ in their name alone stay apart by their id."""
         tree = parse(query)
         grid = self._grid(tree, start_ms, end_ms, step_ms)
         value = self._value(tree, grid)
         if isinstance(value, String):
             raise QueryError("string expressions are not valid in range queries")
         if isinstance(value, Scalar):
-            rows = value.table(grid, self.source.samples.sparkSession).withColumn("labels", F.create_map().cast("map<string,string>"))
+            rows = value.table(grid, self.source.samples.sparkSession)
+            rows = rows.withColumns({"sid": F.lit("{}"), "labels": F.create_map().cast("map<string,string>")})
         else:
             rows = value.labelled()
-        return rows.select("labels", grid.time().alias("step"), "value")
+        return rows.select("sid", "labels", grid.time().alias("step"), "value")
+
+    def table(self, query: str, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
+        """``(labels, step, value)`` of a range query, lazily; the step is the time in milliseconds. A scalar has no labels."""
+        return self._rows(query, start_ms, end_ms, step_ms).drop("sid")
 
     def range_query(self, query: str, start_ms: int, end_ms: int, step_ms: int) -> dict:
-        rows = self.table(query, start_ms, end_ms, step_ms)
-        each = rows.groupBy(canonical(F.col("labels")).alias("key")).agg(F.first("labels").alias("metric"), F.array_sort(F.collect_list(F.struct("step", "value"))).alias("points"))
-        result = [{"metric": r.metric or {}, "values": [[p.step / 1000, number_text(p.value)] for p in r.points]} for r in each.orderBy("key").collect()]
-        return {"resultType": "matrix", "result": result}
+        rows = self._rows(query, start_ms, end_ms, step_ms)
+        each = rows.groupBy("sid").agg(F.first("labels").alias("metric"), F.array_sort(F.collect_list(F.struct("step", "value"))).alias("points"))
+        ordered = each.orderBy(canonical(F.col("metric")), "sid").collect()
+        return {"resultType": "matrix", "result": [{"metric": r.metric or {}, "values": [[p.step / 1000, number_text(p.value)] for p in r.points]} for r in ordered]}
 
     def instant_query(self, query: str, time_ms: int) -> dict:
         tree, at = parse(query), time_ms / 1000

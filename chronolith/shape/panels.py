@@ -116,11 +116,12 @@ def parse_panel(source: str, load) -> Panel:
 
 
 def align(rows: DataFrame, start_ms: int, end_ms: int, step_ms: int) -> DataFrame:
-    """A row for each series of (labels, step, value): its values on the whole grid, null where there is none."""
+    """A row for each label set of (labels, step, value): its values on the whole grid, null where there is none; the last counts in a slot."""
     n = (end_ms - start_ms) // step_ms + 1
     slot = F.floor((F.col("step") - start_ms) / F.lit(float(step_ms)) + 0.5).cast("int")
-    fits = rows.select("labels", slot.alias("slot"), "value").where((F.col("slot") >= 0) & (F.col("slot") < n))
-    each = fits.groupBy(canonical(F.col("labels")).alias("key")).agg(F.first("labels").alias("labels"), F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
+    fits = rows.select("labels", "step", slot.alias("slot"), "value").where((F.col("slot") >= 0) & (F.col("slot") < n))
+    once = fits.groupBy(canonical(F.col("labels")).alias("key"), "slot").agg(F.first("labels").alias("labels"), F.max_by("value", "step").alias("value"))
+    each = once.groupBy("key").agg(F.first("labels").alias("labels"), F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
     return each.select("labels", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at("m", i)).alias("values"))
 
 

@@ -112,6 +112,12 @@ def test_scalars_and_absence(spark):
     assert e.range_query("1h / 60", 0, 60_000, 30_000)["result"][0]["values"] == [[0, "60"], [30, "60"], [60, "60"]]
 
 
+def test_series_that_lose_their_names(spark):
+    e = engine(spark, ("a", {"x": "1"}, [(T, 1)]), ("b", {"x": "1"}, [(T, 2)]))
+    got = e.range_query('abs({x="1"})', T, T, 1000)["result"]
+    assert [r["metric"] for r in got] == [{"x": "1"}] * 2 and sorted(r["values"][0][1] for r in got) == ["1", "2"]
+
+
 ERRORS = {
     "c[5m]": "range queries require an instant vector",
     "m[5m:1m]": "subqueries are not supported",
