@@ -355,6 +355,3 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
         return run
 
     return map_texts(docs, text, keep, fields, make)
-
-
-__all__ = ["Encoder", "Vocabulary", "decode", "decode_ids", "encode", "encode_pieces", "read_ranks", "round_trip"]

@@ -14,7 +14,6 @@ Conventions of every operator here:
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -131,10 +130,3 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
     return np.arange(total, dtype=np.int64) + shift
-
-
-def crc_text(value: object) -> int:
-    return zlib.crc32(str(value).encode())
-
-
-__all__ = ["STEP_BYTES", "carried", "checkpoint_folder", "crc_mod", "crc_text", "durable", "map_texts", "ragged", "steps", "table", "text_bytes", "written"]

@@ -18,7 +18,6 @@ alike; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -229,6 +228,3 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: s
 
     return source.mapInArrow(run, schema)
 
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
