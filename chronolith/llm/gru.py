@@ -8,6 +8,10 @@ text, and what a text begins after.
 
 from __future__ import annotations
 
+import ctypes
+from functools import cache
+from pathlib import Path
+
 import numpy as np
 
 EMBEDDING, HIDDEN, CLASS = 16, 24, 32
@@ -16,6 +20,18 @@ WINDOW, LANES = 24, 64
 RATE = 0.01
 
 
+@cache
+def one_thread() -> None:
+    """A task has one core: a second thread of the matrix library only waits for products this small."""
+    maps = Path("/proc/self/maps")
+    for path in {line.split()[-1] for line in maps.read_text().splitlines() if "openblas" in line} if maps.exists() else ():
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -29,6 +45,7 @@ class Gru:
     def __init__(self, counts: np.ndarray, rare: float, seed: int = 0):
         """``counts`` of the frequent tokens, a multiple of CLASS of them, and of all others together; output starts as their unigram model."""
         self.words, self.classes = len(counts), len(counts) // CLASS
+        self.moments, self.seen = {}, 0
         rng = np.random.default_rng(seed)
         shape = {"e": (self.words + 1, EMBEDDING), "wx": (EMBEDDING, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "bn": (HIDDEN,), "wc": (HIDDEN, self.classes + 1), "bc": (self.classes + 1,), "ww": (self.classes, HIDDEN, CLASS), "bw": (self.classes, CLASS)}
         self.p = {k: np.zeros(s, np.float32) for k, s in shape.items()}
@@ -112,25 +129,29 @@ class Gru:
         return result
 
     def fit(self, stream: np.ndarray, rate: float = RATE) -> None:
-        """One pass over a stream of texts (tokens, then 0, for each) by truncated backpropagation through time, with adaptive moments."""
-        lanes = int(np.clip(len(stream) // 256, 1, LANES))
-        long = len(stream) // lanes
-        if not long:
+        """One pass over all of a stream of texts (tokens, then 0, for each) by truncated backpropagation through time, with adaptive moments that go on from call to call."""
+        if not len(stream):
             return
-        target = stream[: lanes * long].reshape(lanes, long).T
-        given = np.concatenate((np.zeros((1, lanes), stream.dtype), target[:-1]))
+        lanes = int(np.clip(len(stream) // 256, 1, LANES))
+        long = -(-len(stream) // lanes)
+        target = np.full(lanes * long, -1, stream.dtype)  # the last lane ends with fewer than ``lanes`` steps without a target
+        target[: len(stream)] = stream
+        target = target.reshape(lanes, long).T
+        given = np.concatenate((np.zeros((1, lanes), stream.dtype), np.maximum(target[:-1], 0)))
         h = np.zeros((lanes, HIDDEN), np.float32)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for n, at in enumerate(range(0, long, WINDOW), 1):
+        if not self.moments:
+            self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        for at in range(0, long, WINDOW):
+            self.seen += 1
             grads, h = self._gradients(given[at : at + WINDOW], target[at : at + WINDOW], h)
             for k, g in grads.items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.01 * (g * g - second[k])
-                self.p[k] -= rate * (first[k] / (1 - 0.9**n)) / (np.sqrt(second[k] / (1 - 0.99**n)) + 1e-5)
+                first, second = self.moments[k]
+                first += 0.1 * (g - first)
+                second += 0.01 * (g * g - second)
+                self.p[k] -= rate * (first / (1 - 0.9**self.seen)) / (np.sqrt(second / (1 - 0.99**self.seen)) + 1e-5)
 
     def _gradients(self, given: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        """Gradients of the mean negative log-likelihood of a window, and the state after it."""
+        """Gradients of the mean negative log-likelihood of a window, and the state after it. Targets of -1 don't count."""
         p, k = self.p, HIDDEN
         steps, lanes = given.shape
         kept = []
@@ -147,14 +168,15 @@ class Gru:
             hs[t] = h
         g = {name: np.zeros_like(v) for name, v in p.items()}
         flat, goal = hs.reshape(-1, k), target.reshape(-1)
-        total = np.float32(len(goal))
+        total = np.float32((goal >= 0).sum())
         group = np.minimum(goal // CLASS, self.classes)
         d = np.exp(_log_softmax(flat @ p["wc"] + p["bc"]))
         d[np.arange(len(goal)), group] -= 1
+        d[goal < 0] = 0
         d /= total
         g["wc"], g["bc"] = flat.T @ d, d.sum(0)
         dh = d @ p["wc"].T
-        for c in np.unique(group[group < self.classes]):
+        for c in np.unique(group[(group >= 0) & (group < self.classes)]):
             own = np.flatnonzero(group == c)
             d = np.exp(_log_softmax(flat[own] @ p["ww"][c] + p["bw"][c]))
             d[np.arange(len(own)), goal[own] % CLASS] -= 1

@@ -13,7 +13,7 @@ unseen words have a probability too and texts are scored whole. It is trained
 where the data are: in each of ``ROUNDS`` rounds every task takes the weights
 of the round before, runs truncated backpropagation over its training texts
 whose hash falls in the round's 1 of ``SHARE`` parts, and the results are averaged, by
-tokens. Work and tokens seen grow with the corpus.
+tokens. There are as many parts as rounds, so each training text is learnt from once.
 
 Rows: null and empty texts have one token, the end; ids may be null (then
 learnt from, and not held out) or repeated. Without training texts all counts are
@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import carried, steps, text_bytes, written
-from .gru import CLASS, Gru
+from .gru import CLASS, Gru, one_thread
 
 FREQUENT = 1 << 18
 OUTPUTS = 1024
-ROUNDS, SHARE = 2, 32
+ROUNDS, SHARE = 2, 2
+#: Tokens that a task holds at once to train on; twice as many at most, and a text.
+BLOCK = 1 << 20
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 #: Logarithmic bins of counts, for each doubling.
@@ -127,18 +129,25 @@ def train(docs: DataFrame, lexicon: Lexicon, text: str = "text", doc_id: str = "
         now = context.broadcast(weights)
 
         def fit(batches, now=now):
-            lexicon, found = words_.value, []
+            one_thread()
+            lexicon, found, held, n = words_.value, [], 0, 0
+            model = lexicon.model().load(now.value)
             for part in steps(batches):
                 raw, at = text_bytes(part.column(0))
                 view = raw.tobytes()
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     ids, _ = lexicon.tokens(view[a:b])
                     found.append(np.append(_inputs(ids, lexicon), 0).astype(np.int32))
-            if found:
-                stream = np.concatenate(found).astype(np.int64)
-                model = lexicon.model().load(now.value)
-                model.fit(stream)
-                yield _weights(len(stream), model.flat().astype(np.float64))
+                    held, n = held + len(ids) + 1, n + len(ids) + 1
+                    if held >= 2 * BLOCK:
+                        stream = np.concatenate(found)
+                        while len(stream) >= 2 * BLOCK:
+                            model.fit(stream[:BLOCK].astype(np.int64))
+                            stream = stream[BLOCK:]
+                        found, held = [stream], len(stream)
+            if n:
+                model.fit(np.concatenate(found).astype(np.int64))
+                yield _weights(n, model.flat().astype(np.float64))
 
         def merge(batches):
             n, total = 0, 0.0
@@ -183,6 +192,7 @@ def _passes(source: DataFrame, names: list[str], lexicon: Lexicon, weights: np.n
     schema = T.StructType([source.schema[c] for c in names] + [T.StructField(n, k) for (n, _), k in zip(_FIELDS, kinds, strict=True)])
 
     def run(batches):
+        one_thread()
         lexicon = words_.value
         model = lexicon.model().load(now.value)
         logs = np.log10(lexicon.counts + 1.0)

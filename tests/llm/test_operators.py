@@ -372,6 +372,22 @@ def test_lm(spark, small, small_texts, frequent):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_lm_trains_on_each_text(spark):
+    for i in range(6):
+        df = docs_of(spark, [f"alpha beta {i} alpha beta"], 1)
+        lexicon, _ = lm.learn_lexicon(lm.count_words(df), 1)
+        assert not np.array_equal(lm.train(df, lexicon), lexicon.model().flat()), i
+
+
+def test_gru_trains_on_the_end_of_a_stream():
+    m = Gru(np.ones(64), 3.0)
+    stream = np.arange(3 * 256 + 2) % 32
+    stream[-2:] = 40  # a class that only the end has
+    before = m.p["bw"][1].copy()
+    m.fit(stream)
+    assert m.p["bw"][1, 8] == m.p["bw"][1].max() and (m.p["bw"][1] != before).all()
+
+
 def test_gru_gradients_and_normalisation():
     rng = np.random.default_rng(1)
     m = Gru(np.ones(64), 3.0, 1)
