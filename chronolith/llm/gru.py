@@ -1,8 +1,9 @@
 """A gated recurrent language model in numpy with a class-factored softmax.
 
 The model knows ``words`` frequent tokens and treats the rest as one rare token.
-Output is factored: a softmax over classes of tokens (the rare token is the
-last class), then one over the tokens of the class. Token 0 is the end of a
+Output is factored twice, so that its cost grows slowly with ``words``: a softmax
+over groups of classes (the rare token is the last group), one over the classes of the
+group, then one over the tokens of the class. Token 0 is the end of a
 text, and what a text begins after.
 """
 
@@ -18,7 +19,10 @@ EMBEDDING, HIDDEN, CLASS = 16, 24, 32
 #: Steps of truncated backpropagation, and lanes of a training stream.
 WINDOW, LANES = 24, 64
 RATE = 0.01
-
+#: Parameters of which a token touches a row alone.
+ROWS = ("e", "wm", "bm", "ww", "bw")
+#: Tokens of a class from which it has a product of its own, and the others that are gathered at once.
+MANY, GATHERED = 16, 2048
 
 @cache
 def one_thread() -> None:
@@ -41,19 +45,68 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(-1, keepdims=True))
 
 
+def _runs(group: np.ndarray):
+    """(group, places) of the groups with many places, one by one; then all others, sorted, as (None, places)."""
+    order = np.argsort(group, kind="stable")
+    each, begin, n = np.unique(group[order], return_index=True, return_counts=True)
+    for j in np.flatnonzero(n >= MANY).tolist():
+        yield int(each[j]), order[begin[j] : begin[j] + n[j]]
+    few = order[np.repeat(n < MANY, n)]
+    for at in range(0, len(few), GATHERED):
+        yield None, few[at : at + GATHERED]
+
+
+def _ranks(rows: np.ndarray):
+    """Places of the first of each row, of the second, …: no row twice in one of them."""
+    order = np.argsort(rows, kind="stable")
+    _, begin, n = np.unique(rows[order], return_index=True, return_counts=True)
+    rank = np.arange(len(rows)) - np.repeat(begin, n)
+    for r in range(int(n.max()) if len(n) else 0):
+        yield order[rank == r]
+
+
+def _inside(h: np.ndarray, w: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Log-softmax of each row of ``h`` by the weights of its group."""
+    z = np.empty((len(h), CLASS), np.result_type(h, w))
+    for c, own in _runs(group):
+        z[own] = h[own] @ w[c] + b[c] if c is not None else np.matmul(h[own, None], w[group[own]])[:, 0] + b[group[own]]
+    return _log_softmax(z)
+
+
+def _inside_gradients(h: np.ndarray, w: np.ndarray, d: np.ndarray, group: np.ndarray):
+    """Touched groups, gradients of their weights and biases, and of ``h``, from those of the scores."""
+    each, at = np.unique(group, return_inverse=True)
+    gw, gb, dh = np.zeros((len(each), *w.shape[1:]), d.dtype), np.zeros((len(each), CLASS), d.dtype), np.empty_like(h)
+    for c, own in _runs(group):
+        if c is not None:
+            gw[at[own[0]]], gb[at[own[0]]], dh[own] = h[own].T @ d[own], d[own].sum(0), d[own] @ w[c].T
+        else:
+            for i in _ranks(at[own]):
+                i = own[i]
+                gw[at[i]] += h[i, :, None] * d[i, None]
+                gb[at[i]] += d[i]
+            dh[own] = np.matmul(w[group[own]], d[own, :, None])[:, :, 0]
+    return each, gw, gb, dh
+
+
 class Gru:
     def __init__(self, counts: np.ndarray, rare: float, seed: int = 0):
         """``counts`` of the frequent tokens, a multiple of CLASS of them, and of all others together; output starts as their unigram model."""
         self.words, self.classes = len(counts), len(counts) // CLASS
-        self.moments, self.seen = {}, 0
+        self.groups = -(-self.classes // CLASS)
+        self.moments, self.met, self.seen = {}, {}, 0
         rng = np.random.default_rng(seed)
-        shape = {"e": (self.words + 1, EMBEDDING), "wx": (EMBEDDING, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "bn": (HIDDEN,), "wc": (HIDDEN, self.classes + 1), "bc": (self.classes + 1,), "ww": (self.classes, HIDDEN, CLASS), "bw": (self.classes, CLASS)}
+        shape = {"e": (self.words + 1, EMBEDDING), "wx": (EMBEDDING, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "bn": (HIDDEN,), "wc": (HIDDEN, self.groups + 1), "bc": (self.groups + 1,), "wm": (self.groups, HIDDEN, CLASS), "bm": (self.groups, CLASS), "ww": (self.classes, HIDDEN, CLASS), "bw": (self.classes, CLASS)}
         self.p = {k: np.zeros(s, np.float32) for k, s in shape.items()}
         for k, scale in (("e", 0.3), ("wx", EMBEDDING**-0.5), ("wh", HIDDEN**-0.5)):
             self.p[k][:] = rng.normal(0, scale, shape[k])
         per = counts.reshape(self.classes, CLASS) + 0.5
         self.p["bw"][:] = np.log(per / per.sum(1, keepdims=True))
-        mass = np.append(per.sum(1), rare + 0.5)
+        of = np.zeros(self.groups * CLASS)
+        of[: self.classes] = per.sum(1)
+        of = of.reshape(self.groups, CLASS)
+        self.p["bm"][:] = np.where(of > 0, np.log(np.maximum(of, 1e-300) / of.sum(1, keepdims=True)), -1e9)  # a last group is padded
+        mass = np.append(of.sum(1), rare + 0.5)
         self.p["bc"][:] = np.log(mass / mass.sum())
 
     def flat(self) -> np.ndarray:
@@ -67,6 +120,13 @@ class Gru:
             at += n
         return self
 
+    def changes(self, before: Gru):
+        """(parameter, rows, tokens that touched each, changes): what training has changed since ``before``; parameters without rows are one."""
+        for k, n in self.met.items():
+            rows = np.flatnonzero(n)
+            now, old = ((m.p[k] if k in ROWS else m.p[k][None])[rows].reshape(len(rows), -1) for m in (self, before))
+            yield k, rows, n[rows], now - old
+
     def inputs(self) -> np.ndarray:
         """What each token adds to the gates."""
         return self.p["e"] @ self.p["wx"] + self.p["b"]
@@ -80,15 +140,14 @@ class Gru:
         return n + z * (h - n)
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logs; for the rare token (number ``words``) that of its class alone."""
-        group = np.minimum(target // CLASS, self.classes)
+        """Natural logs; for the rare token (number ``words``) that of its group alone."""
+        part = np.minimum(target // CLASS, self.classes)
+        known = np.flatnonzero(part < self.classes)
+        group = np.where(part < self.classes, part // CLASS, self.groups)
         out = _log_softmax(h @ self.p["wc"] + self.p["bc"])[np.arange(len(target)), group].astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            own = order[edges[c] : edges[c + 1]]
-            if len(own):
-                out[own] += _log_softmax(h[own] @ self.p["ww"][c] + self.p["bw"][c])[np.arange(len(own)), target[own] % CLASS]
+        at, h, part = np.arange(len(known)), h[known], part[known]
+        out[known] += _inside(h, self.p["wm"], self.p["bm"], part // CLASS)[at, part % CLASS]
+        out[known] += _inside(h, self.p["ww"], self.p["bw"], part)[at, target[known] % CLASS]
         return out
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
@@ -143,15 +202,37 @@ class Gru:
             self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         for at in range(0, long, WINDOW):
             self.seen += 1
-            grads, h = self._gradients(given[at : at + WINDOW], target[at : at + WINDOW], h)
-            for k, g in grads.items():
+            grads, h = self._touched(given[at : at + WINDOW], target[at : at + WINDOW], h)
+            for k, (rows, g, _) in grads.items():
                 first, second = self.moments[k]
-                first += 0.1 * (g - first)
-                second += 0.01 * (g * g - second)
-                self.p[k] -= rate * (first / (1 - 0.9**self.seen)) / (np.sqrt(second / (1 - 0.99**self.seen)) + 1e-5)
+                one, two = 0.9 * first[rows], 0.99 * second[rows]
+                one += np.float32(0.1) * g
+                first[rows] = one
+                g *= g
+                g *= np.float32(0.01)
+                two += g
+                second[rows] = two
+                two /= 1 - 0.99**self.seen
+                np.sqrt(two, out=two)
+                two += 1e-5
+                one *= rate / (1 - 0.9**self.seen)
+                one /= two
+                self.p[k][rows] -= one
+            for k, (rows, _, n) in grads.items():
+                if k not in self.met:
+                    self.met[k] = np.zeros(len(self.p[k]) if k in ROWS else 1, np.int64)
+                self.met[k][rows if k in ROWS else 0] += n
 
     def _gradients(self, given: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean negative log-likelihood of a window, and the state after it. Targets of -1 don't count."""
+        touched, h = self._touched(given, target, h)
+        dense = {k: np.zeros_like(v) for k, v in self.p.items()}
+        for k, (rows, g, _) in touched.items():
+            dense[k][rows] = g
+        return dense, h
+
+    def _touched(self, given: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict[str, tuple], np.ndarray]:
+        """As ``_gradients``, by what is touched alone: (rows, their gradients, tokens that touched them) for each parameter."""
         p, k = self.p, HIDDEN
         steps, lanes = given.shape
         kept = []
@@ -166,25 +247,30 @@ class Gru:
             kept.append((h, x, zr[:, :k], zr[:, k:], inner, n))
             h = n + zr[:, :k] * (h - n)
             hs[t] = h
-        g = {name: np.zeros_like(v) for name, v in p.items()}
+        g = {name: np.zeros_like(p[name]) for name in ("wx", "wh", "b", "bn")}
         flat, goal = hs.reshape(-1, k), target.reshape(-1)
         total = np.float32((goal >= 0).sum())
-        group = np.minimum(goal // CLASS, self.classes)
+        part = np.minimum(goal // CLASS, self.classes)
+        group = np.where(part < self.classes, part // CLASS, self.groups)
         d = np.exp(_log_softmax(flat @ p["wc"] + p["bc"]))
         d[np.arange(len(goal)), group] -= 1
         d[goal < 0] = 0
         d /= total
         g["wc"], g["bc"] = flat.T @ d, d.sum(0)
         dh = d @ p["wc"].T
-        for c in np.unique(group[(group >= 0) & (group < self.classes)]):
-            own = np.flatnonzero(group == c)
-            d = np.exp(_log_softmax(flat[own] @ p["ww"][c] + p["bw"][c]))
-            d[np.arange(len(own)), goal[own] % CLASS] -= 1
-            d /= total
-            g["ww"][c], g["bw"][c] = flat[own].T @ d, d.sum(0)
-            dh[own] += d @ p["ww"][c].T
+        known = np.flatnonzero((goal >= 0) & (part < self.classes))
+        rows = {}
+        for w, b, of, inner in (("wm", "bm", part[known] // CLASS, part[known] % CLASS), ("ww", "bw", part[known], goal[known] % CLASS)):
+            if len(known):
+                d = np.exp(_inside(flat[known], p[w], p[b], of))
+                d[np.arange(len(known)), inner] -= 1
+                d /= total
+                each, gw, gb, own = _inside_gradients(flat[known], p[w], d, of)
+                n = np.bincount(np.searchsorted(each, of))
+                rows[w], rows[b] = (each, gw, n), (each, gb, n)
+                dh[known] += own
         dh = dh.reshape(hs.shape)
-        back = np.zeros((lanes, k), np.float32)
+        back, de = np.zeros((lanes, k), np.float32), np.empty((steps, lanes, EMBEDDING), dh.dtype)
         for t in range(steps - 1, -1, -1):
             before, x, z, r, inner, n = kept[t]
             d = dh[t] + back
@@ -197,9 +283,14 @@ class Gru:
             g["bn"] += own[:, 2 * k :].sum(0)
             g["wx"] += x.T @ gates
             g["wh"] += before.T @ own
-            np.add.at(g["e"], given[t], gates @ p["wx"].T)
+            de[t] = gates @ p["wx"].T
             back = (d * z + own @ p["wh"].T) * (given[t][:, None] != 0)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        flat, order = given.reshape(-1), np.argsort(given.reshape(-1), kind="stable")
+        each, begin = np.unique(flat[order], return_index=True)
+        ge = np.add.reduceat(de.reshape(-1, EMBEDDING)[order], begin, axis=0)
+        rows["e"] = (each, ge, np.diff(np.append(begin, len(flat))))
+        rows |= {name: (slice(None), v, int(total)) for name, v in g.items()}
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for _, v, _ in rows.values()))
         if norm > 1:
-            g = {name: v / np.float32(norm) for name, v in g.items()}
-        return g, h
+            rows = {name: (at, v / np.float32(norm), n) for name, (at, v, n) in rows.items()}
+        return rows, h

@@ -6,14 +6,15 @@ broadcast with their counts (a bound by construction: the threshold is taken fro
 of counts); the counts of all rarer words stay distributed and meet the rare words of the
 documents in a join on the word, so the vocabulary may be of any size.
 
-The recurrent model (module ``gru``) has the 1,023 most frequent words and the
-end as outputs, in classes, and one class for all others; within that class a
+The recurrent model (module ``gru``) has the broadcast words and the
+end as inputs and outputs, in classes that grow with them, and one group for all others; within that group a
 word has (c + 1) / (N' + V' + 1) of tokens N' and different words V' there, so
 unseen words have a probability too and texts are scored whole. It is trained
 where the data are: in each of ``ROUNDS`` rounds every task takes the weights
 of the round before, runs truncated backpropagation over its training texts
-whose hash falls in the round's 1 of ``SHARE`` parts, and the results are averaged, by
-tokens. There are as many parts as rounds, so each training text is learnt from once.
+whose hash falls in the round's 1 of ``SHARE`` parts, and the changes are averaged: those of a
+word or a class by the tokens that touched it in each task, so that a word of few tasks isn't diluted
+by the others, and all else by tokens. Changes travel as half floats, for touched rows only. There are as many parts as rounds, so each training text is learnt from once.
 
 Rows: null and empty texts have one token, the end; ids may be null (then
 learnt from, and not held out) or repeated. Without training texts all counts are
@@ -31,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import carried, steps, text_bytes, written
-from .gru import CLASS, Gru, one_thread
+from .gru import CLASS, ROWS, Gru, one_thread
 
 FREQUENT = 1 << 18
-OUTPUTS = 1024
 ROUNDS, SHARE = 2, 2
 #: Tokens that a task holds at once to train on; twice as many at most, and a text.
 BLOCK = 1 << 20
+#: Rows of a parameter whose changes travel together.
+ROWS_AT_ONCE = 512
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 400_000
 #: Logarithmic bins of counts, for each doubling.
@@ -88,13 +90,12 @@ class Lexicon:
         self.texts, self.n, self.v = texts, tokens + texts, types + (texts > 0)
         self.number = {w.encode(): i + 1 for i, (w, _) in enumerate(rows)}
         self.counts = np.array([texts] + [c for _, c in rows], np.int64)  # 0 is the end
-        self.outputs = min(OUTPUTS, len(rows) + 1)
-        own = int(self.counts[: self.outputs].sum())
-        self.rare_n, self.rare_v = self.n - own, self.v - int((self.counts[: self.outputs] > 0).sum())
+        self.outputs = len(self.counts)
+        self.rare_n, self.rare_v = self.n - int(self.counts.sum()), self.v - int((self.counts > 0).sum())
 
     def model(self) -> Gru:
         counts = np.zeros(-(-self.outputs // CLASS) * CLASS)
-        counts[: self.outputs] = self.counts[: self.outputs]
+        counts[: self.outputs] = self.counts
         return Gru(counts, float(self.rare_n))
 
     def tokens(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -147,48 +148,63 @@ def train(docs: DataFrame, lexicon: Lexicon, text: str = "text", doc_id: str = "
                         found, held = [stream], len(stream)
             if n:
                 model.fit(np.concatenate(found).astype(np.int64))
-                yield _weights(n, model.flat().astype(np.float64))
+                for name, rows, met, change in model.changes(lexicon.model().load(now.value)):
+                    block = rows // ROWS_AT_ONCE
+                    for edge in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(block)) + 1):
+                        yield _changes(name, int(block[edge[0]]), rows[edge], met[edge].astype(np.float64), change[edge].astype(np.float16))
 
         def merge(batches):
-            n, total = 0, 0.0
+            sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
             for batch in batches:
-                for m, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    n, total = n + m, total + m * np.frombuffer(w, np.float64)
-            if n:
-                yield _weights(n, total / n)
-
-        local = source.where(part_of == k).select("__text").mapInArrow(fit, "n long, weights binary")
-        rows = local.repartition(16).mapInArrow(merge, "n long, weights binary").collect()  # at most 16 sets of weights
-        total = sum(r.n for r in rows)
-        if total:
-            rows.sort(key=lambda r: (r.n, bytes(r.weights)))
-            weights = sum(np.frombuffer(r.weights, np.float64) * (r.n / total) for r in rows).astype(np.float32)
+                for r in batch.to_pylist():
+                    rows, met = np.frombuffer(r["rows"], np.int64) % ROWS_AT_ONCE, np.frombuffer(r["met"], np.float64)
+                    change = np.frombuffer(r["change"], np.float16).reshape(len(rows), -1) * met[:, None]
+                    key = r["name"], r["block"]
+                    if key not in sums:
+                        n = ROWS_AT_ONCE if r["name"] in ROWS else 1
+                        sums[key] = np.zeros(n), np.zeros((n, change.shape[1]))
+                    sums[key][0][rows] += met
+                    sums[key][1][rows] += change
+            for (name, block), (met, change) in sums.items():
+                rows = np.flatnonzero(met)
+                yield _changes(name, block, rows + block * ROWS_AT_ONCE, met[rows], (change[rows] / met[rows, None]).astype(np.float32))
+
+        local = source.where(part_of == k).select("__text").mapInArrow(fit, _CHANGES)
+        merged = local.repartition(16, "name", "block").mapInArrow(merge, _CHANGES).collect()  # at most one change of each weight
+        model = lexicon.model().load(weights)
+        for r in merged:
+            rows, own = np.frombuffer(r["rows"], np.int64), model.p[r["name"]]
+            own = own if r["name"] in ROWS else own[None]
+            own[rows] += np.frombuffer(r["change"], np.float32).reshape(own[rows].shape)
+        weights = model.flat()
     return weights
 
 
-def _weights(n: int, w: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "weights"])
+_CHANGES = "name string, block long, rows binary, met binary, change binary"
+
+
+def _changes(name: str, block: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    packed = [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), *packed], names=["name", "block", "rows", "met", "change"])
 
 
 def _inputs(ids: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """Numbers for the model: words that are no outputs share the one after the padded outputs."""
-    padded = -(-lexicon.outputs // CLASS) * CLASS
-    return np.where((ids < 0) | (ids >= lexicon.outputs), padded, ids)
+    """Numbers for the model: words beyond the lexicon share the one after the padded outputs."""
+    return np.where(ids < 0, -(-lexicon.outputs // CLASS) * CLASS, ids)
 
 
-_FIELDS = [("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("rare_logs", pa.float64()), ("rare", pa.int64()), ("state", pa.float64()), ("others", pa.list_(pa.string()))]
+_FIELDS = [("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("rare", pa.int64()), ("state", pa.float64()), ("others", pa.list_(pa.string()))]
 
 
 def _passes(source: DataFrame, names: list[str], lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
     """One pass over the texts: all that needs no rarer counts, and the rarer words.
 
     known, logs: tokens with a count, and the sum of log10(c + 1), of frequent
-    tokens; rare_logs: that sum over frequent words that are no outputs; rare:
-    words that are no outputs; state: the model's log10 likelihood with such words as one token.
+    tokens; rare: words beyond the lexicon; state: the model's log10 likelihood with such words as one token.
     """
     context = source.sparkSession.sparkContext
     words_, now = context.broadcast(lexicon), context.broadcast(weights)
-    kinds = [T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.LongType(), T.DoubleType(), T.ArrayType(T.StringType())]
+    kinds = [T.LongType(), T.LongType(), T.DoubleType(), T.LongType(), T.DoubleType(), T.ArrayType(T.StringType())]
     schema = T.StructType([source.schema[c] for c in names] + [T.StructField(n, k) for (n, _), k in zip(_FIELDS, kinds, strict=True)])
 
     def run(batches):
@@ -199,14 +215,13 @@ def _passes(source: DataFrame, names: list[str], lexicon: Lexicon, weights: np.n
         for part in steps(batches, limit=12 << 20):
             raw, at = text_bytes(part.column(len(names)))
             view = raw.tobytes()
-            columns, found = [[] for _ in range(5)], []
+            columns, found = [[] for _ in range(4)], []
             inputs = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 ids, others = lexicon.tokens(view[a:b])
                 inputs.append(_inputs(ids, lexicon).astype(np.int32))
                 frequent = ids[ids >= 0]
-                plain = frequent[frequent >= lexicon.outputs]
-                row = (len(ids) + 1, len(frequent) + (lexicon.texts > 0), float(logs[frequent].sum() + logs[0]), float(logs[plain].sum()), len(plain) + len(others))
+                row = (len(ids) + 1, len(frequent) + (lexicon.texts > 0), float(logs[frequent].sum() + logs[0]), len(others))
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
                 found.append([w.decode() for w in others])
@@ -233,7 +248,7 @@ def score(docs: DataFrame, training: Column, text: str = "text", doc_id: str = "
     found = other.join(rarer, "word").groupBy("__row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("met"))
     full = rows.drop("others").join(found, "__row", "left").na.fill({"more": 0.0, "met": 0})
     base = F.col("logs") + F.col("more") - F.col("n_tokens") * F.lit(float(np.log10(lexicon.n + lexicon.v + 1)))
-    by_model = F.col("state") + F.col("rare_logs") + F.col("more") - F.col("rare") * F.lit(float(np.log10(lexicon.rare_n + lexicon.rare_v + 1)))
+    by_model = F.col("state") + F.col("more") - F.col("rare") * F.lit(float(np.log10(lexicon.rare_n + lexicon.rare_v + 1)))
     return full.select(
         *[F.col(n).alias(c) for c, n in zip(names, inner, strict=True)],
         "n_tokens",

@@ -379,6 +379,19 @@ def test_lm_trains_on_each_text(spark):
         assert not np.array_equal(lm.train(df, lexicon), lexicon.model().flat()), i
 
 
+def test_lm_outputs_grow_with_the_vocabulary(spark):
+    many = [f"w{i}" for i in range(3000)]
+    df = docs_of(spark, [" ".join(many), " ".join(reversed(many)), "w7 w8"])
+    lexicon, _ = lm.learn_lexicon(lm.count_words(df), 3)
+    ids, _ = lexicon.tokens(" ".join(many).encode())
+    assert lm._inputs(ids, lexicon).tolist() == ids.tolist() and len(set(ids.tolist())) == 3000
+    model, start = lexicon.model().load(lm.train(df, lexicon)), lexicon.model()
+    h = np.random.default_rng(0).normal(0, 1, (1, HIDDEN)).repeat(model.words + 1, 0)
+    for m in (model, start):
+        assert np.exp(m.log_probabilities(h, np.arange(model.words + 1))).sum() == pytest.approx(1, rel=1e-4)
+    assert (model.p["bw"] != start.p["bw"]).any(1).all()  # each class is learnt
+
+
 def test_gru_trains_on_the_end_of_a_stream():
     m = Gru(np.ones(64), 3.0)
     stream = np.arange(3 * 256 + 2) % 32
