@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by sparse prefix doubling.
+"""Removal of repeated byte strings by content-chosen anchors; this isn't prefix doubling.
 
 Sorting every byte position would shuffle many times the corpus, so positions
 are thinned by content first. A window is a string of ``LENGTH`` = 200 bytes;
