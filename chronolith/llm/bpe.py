@@ -4,13 +4,13 @@ Texts are cut by the split pattern and each distinct piece is encoded once a
 step. Pieces of similar length form one padded matrix of token ids; in every
 round each row merges its leftmost pair of the smallest rank, found by a hashed
 pair table, and the row is compacted by one place. Rows without a mergeable
-pair leave the matrix. That is the order of merges of the usual rank-based
+pair leave the matrix. A piece of over ``LONG`` bytes (a piece has no bound) is a
+matrix by itself: its row is folded into blocks, and a round compacts only the
+block of its merge, as one row of all its bytes would take quadratic time. That is the order of merges of the usual rank-based
 encoders, so the ids are the same.
 
 Rows: null and empty texts give no ids and decode to no bytes; repeated rows
-give repeated results. Pieces longer than ``LONG`` bytes (a piece has no
-bound) go through the same merges with a heap, as a matrix row would take
-quadratic time. The vocabulary is read on the driver and broadcast: its size is
+give repeated results. The vocabulary is read on the driver and broadcast: its size is
 bounded by the rank file (about 50,000 entries), not by the data.
 """
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from re import compile as re_compile
 
 import numpy as np
@@ -30,10 +29,12 @@ from pyspark.sql import types as T
 
 from .common import map_texts, ragged
 
-#: Bytes from which a piece is merged with a heap instead of a matrix row.
+#: Bytes of the longest rows that share a matrix; a longer piece has a matrix of its own, folded into blocks.
 LONG = 256
-#: Distinct units that a task remembers before it starts anew.
-REMEMBER = 500_000
+#: Places of such a block.
+BLOCK = 1024
+#: Bytes of remembered units of a task, by estimate, and of one unit without its ids.
+REMEMBER, UNIT = 16 << 20, 160
 _SPACE_SPACE = re_compile(r" \s")
 NONE = np.int64(1 << 40)
 
@@ -75,6 +76,16 @@ class Vocabulary:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def pair_rank(self, left: int, right: int) -> int:
+        """The same for one pair."""
+        key = left << 20 | right
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while (found := self.keys[slot]) >= 0:
+            if found == key:
+                return int(self.values[slot])
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+        return int(NONE)
+
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank (and id) of each merged pair; NONE where the two don't merge."""
         keys = left << 20 | right
@@ -140,29 +151,51 @@ def _merge_matrix(vocabulary: Vocabulary, raw: np.ndarray, starts: np.ndarray, l
     return done[done >= 0], count
 
 
-def _merge_long(vocabulary: Vocabulary, piece: np.ndarray) -> np.ndarray:
-    """One long piece: a heap of (rank, place) over a linked list."""
-    ids = vocabulary.byte_id[piece].tolist()
-    n = len(ids)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    first = vocabulary.pair_ranks(np.array(ids[:-1]), np.array(ids[1:]))
-    heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-    heapq.heapify(heap)
-    while heap:
-        rank, i, left, right = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] != left or j >= n or ids[j] != right:
-            continue
-        ids[i], ids[j] = rank, -1
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        for a, b in ((before[i], i), (i, after[i])):
-            if a >= 0 and b < n:
-                new = int(vocabulary.pair_ranks(np.array([ids[a]]), np.array([ids[b]]))[0])
-                if new != NONE:
-                    heapq.heappush(heap, (new, a, ids[a], ids[b]))
-    return np.array([x for x in ids if x >= 0], np.int64)
+def _merge_blocks(vocabulary: Vocabulary, piece: np.ndarray, width: int) -> np.ndarray:
+    """Ids of one long piece, whose row of the matrix is folded into blocks.
+
+    A round merges the leftmost pair of the smallest rank, as in any row, but
+    compacts its block alone and looks for the smallest rank among the blocks'
+    own, so it costs about the number of blocks plus their width. The rank of a block's
+    last token is that of its pair with the next block's first one.
+    """
+    n, blocks = len(piece), -(-len(piece) // width)
+    flat = np.full(blocks * width, -1, np.int64)
+    flat[:n] = vocabulary.byte_id[piece]
+    ranks = np.full(blocks * width, NONE)
+    ranks[: n - 1] = vocabulary.pair_ranks(flat[: n - 1], flat[1:n])
+    ids, ranks = flat.reshape(blocks, width), ranks.reshape(blocks, width)
+    count = np.minimum(width, n - width * np.arange(blocks)).tolist()
+    least = ranks.min(1)
+    after, before = list(range(1, blocks + 1)), list(range(-1, blocks - 1))  # blocks that still hold tokens
+    look = vocabulary.pair_rank
+    while True:
+        j = int(least.argmin())
+        if least[j] == NONE:
+            break
+        i = int(ranks[j].argmin())
+        ids[j, i] = ranks[j, i]
+        other, at = (j, i + 1) if i + 1 < count[j] else (after[j], 0)  # the right token of the pair leaves its block
+        ids[other, at:-1] = ids[other, at + 1 :]
+        ranks[other, at:-1] = ranks[other, at + 1 :]
+        count[other] -= 1
+        ids[other, count[other]], ranks[other, count[other]] = -1, NONE
+        if not count[other]:
+            after[before[other]] = after[other]
+            if after[other] < blocks:
+                before[after[other]] = before[other]
+        right = ids[j, i + 1] if i + 1 < count[j] else ids[after[j], 0] if after[j] < blocks else -1
+        ranks[j, i] = look(int(ids[j, i]), int(right)) if right >= 0 else NONE
+        if i:
+            ranks[j, i - 1] = look(int(ids[j, i - 1]), int(ids[j, i]))
+        elif before[j] >= 0:
+            k = before[j]
+            ranks[k, count[k] - 1] = look(int(ids[k, count[k] - 1]), int(ids[j, 0]))
+            least[k] = ranks[k].min()
+        least[j] = ranks[j].min()
+        if other != j and other < blocks:
+            least[other] = ranks[other].min()
+    return ids[ids >= 0]
 
 
 def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +213,7 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarr
             flat, counts[own] = _merge_matrix(vocabulary, raw, starts[own], lengths[own])
             parts.append((own, flat))
     for i in np.flatnonzero(lengths > LONG):
-        flat = _merge_long(vocabulary, raw[starts[i] : starts[i] + lengths[i]])
+        flat = _merge_blocks(vocabulary, raw[starts[i] : starts[i] + lengths[i]], BLOCK)
         counts[i] = len(flat)
         parts.append((np.array([i]), flat))
     at = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
@@ -190,18 +223,11 @@ def encode_pieces(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarr
     return out, at
 
 
-_ENCODER: list["Encoder"] = []
-
-
-def _encoder(vocabulary: Vocabulary, pattern: str) -> "Encoder":
-    """The encoder of this worker process, so that tasks after the first know its units."""
-    if not _ENCODER or _ENCODER[0].vocabulary is not vocabulary or _ENCODER[0].pattern != pattern:
-        _ENCODER[:] = [Encoder(vocabulary, pattern)]
-    return _ENCODER[0]
-
-
 class Encoder:
-    """Encodes texts; distinct units (a word with the space before it) are encoded once until the memory is full.
+    """Encodes texts; distinct units (a word with the space before it) are encoded once and remembered.
+
+    Once ``REMEMBER`` bytes are full the units known stay, others are encoded
+    for each block anew; if these make up half of a block, all is forgotten.
 
     A space before a character that isn't white space always begins a match of
     the split pattern, so a text may be cut there first and each unit be split
@@ -214,7 +240,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.at, self.size, self.full = np.zeros(0, np.int32), np.zeros(1, np.int64), 0, False
 
     def _units(self, text: str) -> list[str]:
         parts = text.split(" ")
@@ -228,7 +254,8 @@ class Encoder:
             return [u for u in units if u]
         return [parts[0], *[" " + p for p in parts[1:]]]
 
-    def _learn(self, new: list[str]) -> None:
+    def _encode_units(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of distinct units, and the end of each."""
         split, groups = self.split.findall, []
         pieces: list[bytes] = []
         index: dict[str, int] = {}
@@ -247,23 +274,28 @@ class Encoder:
         pick = np.array(of, np.int64)
         counts = np.diff(at)[pick] if len(pick) else np.zeros(0, np.int64)
         ids = flat[ragged(at[pick], counts)] if len(pick) else flat[:0]
-        ends = np.concatenate(([0], np.cumsum(counts)))[np.cumsum(groups)]
-        self.at = np.concatenate((self.at, len(self.flat) + ends)).astype(np.int64)
-        self.flat = np.concatenate((self.flat, ids))
-        base = len(self.known)
-        self.known.update((unit, base + i) for i, unit in enumerate(new))
+        return ids, np.concatenate(([0], np.cumsum(counts)))[np.cumsum(groups)]
 
     def _ids(self, block: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of units, and the count for each; all new units are learnt in one go."""
-        new = [u for u in dict.fromkeys(block) if u not in self.known]
-        if len(self.known) + len(new) > REMEMBER:
+        """Flat ids of units, and the count for each; all new units are encoded in one go."""
+        if self.full and 2 * sum(u not in self.known for u in block) > len(block):
             self.forget()
-            new = list(dict.fromkeys(block))
+        names, flat, at = self.known, self.flat, self.at
+        new = [u for u in dict.fromkeys(block) if u not in names]
         if new:
-            self._learn(new)
-        pick = np.fromiter(map(self.known.__getitem__, block), np.int64, len(block))
-        size = self.at[pick + 1] - self.at[pick]
-        return self.flat[ragged(self.at[pick], size)], size
+            ids, ends = self._encode_units(new)
+            number = dict(zip(new, range(len(names), len(names) + len(new)), strict=True))
+            flat, at = np.concatenate((flat, ids)), np.concatenate((at, len(flat) + ends)).astype(np.int64)
+            if self.full:
+                names = names | number
+            else:
+                names.update(number)
+                self.flat, self.at = flat, at
+                self.size += sum(map(len, new)) + UNIT * len(new) + ids.nbytes
+                self.full = self.size > REMEMBER
+        pick = np.fromiter(map(names.__getitem__, block), np.int64, len(block))
+        size = at[pick + 1] - at[pick]
+        return flat[ragged(at[pick], size)], size
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets of the texts."""
@@ -284,11 +316,11 @@ class Encoder:
 
         for i, text in enumerate(texts):
             units = self._units(text) if text else []
-            for at in range(0, len(units), 1 << 18):
-                part = units[at : at + (1 << 18)]
+            for at in range(0, len(units), 1 << 16):
+                part = units[at : at + (1 << 16)]
                 block += part
                 owner.append((i, len(part)))
-                if len(block) >= 1 << 18:
+                if len(block) >= 1 << 16:
                     flush()
         if block:
             flush()
@@ -309,7 +341,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)))
 
     def make():
-        encoder = _encoder(shared.value, pattern)
+        encoder = Encoder(shared.value, pattern)
 
         def run(column: pa.Array) -> list[pa.Array]:
             flat, at = encoder.encode([x or "" for x in column.to_pylist()])
@@ -342,7 +374,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
 
     def make():
         vocabulary = shared.value
-        encoder = _encoder(shared.value, pattern)
+        encoder = Encoder(shared.value, pattern)
 
         def run(column: pa.Array) -> list[pa.Array]:
             flat, at = encoder.encode([x or "" for x in column.to_pylist()])

@@ -7,11 +7,12 @@ sample holds most often there. Learnt transition weights tie neighbours together
 code-switched text gets runs of labels. Marginals come from forward-backward
 over the whole text; a text's language is the one of the largest mean marginal.
 
-Training data are stretches of at most ``STRETCH`` words, one of each of about
-``SAMPLE`` documents, picked by a hash of the id, as many for each language (a
-documented bound for fitting the classifier). Stretches of two documents are
-joined halfway, so that the transitions see switches. Gradients are those of
-the conditional likelihood, by forward-backward in numpy on the driver.
+Training data are whole texts of about ``SAMPLE`` documents, picked by a hash of
+id and text, as many for each language (a documented bound of rows for fitting the
+classifier). They are cut into pieces, and pieces of two documents are
+joined, so that the transitions see switches. Gradients are those of
+the conditional likelihood: marginals and expected transitions by
+forward-backward, in numpy on the driver. Over ``MOST_LANGUAGES`` languages raise an error.
 
 Rows: null texts and such without a letter are ``und`` with score 0; repeated
 rows are labelled alike. Null languages are not learnt. With nothing to learn
@@ -20,54 +21,102 @@ from, every text is ``und``.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_texts, steps, text_bytes
-from .subwords import WordTable, grams, sampled, sums, whole_words
+from .subwords import WordTable, grams, whole_words
 
 SAMPLE = 3000
-STRETCH = 128
 MOST_LANGUAGES = 256
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
 LEXICON = 300
 SEQUENCE = 64
-EPOCHS = 4
+EPOCHS = 2
 RATE = 0.3
 PENALTY = 1e-4
 UNKNOWN = "und"
+#: ``assign`` rejects a text whose best language is hardly better than chance: by less than this part of the way to 1.
+ABOVE_CHANCE = 0.05
+#: Numbers of a matrix that a step works on (words by languages).
+CELLS = 1 << 21
 _LETTER = regex.compile(r"\p{L}")
 # ASCII letters, lower-cased, and all bytes from 128 on make words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def _forward_backward(e: np.ndarray, begins: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Marginals of every word. ``e``: exp of word scores, texts in a row, longest text first; ``move``: exp of transition weights."""
-    out = np.zeros_like(e)
-    longest = int(lengths[0]) if len(lengths) else 0
-    active = np.searchsorted(-lengths, -np.arange(longest), "left")  # texts with more than t words
-    a = np.ones((len(lengths), e.shape[1]))
-    for t in range(longest):
-        at = begins[: active[t]] + t
-        a = e[at] if t == 0 else (a[: len(at)] @ move) * e[at]
-        a /= a.sum(1, keepdims=True)
-        out[at] = a
-    b = np.ones((0, e.shape[1]))
-    for t in range(longest - 1, -1, -1):
-        m = int(active[t])
-        if t + 1 < longest and len(b):
-            b = (e[begins[: len(b)] + t + 1] * b) @ move.T
-            b /= b.sum(1, keepdims=True)
-        if len(b) < m:
-            b = np.concatenate((b, np.ones((m - len(b), e.shape[1]))))
-        out[begins[:m] + t] *= b
-    out /= np.maximum(out.sum(1, keepdims=True), 1e-300)
-    return out
+def _pass(at_step: Callable[[int, int], np.ndarray], active: np.ndarray, move: np.ndarray, visit: Callable, cells: int) -> None:
+    """Forward-backward over texts side by side, the longest first; ``visit(t, a, b, e)`` gets every step, the last first.
+
+    ``at_step(t, m)`` gives e, the exp of the scores of the t-th words of the first
+    m texts, and ``active[t]`` texts have more than t words. ``move`` is the exp of the
+    transition weights. a and b are the forward and backward values, each row scaled by a number of its own.
+    Forward values are kept for about ``cells`` numbers of steps at a time; those of longer texts are computed anew
+    for each such stretch from the state before it.
+    """
+    before = np.concatenate(([0], np.cumsum(active))) * len(move)
+    cuts = [0]
+    while cuts[-1] < len(active):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(before, before[cuts[-1]] + cells, "right")) - 1))
+
+    def ahead(a: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray]:
+        e = at_step(t, int(active[t]))
+        a = e if a is None else (a[: len(e)] @ move) * e
+        return a / a.sum(1, keepdims=True), e
+
+    heads: list[np.ndarray | None] = [None]
+    for low, high in zip(cuts[:-2], cuts[1:-1], strict=True):
+        a = heads[-1]
+        for t in range(low, high):
+            a, _ = ahead(a, t)
+        heads.append(a)
+    b, after = np.ones((0, len(move))), None
+    for head, low, high in reversed(list(zip(heads, cuts[:-1], cuts[1:], strict=False))):
+        kept = []
+        for t in range(low, high):
+            kept.append(ahead(head if t == low else kept[-1][0], t))
+        for t in range(high - 1, low - 1, -1):
+            a, e = kept.pop()
+            if len(b):
+                b = (after * b) @ move.T
+                b /= b.sum(1, keepdims=True)
+            if len(b) < len(a):
+                b = np.concatenate((b, np.ones((len(a) - len(b), len(move)))))
+            visit(t, a, b, e)
+            after = e
+
+
+def _active(lengths: np.ndarray) -> np.ndarray:
+    """Texts with more than t words for each t; ``lengths`` fall."""
+    return np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")
+
+
+def _marginal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = a * b
+    return both / np.maximum(both.sum(1, keepdims=True), 1e-300)
+
+
+def expectations(e: np.ndarray, begins: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of every word, and the expected number of each transition, under the model."""
+    marginal, moves, ahead = np.zeros_like(e), np.zeros_like(move), None
+
+    def visit(t: int, a: np.ndarray, b: np.ndarray, own: np.ndarray) -> None:
+        nonlocal ahead
+        marginal[begins[: len(a)] + t] = _marginal(a, b)
+        if ahead is not None:
+            pair = a[: len(ahead), :, None] * move * ahead[:, None, :]
+            moves[:] += (pair / np.maximum(pair.sum((1, 2), keepdims=True), 1e-300)).sum(0)
+        ahead = own * b
+
+    _pass(lambda t, m: e[begins[:m] + t], _active(lengths), move, visit, CELLS)
+    return marginal, moves
 
 
 class Model:
@@ -110,7 +159,7 @@ class Model:
                 z = np.column_stack([np.bincount(owner, weights=self.weights[feature, k], minlength=len(once)) for k in range(n)])
                 e = np.exp(np.maximum(z - z.max(1, keepdims=True), -60.0))[ids]
                 move = np.exp(self.move)
-                marginal = _forward_backward(e, begins, lengths, move)
+                marginal, expected = expectations(e, begins, lengths, move)
                 error = marginal.copy()
                 error[np.arange(len(truth)), truth] -= 1
                 by_word = np.column_stack([np.bincount(ids, weights=error[:, k], minlength=len(once)) for k in range(n)])
@@ -119,55 +168,52 @@ class Model:
                 g += PENALTY * self.weights[used]
                 square[used] += g * g
                 self.weights[used] -= RATE * g / np.sqrt(square[used])
-                # Expected transitions, pairwise marginals taken from those of neighbours.
                 inner = np.ones(len(truth), bool)
                 inner[begins] = False
                 right = np.flatnonzero(inner)
-                pair = marginal[right - 1][:, :, None] * move * marginal[right][:, None, :]
-                pair /= pair.sum((1, 2), keepdims=True)
-                g = pair.sum(0)
-                np.subtract.at(g, (truth[right - 1], truth[right]), 1)
-                g = g / len(block) + PENALTY * self.move
+                np.subtract.at(expected, (truth[right - 1], truth[right]), 1)
+                g = expected / len(block) + PENALTY * self.move
                 square_move += g * g
                 self.move -= 0.1 * g / np.sqrt(square_move)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Fits on stretches of the rows given; leave out beforehand what it may not see."""
-    rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{lang}`").cast("string").alias("__lang"), F.col(f"`{text}`").cast("string").alias("__text")).where("__lang is not null")
-    counts = {r["__lang"]: r["count"] for r in rows.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MOST_LANGUAGES).collect()}
+    """Fits on whole texts of the rows given; leave out beforehand what it may not see."""
+    place = F.pmod(F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.col(f"`{text}`").cast("string")), F.lit(1 << 30))
+    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), place.alias("place")).where("lang is not null")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages: transitions and weights of so many don't fit one model")
+    if not counts:
+        return Model([], [])
     languages = sorted(counts)
-    each = sample / max(1, len(languages))
-    wanted = F.lit(False)
-    for name in languages:
-        wanted = wanted | ((F.col("__lang") == name) & sampled(F.col("__id"), each / counts[name]))
+    each = max(1, sample // len(languages))
+    # Four times as many rows as wanted pass the hash, and the first of each language in its order stay, so the sample doesn't depend on how rows are dealt.
+    bound = F.create_map(*[F.lit(x) for name in languages for x in (name, min(1 << 30, 4 * each * (1 << 30) // counts[name] + 1))])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    picked = rows.where(F.col("place") < bound[F.col("lang")]).withColumn("rank", rank).where(F.col("rank") <= each)
 
     def run(batches):
         for part in steps(batches):
             raw, at = text_bytes(part.column(1))
             view = raw.tobytes().translate(_FOLD)
-            out = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                words = view[a:b].split()
-                begin = (b - a) * 7919 % max(1, len(words) - STRETCH + 1)
-                out.append(b" ".join(words[begin : begin + STRETCH]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], names=["lang", "words"])
-
-    got = rows.where(wanted).select("__lang", "__text").mapInArrow(run, "lang string, words binary").limit(2 * sample).collect()
+            folded = [b" ".join(view[a:b].split()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(folded, pa.binary())], names=["lang", "words"])
+
+    got = picked.select("lang", F.col("text").alias("__text")).mapInArrow(run, "lang string, words binary").collect()  # ``sample`` texts at most
     number = {name: i for i, name in enumerate(languages)}
-    stretches = sorted((bytes(r.words), number[r.lang]) for r in got if r.words)
-    return fit_stretches(languages, [(w.split(), y) for w, y in stretches])
+    return fit_texts(languages, [(w.split(), y) for w, y in sorted((bytes(r.words), number[r.lang]) for r in got if r.words)])
 
 
-def fit_stretches(languages: list[str], stretches: list[tuple[list[bytes], int]], seed: int = 0) -> Model:
+def fit_texts(languages: list[str], texts: list[tuple[list[bytes], int]], seed: int = 0) -> Model:
     tally: list[dict[bytes, int]] = [{} for _ in languages]
-    for words, y in stretches:
+    for words, y in texts:
         for w in words:
             tally[y][w] = tally[y].get(w, 0) + 1
     lexicons = [set(sorted(t, key=lambda w: (-t[w], w))[:LEXICON]) for t in tally]
     model = Model(languages, lexicons)
     rng = np.random.default_rng(seed)
-    pieces = [(words[a : a + SEQUENCE // 2], y) for words, y in stretches for a in range(0, len(words), SEQUENCE // 2)]
+    pieces = [(words[a : a + SEQUENCE // 2], y) for words, y in texts for a in range(0, len(words), SEQUENCE // 2)]
     order = rng.permutation(len(pieces))
     sequences = []
     for i in range(0, len(order), 2):
@@ -185,33 +231,60 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.n = len(model.languages)
-        self.table = WordTable(model.scores, self.n, 200_000)
+        self.table = WordTable(model.scores, self.n, max(1, min(200_000, 2 * CELLS // self.n)))
         self.move = np.exp(model.move)
 
+    def _visit(self, texts: list[bytes], visit: Callable[[int, np.ndarray, np.ndarray], None]) -> np.ndarray:
+        """Calls ``visit(t, texts, marginals of their t-th words)``; the number of words of each text. ``texts`` are folded."""
+        self.table.begin()
+        parts, counts, words = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), []
+        for i, text in enumerate(texts):
+            for own in _in_blocks(text):
+                counts[i] += len(own)
+                words += own
+                if len(words) > 1 << 16:
+                    parts.append(self.table.ids(words, forget=False).astype(np.int32))
+                    words = []
+        if words:
+            parts.append(self.table.ids(words, forget=False).astype(np.int32))
+        ids, scores = np.concatenate(parts), self.table.table
+        order = np.argsort(-counts, kind="stable")
+        begins = (np.cumsum(counts) - counts)[order]
+        _pass(lambda t, m: scores[ids[begins[:m] + t]], _active(counts[order]), self.move, lambda t, a, b, _: visit(t, order[: len(a)], _marginal(a, b)), CELLS)
+        return counts
+
     def marginals(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Marginals of the words of each text; ``texts`` are folded."""
-        parts, counts = [], []
-        words: list[bytes] = []
-        for text in texts:
-            own = text.split()
-            counts.append(len(own))
-            words += own
-            if len(words) > 1 << 18:
-                parts.append(self.table.rows(words))
-                words = []
-        parts.append(self.table.rows(words) if words else np.zeros((0, self.n)))
-        e = np.concatenate(parts)
-        counts_ = np.array(counts, np.int64)
-        order = np.argsort(-counts_, kind="stable")
-        begins = np.cumsum(counts_) - counts_
-        out = _forward_backward(e, begins[order], counts_[order], self.move)
-        return np.split(out, np.cumsum(counts_)[:-1]) if len(texts) else []
+        """Marginals of the words of each text."""
+        out = [np.zeros((len(t.split()), self.n)) for t in texts]
+
+        def visit(t: int, own: np.ndarray, marginal: np.ndarray) -> None:
+            for i, row in zip(own.tolist(), marginal, strict=True):
+                out[i][t] = row
+
+        self._visit(texts, visit)
+        return out
 
     def means(self, texts: list[bytes]) -> np.ndarray:
-        found = self.marginals(texts)
-        counts = np.array([len(m) for m in found], np.int64)
+        total = np.zeros((len(texts), self.n))
+
+        def visit(_: int, own: np.ndarray, marginal: np.ndarray) -> None:
+            total[own] += marginal
+
+        counts = self._visit(texts, visit)
         # Matrix products may round differently from one batch to the next.
-        return np.round(sums(np.concatenate(found), counts) / np.maximum(1, counts)[:, None], 9)
+        return np.round(total / np.maximum(1, counts)[:, None], 9)
+
+
+def _in_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a folded text, some of them at a time."""
+    at = 0
+    while len(text) - at > size:
+        space = text.find(b" ", at + size)
+        if space < 0:
+            break
+        yield text[at:space].split()
+        at = space
+    yield (text[at:] if at else text).split()
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
@@ -235,13 +308,22 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
         return run
 
-    return map_texts(docs, text, keep, [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())], make, limit=12 << 20)
+    # A step's matrices have about CELLS numbers: words of some six bytes, times languages.
+    limit = max(1 << 16, 6 * CELLS // max(1, len(model.languages)))
+    return map_texts(docs, text, keep, [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())], make, limit=limit)
+
 
+def assign(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", above: float = ABOVE_CHANCE) -> DataFrame:
+    """The rows with a language, its name in ``lang`` if there is such a column; all else as it was.
 
-def drop_unknown(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows with a language, all columns as they were."""
-    found = predict(docs, model, text, tuple(docs.columns), ("__lang_pred", "__lang_score"))
-    return found.where(F.col("__lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    Rows go that are ``und``, or whose best language of n has a mean marginal below 1/n + ``above`` * (1 - 1/n).
+    """
+    chance = 1 / max(1, len(model.languages))
+    least = chance + above * (1 - chance)
+    inner = [f"__c{i}" for i in range(len(docs.columns))]
+    found = predict(docs.toDF(*inner), model, inner[docs.columns.index(text)], tuple(inner), ("__pred", "__score"))
+    fine = found.where((F.col("__pred") != UNKNOWN) & (F.col("__score") >= least))
+    return fine.select(*[(F.col("__pred") if c == lang else F.col(i)).cast(docs.schema[c].dataType).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
 
 
 def label_words(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -262,4 +344,4 @@ def label_words(docs: DataFrame, model: Model, text: str = "text", keep: tuple[s
 
         return run
 
-    return map_texts(docs, text, keep, [T.StructField("words", T.ArrayType(item))], make, limit=2 << 20)
+    return map_texts(docs, text, keep, [T.StructField("words", T.ArrayType(item))], make, limit=1 << 20)

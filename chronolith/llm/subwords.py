@@ -47,10 +47,15 @@ class WordTable:
         self.known: dict[bytes, int] = {}
         self.table = np.zeros((1024, self.width))
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of the words, good until the next call."""
+    def begin(self) -> None:
+        """Starts anew if it is full."""
+        if len(self.known) > self.most:
+            self.forget()
+
+    def ids(self, words: list[bytes], forget: bool = True) -> np.ndarray:
+        """Numbers of the words, good until the next call, or without ``forget`` until it forgets."""
         new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if len(self.known) + len(new) > self.most and self.known:
+        if forget and len(self.known) + len(new) > self.most and self.known:
             self.forget()
             new = list(dict.fromkeys(words))
         if new:

@@ -320,16 +320,100 @@ def test_language(spark):
     assert language.predict(docs_of(spark, ["text"]), nothing).first().lang_pred == "und"
 
 
-def test_forward_backward_is_exact():
+def paths(e, move):
+    """Every labelling of a chain with its weight."""
     from itertools import product
 
+    return {p: math.prod(e[t][y] for t, y in enumerate(p)) * math.prod(move[a][b] for a, b in zip(p, p[1:], strict=False)) for p in product(range(len(move)), repeat=len(e))}
+
+
+@pytest.mark.parametrize("cells", [1, 10, 1 << 20])
+def test_forward_backward_is_exact(monkeypatch, cells):
+    monkeypatch.setattr(language, "CELLS", cells)
     rng = np.random.default_rng(1)
-    e, move = rng.random((5, 3)) + 0.1, rng.random((3, 3)) + 0.1
-    got = language._forward_backward(e, np.array([0, 4]), np.array([4, 1]), move)
-    weights = {p: np.prod([e[t, y] for t, y in enumerate(p)]) * np.prod([move[a, b] for a, b in zip(p, p[1:], strict=False)]) for p in product(range(3), repeat=4)}
-    for t in range(4):
-        assert got[t] == pytest.approx([sum(w for p, w in weights.items() if p[t] == y) / sum(weights.values()) for y in range(3)])
-    assert got[4] == pytest.approx(e[4] / e[4].sum())
+    e, move = rng.random((10, 3)) + 0.1, rng.random((3, 3)) + 0.1
+    got, moves = language.expectations(e, np.array([0, 6, 9]), np.array([6, 3, 1]), move)
+    expected = np.zeros((3, 3))
+    for begin, n in ((0, 6), (6, 3), (9, 1)):
+        weights = paths(e[begin : begin + n].tolist(), move.tolist())
+        total = sum(weights.values())
+        for t in range(n):
+            assert got[begin + t] == pytest.approx([sum(w for p, w in weights.items() if p[t] == y) / total for y in range(3)])
+        for p, w in weights.items():
+            for pair in zip(p, p[1:], strict=False):
+                expected[pair] += w / total
+    assert moves == pytest.approx(expected)
+
+
+def test_transition_gradient():
+    """Expected less seen transitions are the slope of the negative log-likelihood."""
+    rng = np.random.default_rng(2)
+    e, z, truth = rng.random((5, 3)) + 0.1, rng.normal(0, 1, (3, 3)), [0, 2, 2, 1, 0]
+
+    def loss(z):
+        weights = paths(e.tolist(), np.exp(z).tolist())
+        return -math.log(weights[tuple(truth)] / sum(weights.values()))
+
+    _, g = language.expectations(e, np.array([0]), np.array([5]), np.exp(z))
+    np.subtract.at(g, (truth[:-1], truth[1:]), 1)
+    for i in range(3):
+        for j in range(3):
+            step = np.zeros((3, 3))
+            step[i, j] = 1e-5
+            assert g[i, j] == pytest.approx((loss(z + step) - loss(z - step)) / 2e-5, abs=1e-6)
+
+
+def brute_language(text, model):
+    """Label and score of a text from a model's weights, word by word."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    n, e = len(model.languages), []
+    for word in re.findall(rb"[a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode())):
+        _, features = model.features([word])
+        z = [math.fsum(model.weights[f][k] for f in features) for k in range(n)]
+        e.append([math.exp(max(x - max(z), -60.0)) for x in z])
+    move = np.exp(model.move).tolist()
+    forward, backward = [e[0]], [[1.0] * n]
+    for row in e[1:]:
+        a = [sum(forward[-1][i] * move[i][j] for i in range(n)) * row[j] for j in range(n)]
+        forward.append([x / sum(a) for x in a])
+    for row in e[:0:-1]:
+        b = [sum(move[i][j] * row[j] * backward[-1][j] for j in range(n)) for i in range(n)]
+        backward.append([x / sum(b) for x in b])
+    total = [0.0] * n
+    for a, b in zip(forward, backward[::-1], strict=True):
+        both = [x * y for x, y in zip(a, b, strict=True)]
+        total = [t + x / sum(both) for t, x in zip(total, both, strict=True)]
+    best = max(range(n), key=lambda k: (round(total[k] / len(e), 9), -k))
+    return model.languages[best], total[best] / len(e)
+
+
+def test_language_equals_brute_force(spark, monkeypatch, small):
+    model = language.train(small.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), sample=60)
+    monkeypatch.setattr(language, "CELLS", 3000)  # long texts in several stretches
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(small, model).collect()}
+    rows = [r for r in small.select("doc_id", "text").collect() if len(r.text or "") < 4000]
+    assert len(rows) > 100
+    for r in rows:
+        label, score = brute_language(r.text, model)
+        assert got[r.doc_id] == (label, pytest.approx(score, abs=1e-6)), r.doc_id
+
+
+def test_language_learns_every_language_of_whole_texts(spark):
+    rows = [(10 * i + j, f"l{i}", f"zz{chr(97 + i % 26)}q{'xyvw'[i // 26]} " * 40) for i in range(40) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.train(docs)
+    assert model.languages == sorted({r[1] for r in rows})
+    assert sum(r.lang_pred == r.lang for r in language.predict(docs, model, keep=("doc_id", "lang")).collect()) > 110
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"), F.lit("a b").alias("text"))
+    with pytest.raises(ValueError, match="languages"):
+        language.train(many)
+
+
+def test_language_rejects_texts_of_no_one_language(spark):
+    model = language.fit_texts(["de", "en"], [([b"der", b"und"] * 20, 0), ([b"the", b"and"] * 20, 1)])
+    docs = spark.createDataFrame([(1, "x", "der und der"), (2, "x", "?? 12"), (3, "x", None), (4, "x", "der the"), (5, "x", "the and")], "doc_id long, lang string, text string")
+    assert sorted((r.doc_id, r.lang) for r in language.assign(docs, model, above=0.2).collect()) == [(1, "de"), (5, "en")]
 
 
 # Byte-level BPE
@@ -351,6 +435,32 @@ def test_bpe(spark):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_bpe_of_long_pieces():
+    """A piece folded into blocks of any width, against the plain encoder; also as rows of one matrix."""
+    ranks = bpe.read_ranks(PATH)
+    reference = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+    vocabulary, rng = bpe.Vocabulary(ranks), random.Random(8)
+    for letters in ("ab", "etaoin shrdlu", "=-", "日本語é", "aaaaab "):
+        piece = "".join(rng.choice(letters) for _ in range(700))
+        raw, want = np.frombuffer(piece.encode(), np.uint8), reference.encode_ordinary(piece)
+        for width in (2, 3, 16, 1024):
+            assert bpe._merge_blocks(vocabulary, raw, width).tolist() == want
+        assert bpe._merge_matrix(vocabulary, raw, np.array([0]), np.array([len(raw)]))[0].tolist() == want
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    """Small memories change no ids, whether it stays full or starts anew."""
+    ranks = bpe.read_ranks(PATH)
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "REMEMBER", 20_000)
+    encoder, rng = bpe.Encoder(bpe.Vocabulary(ranks), public_tokenizers.PATTERN), random.Random(9)
+    for k in range(12):
+        texts = [" ".join(f"w{rng.randint(0, 40 if k % 4 else 4000) + 5000 * (k // 4)}" for _ in range(200)) for _ in range(5)]
+        flat, at = encoder.encode(texts)
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [reference.encode_ordinary(t) for t in texts]
+        assert encoder.size < 400_000
+
+
 # LM scoring
 
 
@@ -471,7 +581,7 @@ def test_suffix(spark, monkeypatch, hot):
 
 def operators(spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
-    crf = language.fit_stretches(["de", "en"], [([b"der", b"und"], 0), ([b"the", b"and"], 1)])
+    crf = language.fit_texts(["de", "en"], [([b"der", b"und"], 0), ([b"the", b"and"], 1)])
     return {
         "decontaminate": lambda d: decontaminate.judge(d, bench),
         "secrets": secrets.digest,

@@ -4,11 +4,12 @@ import hashlib
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from chronolith.llm import bpe
-from test_operators import brute_components, brute_contaminated, brute_fingerprint, brute_secrets
+from chronolith.llm import bpe, language
+from test_operators import brute_components, brute_contaminated, brute_fingerprint, brute_language, brute_secrets
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,7 +17,11 @@ SMALL = "/root/testdata/sf0.001"
 def test_pipeline(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    ids = [i for i, r in docs.items() if any(c.isalpha() for c in r.text or "")]
+    seen = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    model = language.train(spark.read.parquet(f"{SMALL}/documents.parquet").where(seen))
+    found = {i: brute_language(r.text, model) for i, r in docs.items()}
+    n = len(model.languages)
+    ids = [i for i, (label, score) in found.items() if label != "und" and score >= 1 / n + language.ABOVE_CHANCE * (1 - 1 / n)]
     comps = brute_components(ids, [brute_fingerprint(docs[i].text) for i in ids])
     kept = [i for i in sorted(set(comps)) if not brute_contaminated(docs[i].text, items)[4]]
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
@@ -29,8 +34,8 @@ def test_pipeline(spark):
             to = max(to, b)
         text = "".join([*parts, text[to:]])
         tokens = encoding.encode_ordinary(text)
-        want[i] = (len(tokens), hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SMALL).collect()}
+        want[i] = (found[i][0], len(tokens), hashlib.sha256(",".join(map(str, tokens)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    got = {r.doc_id: (r.lang, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SMALL).collect()}
     assert got == want and len(got) < len(docs)
 
 
