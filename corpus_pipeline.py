@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes what its predecessor kept, written as Parquet and read again:
-language ID drops texts without a language, SimHash keeps one document of each
+language ID drops texts without a language and names that of all others, SimHash keeps one document of each
 group of near-duplicates, decontamination drops documents with a passage of
 the benchmark, secrets are masked in the texts, and byte-level BPE encodes the
 texts and checks the decoding.
@@ -18,9 +18,9 @@ from chronolith.llm.common import crc_mod, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from three quarters of the labelled documents, labels all by their text, and drops those without a language."""
+    """Learns from three quarters of the labelled documents, labels all by their text, and drops those without a language; ``lang`` becomes what was found."""
     model = language.train(docs.where(crc_mod("doc_id", 4) != 2))
-    return language.drop_unknown(docs, model)
+    return language.assign(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
