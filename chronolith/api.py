@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 from .engine import Engine
-from .plans.syntax import QueryError, parse_duration, parse_selector
+from .plans.syntax import QueryError, parse, parse_duration, parse_selector, reach
 from .shape.times import parse_instant
 from .sources.store import MetricStore
 
@@ -53,7 +53,7 @@ class Api:
     def _routes(self) -> dict[str, Callable[[Params], object]]:
         empty = {"/api/v1/metadata": {}, "/api/v1/rules": {"groups": []}, "/api/v1/alerts": {"alerts": []}, "/api/v1/query_exemplars": []}
         return {
-            "/api/v1/query": lambda p: self._success(self._engine().instant_query(self._required(p, "query"), parse_time(p["time"][0]) if p.get("time") else self.now())),
+            "/api/v1/query": self._query,
             "/api/v1/query_range": self._query_range,
             "/api/v1/series": self._series,
             "/api/v1/labels": lambda p: self._success([r.name for r in self.store.label_names(self._first_selector(p)).collect()]),
@@ -86,13 +86,18 @@ class Api:
         """Of several selectors only the first counts."""
         return parse_selector(params["match[]"][0]) if params.get("match[]") else ()
 
-    def _engine(self) -> Engine:
-        return Engine(self.store.source(), self.lookback)
+    def _engine(self, query: str, start: int, end: int) -> Engine:
+        """Over the buckets that the query can see from ``start`` to ``end``."""
+        return Engine(self.store.source(start - reach(parse(query), self.lookback), end), self.lookback)
+
+    def _query(self, p: Params) -> dict:
+        query, at = self._required(p, "query"), parse_time(p["time"][0]) if p.get("time") else self.now()
+        return self._success(self._engine(query, at, at).instant_query(query, at))
 
     def _query_range(self, p: Params) -> dict:
         query = self._required(p, "query")
         start, end = (parse_time(self._required(p, k)) for k in ("start", "end"))
-        return self._success(self._engine().range_query(query, start, end, parse_step(self._required(p, "step"))))
+        return self._success(self._engine(query, start, end).range_query(query, start, end, parse_step(self._required(p, "step"))))
 
     def _series(self, p: Params) -> dict:
         bounds = [parse_time(p[k][0]) if p.get(k) else None for k in ("start", "end")]
@@ -103,7 +108,7 @@ class Api:
         return self._success(list(found.values()))
 
     def _status(self, _: Params) -> dict:
-        s = self.store.stats(self.now())
+        s = self.store.quick_stats()
         head = {"numSeries": s["seriesCount"], "numSamples": s["sampleCount"], "minTime": s["oldestSampleMs"], "maxTime": s["newestSampleMs"]}
         return self._success({"headStats": head, "seriesCountByMetricName": []})
 

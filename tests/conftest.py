@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path[:0] = [str(ROOT), str(ROOT / "tests" / "llm")]
+sys.path[:0] = [str(ROOT)]
 os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 

@@ -12,7 +12,7 @@ from chronolith.engine import Engine
 from chronolith.plans.values import Source
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = [*list(queries.PROMQL)[::5], "w1_rate_resets", "m14_histogram_quantile", "b18_or", "a9_topk", "sk1_upsert", "sc2_select_at_steps", "d4_delete_before", "sc6_exposition"]
+CHOSEN = [*list(queries.PROMQL)[::5], "w1_rate_resets", "m14_histogram_quantile", "b18_or", "a9_topk", *list(store_queries.queries())]
 
 
 @pytest.fixture(scope="module")

@@ -12,7 +12,7 @@ from chronolith.plans.syntax import parse_selector
 from chronolith.sources import codecs, wal
 from chronolith.sources.exposition import build_samples, instance_of, read_exposition, render_lines
 from chronolith.sources.registry import Registry
-from chronolith.sources.store import BUCKET_MS, MetricStore
+from chronolith.sources.store import BUCKET_MS, MetricStore, StoreError
 from chronolith.streaming import ingest
 
 SCHEMA = "labels map<string,string>, ts double, value double"
@@ -54,9 +54,10 @@ def test_upsert_and_import(spark, store):
 def test_retention_compaction_and_vacuum(spark, store):
     day = 4 * BUCKET_MS
     store.ingest(frame(spark, *[("old" if t < BUCKET_MS else "new", {}, t, t) for t in range(0, day, BUCKET_MS // 3)]))
-    store.ingest(frame(spark, ("new", {}, BUCKET_MS, 99)))
+    assert store.compact_before(day)["compactedBuckets"] == 0  # written once, a bucket is sorted and without rows to merge
+    store.ingest(frame(spark, ("new", {}, BUCKET_MS, 99), ("old", {}, 0, 0)))
     before = rows(store.samples())
-    assert store.compact_before(2 * BUCKET_MS + 5, max_buckets=1) == {"complete": False, "cutoffMs": 2 * BUCKET_MS, "compactedBuckets": 1}
+    assert store.compact_before(2 * BUCKET_MS + 5, max_buckets=1) == {"complete": False, "cutoffMs": 2 * BUCKET_MS, "compactedBuckets": 1, "compactedPoints": 3, "oldestUncompactedMs": BUCKET_MS}
     assert store.compact_before(2 * BUCKET_MS + 5)["complete"]
     assert rows(store.samples()) == before and (BUCKET_MS, 99.0) in before
     assert store.compact_before(2 * BUCKET_MS)["compactedBuckets"] == 0
@@ -93,6 +94,92 @@ def test_random_model(spark, store):
     assert {k: repr(v) for k, v in got.items()} == {k: repr(v) for k, v in model.items()}
 
 
+STEPS = ("_write_buckets", "_add_series", "_commit", "_delete")
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_failed_write_can_be_repeated(spark, store, monkeypatch, step):
+    """A write that fails at any step leaves the store as it was; repeated, also after vacuum, it takes effect."""
+    store.ingest(frame(spark, ("m", {"job": "a"}, 1000, 1)))
+    more = frame(spark, ("m", {"job": "a"}, 1000, 2), ("m", {"job": "b"}, 2000, 3))
+    for clean in (False, True):
+        with monkeypatch.context() as patch:
+
+            def fail(*_):
+                raise OSError("lost")
+
+            patch.setattr(MetricStore, step, fail)
+            with pytest.raises(OSError, match="lost"):
+                store.ingest(more)
+        if step != "_delete":  # which comes after the commit
+            assert rows(store.samples()) == [(1000, 1.0)] and store.quick_stats()["sampleCount"] == 1
+        if clean:
+            store.vacuum()
+    store.ingest(more)
+    assert rows(store.samples()) == [(1000, 2.0), (2000, 3.0)] and store.quick_stats()["seriesCount"] == 2
+    store.vacuum()
+    assert rows(store.samples()) == [(1000, 2.0), (2000, 3.0)]
+
+
+def test_manifest_statistics_are_exact(spark, store):
+    rng = random.Random(3)
+    for k in range(5):
+        batch = [("m", {"i": str(rng.randint(0, 3))}, rng.randrange(0, 4 * BUCKET_MS, BUCKET_MS // 5), k) for _ in range(15)]
+        (store.ingest if k % 2 else store.import_samples)(frame(spark, *batch))
+        if k == 2:
+            store.delete_before(BUCKET_MS + BUCKET_MS // 2)
+            store.ingest(frame(spark, ("late", {}, BUCKET_MS + 1, 7)))  # before what was deleted: it counts
+            assert (BUCKET_MS + 1, 7.0) in rows(store.samples())
+        if k == 3:
+            store.compact_before(2 * BUCKET_MS)
+        times = [t for t, _ in rows(store.samples())]
+        found = store.quick_stats()
+        assert (found["sampleCount"], found["oldestSampleMs"], found["newestSampleMs"]) == (len(times), min(times), max(times))
+        assert found["seriesCount"] == store.series().count() and found["sizeBytes"] > 0
+    assert store.quick_stats(now=max(times))["samplesLastHour"] == sum(t >= (max(times) - 3_600_000) // 60_000 * 60_000 for t in times)
+    assert store.compact_before(9 * BUCKET_MS, max_samples=1)["compactedBuckets"] == 1
+
+
+def test_store_options_and_broken_manifests(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    store = MetricStore(spark, path, bucket_ms=1000, rows_per_file=2)
+    store.ingest(frame(spark, *[("m", {"i": str(i)}, 500, i) for i in range(9)]))
+    store.ingest(frame(spark, ("m", {"i": "0"}, 1500, 1)))
+    assert sorted(store.manifest().buckets) == [0, 1000] and MetricStore(spark, path).bucket_ms == 1000
+    for wrong in ({"bucket_ms": 2000}, {"bucket_ms": -1}, {"rows_per_file": 0}):
+        with pytest.raises(StoreError):
+            MetricStore(spark, path, **wrong)
+    newest = sorted((tmp_path / "store" / "manifest").glob("0*.json"))[-1]
+    for crc in newest.parent.glob(".*.crc"):
+        crc.unlink()
+    newest.write_text('{"format": "sam')
+    again = MetricStore(spark, path)
+    assert again.recovered and rows(again.samples()) == [(500, float(i)) for i in range(9)]
+    again.ingest(frame(spark, ("m", {"i": "0"}, 1500, 2)))
+    assert MetricStore(spark, path).samples().count() == 10
+    newest.write_text('{"format": "other"}')
+    newest.with_name("000000000009.json").write_text('{"format": "other"}')
+    with pytest.raises(StoreError, match="layout"):
+        MetricStore(spark, path)
+
+
+def test_log_keeps_the_order_of_appends(spark, store, tmp_path):
+    """The later append wins, whichever is larger and wherever its files are packed."""
+    path = f"{tmp_path}/wal"
+    wal.append(frame(spark, *[("m", {}, t, 1) for t in range(50)]), path, per_line=7)
+    wal.append(frame(spark, *[("m", {}, t, 2) for t in range(3000)]).repartition(3), path, per_line=7)
+    wal.append(frame(spark, ("m", {}, 0, 3)), path)
+    assert wal.epoch(spark, path) == 3
+    found = wal.replay(spark, path, store, at_once=2)
+    assert (found["samples"], found["batches"], found["aborted"]) == (3051, 3, False) and found["bytes"] > 0
+    assert rows(store.samples()) == [(t, 2.0 if t else 3.0) for t in range(3000)]
+    calls = iter([True, False])
+    assert wal.replay(spark, path, store, lambda: next(calls), at_once=1) | {"bytes": 0} == {"samples": 50, "batches": 1, "bytes": 0, "aborted": True}
+    wal.append(frame(spark, ("m", {}, 9, 9)), path)
+    assert not wal.truncate(spark, path, until=3) and wal.batches(spark, path) == [4]
+    assert wal.at_start(spark, path, store)["mode"] == "checkpoint" and wal.batches(spark, path) == []
+
+
 RAW = "535442310101000003000000E80300000000000004000000180000003A658D15E807E807000000000000F83F00000000000004400000000000000080"
 XOR = "535442310101010003000000E803000000000000030000001000000003E0085BE8070000000000000045400080808080808020"
 
