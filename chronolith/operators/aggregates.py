@@ -36,9 +36,12 @@ def aggregate(v: Vector, tree: Aggregate, param: Scalar | None) -> Vector:
         return _ranked(v, tree, param)
     data, groups = _grouped(v, tree)
     if tree.op == "quantile":
-        # Values of a group and step are one for each of its series.
-        rows = data.groupBy("g", "k").agg(F.array_sort(F.collect_list("value")).alias("all"))
-        rows = param.beside(rows, "phi").select("g", "k", interpolated(F.col("all"), F.col("phi")).alias("value"))
+        # Values of a group and step are one for each of its series. A literal between 0 and 1 needs only their counts.
+        if param.constant is not None and 0 <= param.constant <= 1:
+            rows = data.groupBy("g", "k").agg(F.percentile("value", F.lit(param.constant)).alias("value"))
+        else:
+            rows = data.groupBy("g", "k").agg(F.array_sort(F.collect_list("value")).alias("all"))
+            rows = param.beside(rows, "phi").select("g", "k", interpolated(F.col("all"), F.col("phi")).alias("value"))
     elif tree.op in SIMPLE:
         rows = data.groupBy("g", "k").agg(SIMPLE[tree.op]().alias("value"))
     else:

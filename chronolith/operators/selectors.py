@@ -5,14 +5,23 @@ the shuffle, so that what follows sees at most one row for each series and
 bucket whatever the sampling rate, and a series with very many samples is
 spread over its buckets. Windows over a series then have as many rows as the
 query has buckets. No range join is needed: each bucket knows the steps it belongs to.
+
+Functions of successive samples fold runs of a series in the map tasks (first, last,
+losses at resets, numbers of changes) where the source keeps samples in order, as the
+store does; from other sources samples are put in order first, with one shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import gcd
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import interpolated
 from ..plans.syntax import Selector
@@ -46,7 +55,7 @@ class Windows:
         self.each, self.stride = self.range // self.width, step // self.width
         self.series, samples = source.select(selector.matchers, grid.start - self.offset - self.range, grid.end - self.offset)
         b = _ceil(F.col("ts") + (self.offset - grid.start), self.width).alias("b")
-        self.samples = samples.select("sid", "ts", "value", b)
+        self.samples, self.in_order = samples.select("sid", "ts", "value", b), source.in_order
         if self.stride > self.each:  # windows leave gaps
             self.samples = self.samples.where(self._first() <= self._last())
 
@@ -101,34 +110,85 @@ def _last_value(w: Windows) -> Vector:
     return w.vector(w.combined({"x": F.max_by("value", "ts")}, {"x": F.max_by("x", "b")}), F.col("x"))
 
 
-def _spread_of(f) -> object:
-    """Deviations are taken over the samples of each window: merging those of buckets would lose digits."""
+def _variance(w: Windows) -> tuple[DataFrame, Column]:
+    """Buckets have count, mean and the sum of squares about it, which merge without losing digits: what the means add is taken about the window's own."""
+    n, total = F.count("value").cast("double"), F.var_pop("value") * F.count("value")
+    rows = w.combined({"n": n, "mean": F.avg("value"), "m2": total}, {"n": F.sum("n"), "m2": F.sum("m2"), "parts": F.collect_list(F.struct("n", "mean"))})
+    mean = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["n"] * x["mean"]) / F.col("n")
+    rows = rows.withColumn("mean", mean)
+    between = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["n"] * (x["mean"] - F.col("mean")) * (x["mean"] - F.col("mean")))
+    return rows, (F.col("m2") + between) / F.col("n")
 
-    def run(w: Windows) -> Vector:
-        return w.vector(w.spread(w.samples).groupBy("sid", "k").agg(f("value").alias("x")), F.col("x"))
 
-    return run
+def _stdvar(w: Windows) -> Vector:
+    return w.vector(*_variance(w))
+
+
+def _stddev(w: Windows) -> Vector:
+    rows, variance = _variance(w)
+    return w.vector(rows, F.sqrt(variance))
+
+
+#: Rows that a task folds at once.
+_FOLDED = 1 << 18
+_PIECE = [("n", T.LongType()), ("ft", T.LongType()), ("fv", T.DoubleType()), ("lt", T.LongType()), ("lv", T.DoubleType()), ("pt", T.LongType()), ("pv", T.DoubleType()), ("lost", T.DoubleType()), ("resets", T.LongType()), ("changes", T.LongType())]
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each run of (sid, ts, value, b) with one series and bucket and rising times."""
+
+    def folded(table: pa.Table) -> pa.RecordBatch:
+        sid, ts, value, b = (c.combine_chunks() for c in table.columns)
+        t, v, at = (c.to_numpy(zero_copy_only=False) for c in (ts, value, b))
+        new = np.ones(len(t), bool)
+        new[1:] = pc.not_equal(sid[1:], sid[:-1]).to_numpy(zero_copy_only=False) | (at[1:] != at[:-1]) | (t[1:] <= t[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(t)) - 1
+        inner = ~new[1:]
+        falls, differs = np.append(False, inner & (v[1:] < v[:-1])), np.append(False, inner & (v[1:] != v[:-1]))
+        lost = np.where(falls, np.append(0.0, v[:-1]), 0.0)
+        single = last == first
+        before = np.maximum(last - 1, 0)
+        columns = [last - first + 1, t[first], v[first], t[last], v[last], pa.array(t[before], mask=single), pa.array(v[before], mask=single), np.add.reduceat(lost, first), np.add.reduceat(falls.astype(np.int64), first), np.add.reduceat(differs.astype(np.int64), first)]
+        return pa.RecordBatch.from_arrays([sid.take(pa.array(first)), pa.array(at[first]), *[pa.array(c) for c in columns]], names=["sid", "b", *[n for n, _ in _PIECE]])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= _FOLDED:
+            yield folded(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield folded(pa.Table.from_batches(held))
+
+
+def _pieces(w: Windows) -> DataFrame:
+    rows = w.samples if w.in_order else w.samples.repartition("sid", "b").sortWithinPartitions("sid", "b", "ts")
+    return rows.mapInArrow(_fold, T.StructType([rows.schema["sid"], T.StructField("b", T.LongType()), *[T.StructField(*f) for f in _PIECE]]))
 
 
 def _ordered(w: Windows) -> DataFrame:
     """What functions of successive samples need, for each window.
 
-    Within a bucket samples see the one before; a bucket sees the bucket before,
+    A piece sees the one before it in its bucket; a bucket sees the bucket before,
     which counts where that still lies in the window.
     """
-    inner = Window.partitionBy("sid", "b").orderBy("ts")
-    rows = w.samples.withColumns({"pt": F.lag("ts").over(inner), "pv": F.lag("value").over(inner)})
-    falls, differs = F.col("value") < F.col("pv"), F.col("value") != F.col("pv")
+    inner = Window.partitionBy("sid", "b").orderBy("ft")
+    rows = _pieces(w).withColumns({"qt": F.lag("lt").over(inner), "qv": F.lag("lv").over(inner)})
+    falls, differs = F.col("fv") < F.col("qv"), F.col("fv") != F.col("qv")
+    previous = F.when(F.col("n") > 1, F.struct("pt", "pv")).when(F.col("qt").isNotNull(), F.struct(F.col("qt").alias("pt"), F.col("qv").alias("pv")))
     buckets = rows.groupBy("sid", "b").agg(
-        F.count("value").alias("n"),
-        F.min("ts").alias("ft"),
-        F.min_by("value", "ts").alias("fv"),
-        F.max("ts").alias("lt"),
-        F.max_by("value", "ts").alias("lv"),
-        F.max_by(F.struct("pt", "pv"), "ts").alias("before"),
-        F.sum(F.when(falls, F.col("pv")).otherwise(0.0)).alias("lost"),
-        F.sum(F.when(falls, 1).otherwise(0)).alias("resets"),
-        F.sum(F.when(differs, 1).otherwise(0)).alias("changes"),
+        F.sum("n").alias("n"),
+        F.min("ft").alias("ft"),
+        F.min_by("fv", "ft").alias("fv"),
+        F.max("lt").alias("lt"),
+        F.max_by("lv", "lt").alias("lv"),
+        F.max_by(F.struct(previous.alias("x")), "lt")["x"].alias("before"),
+        F.sum(F.col("lost") + F.when(falls, F.col("qv")).otherwise(0.0)).alias("lost"),
+        F.sum(F.col("resets") + F.when(falls, 1).otherwise(0)).alias("resets"),
+        F.sum(F.col("changes") + F.when(differs, 1).otherwise(0)).alias("changes"),
     )
     outer = Window.partitionBy("sid").orderBy("b")
     buckets = buckets.withColumns({"pb": F.lag("b").over(outer), "plt": F.lag("lt").over(outer), "plv": F.lag("lv").over(outer)})
@@ -194,16 +254,19 @@ RANGE = {
     "count_over_time": _count,
     "last_over_time": _last_value,
     "present_over_time": _present,
-    "stddev_over_time": _spread_of(F.stddev_pop),
-    "stdvar_over_time": _spread_of(F.var_pop),
+    "stddev_over_time": _stddev,
+    "stdvar_over_time": _stdvar,
     "changes": lambda w: w.vector(_ordered(w), F.col("changes").cast("double")),
     "resets": lambda w: w.vector(_ordered(w), F.col("resets").cast("double")),
 }
 
 
 def quantile_over_time(w: Windows, phi: Scalar) -> Vector:
-    """A window's samples are as many as the range holds; their quantile needs them together."""
-    rows = w.spread(w.samples).groupBy("sid", "k").agg(F.array_sort(F.collect_list("value")).alias("all"))
+    """Of all samples of a window. A literal between 0 and 1 is an aggregate of counted values, combined in the map tasks; others need the sorted samples together."""
+    each = w.spread(w.samples).groupBy("sid", "k")
+    if phi.constant is not None and 0 <= phi.constant <= 1:
+        return w.vector(each.agg(F.percentile("value", F.lit(phi.constant)).alias("x")), F.col("x"))
+    rows = each.agg(F.array_sort(F.collect_list("value")).alias("all"))
     return w.vector(phi.beside(rows, "phi"), interpolated(F.col("all"), F.col("phi")))
 
 

@@ -66,17 +66,23 @@ def matches(labels: Column, matchers: tuple[Matcher, ...]) -> Column:
 
 @dataclass(frozen=True)
 class Source:
-    """Series ``(sid, labels)`` and samples ``(sid, ts, value)``: one sample for each series and millisecond, no NaN."""
+    """Series ``(sid, labels)`` and samples ``(sid, ts, value)``: one sample for each series and millisecond, no NaN.
+
+    ``in_order``: within a partition a series' samples come by time, and no other
+    partition has samples of that series between them; and the ids of all
+    series together are few enough to be broadcast.
+    """
 
     series: DataFrame
     samples: DataFrame
+    in_order: bool = False
 
     @staticmethod
     def of(rows: DataFrame) -> Source:
-        """From ``(labels, ts, value)``; the series id is a hash of the canonical labels."""
-        named = rows.where(present(F.col("value"))).select("labels", F.xxhash64(canonical(F.col("labels"))).alias("sid"), F.col("ts").cast("long").alias("ts"), F.col("value").cast("double").alias("value"))
+        """From ``(labels, ts, value)``; the series id is 128 bits of a digest of the canonical labels. The last row of a series and time counts."""
+        named = rows.where(present(F.col("value"))).select("labels", F.md5(canonical(F.col("labels"))).alias("sid"), F.col("ts").cast("long").alias("ts"), F.col("value").cast("double").alias("value"))
         series = named.groupBy("sid").agg(F.first("labels").alias("labels"))
-        return Source(series, named.select("sid", "ts", "value"))
+        return Source(series, named.withColumn("n", F.monotonically_increasing_id()).groupBy("sid", "ts").agg(F.max_by("value", "n").alias("value")))
 
     def select(self, matchers: tuple[Matcher, ...], after: int | None, until: int | None) -> tuple[DataFrame, DataFrame]:
         """Series that match, and their samples with after < ts <= until. Both tests reach the scan; series ids are a semi join."""
@@ -86,7 +92,8 @@ class Source:
             samples = samples.where(F.col("ts") > after)
         if until is not None:
             samples = samples.where(F.col("ts") <= until)
-        return series, samples.join(series.select("sid"), "sid", "left_semi")
+        ids = series.select("sid")
+        return series, samples.join(F.broadcast(ids) if self.in_order else ids, "sid", "left_semi")
 
 
 @dataclass(frozen=True)

@@ -13,10 +13,10 @@ from .plans.twin import SAMPLES, Twin
 from .sources import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: 2024-01-02 00:00 to 2024-01-20 in steps of six hours; instant selectors look back an hour.
-START, STEP, N, LOOKBACK = 1_704_153_600_000, 21_600_000, 73, 3_600_000
-#: Start, step and number of steps of the queries ``all_``, in SQL.
-WHOLE = (
+#: Queries have a step of six hours, from the step at or before the first event to that at or after the last.
+STEP = 21_600_000
+#: Start, step and number of steps, in SQL.
+GRID = (
     f"(SELECT epoch_ms(min(ts)) // {STEP} * {STEP} FROM events)",
     STEP,
     f"(SELECT (epoch_ms(max(ts)) + {STEP - 1}) // {STEP} - epoch_ms(min(ts)) // {STEP} + 1 FROM events)",
@@ -111,30 +111,22 @@ def metrics_of(query: str) -> tuple[str, ...]:
     return tuple(m for m in SAMPLES if re.search(rf"\b{m}\b", query))
 
 
-def promql(query: str, start: int = START, end: int = START + (N - 1) * STEP, lookback: int = LOOKBACK) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        names = frozenset(metrics_of(query)) or frozenset(["hourly_count"])
-        engine = Engine(derived.source(spark, sf_dir, names), lookback)
-        rows = engine.table(query, start, end, STEP)
-        columns = [F.col("labels")["__name__" if c == "name" else c].alias(c) for c in ("name", "event_type", "user_id", "le")]
-        return rows.select(*columns, "step", F.round("value", 6).alias("value"))
-
-    return run
-
-
 def whole_range(spark: SparkSession, sf_dir: str) -> tuple[int, int] | None:
     """First and last step of the grid that has every event in a window of a step; None without events."""
     first, last = derived.events(spark, sf_dir).agg(F.min("t"), F.max("t")).first()
     return None if first is None else (first // STEP * STEP, -(-last // STEP) * STEP)
 
 
-def whole(query: str) -> Query:
-    """The same query over the whole table: from its first event to its last, with a lookback of a step."""
+def promql(query: str) -> Query:
+    """The query over the whole table, from its first event to its last, with a lookback of a step."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = whole_range(spark, sf_dir)
         start, end = found or (0, 0)
-        rows = promql(query, start, end, STEP)(spark, sf_dir)
+        names = frozenset(metrics_of(query)) or frozenset(["hourly_count"])
+        rows = Engine(derived.source(spark, sf_dir, names), STEP).table(query, start, end, STEP)
+        columns = [F.col("labels")["__name__" if c == "name" else c].alias(c) for c in ("name", "event_type", "user_id", "le")]
+        rows = rows.select(*columns, "step", F.round("value", 6).alias("value"))
         return rows if found else rows.where(F.lit(False))
 
     return run
@@ -145,18 +137,13 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {name: promql(query) for name, query in PROMQL.items()}
-    out |= {f"all_{name}": whole(query) for name, query in PROMQL.items()}
     from . import store_queries
 
-    return out | store_queries.queries()
+    return {name: promql(query) for name, query in PROMQL.items()} | store_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    twin = Twin(START, STEP, N, LOOKBACK)
-    out = {name: twin.query(query, metrics_of(query)) for name, query in PROMQL.items()}
-    every = Twin(*WHOLE, STEP)
-    out |= {f"all_{name}": every.query(query, metrics_of(query)) for name, query in PROMQL.items()}
     from . import store_queries
 
-    return out | store_queries.oracle_sql()
+    twin = Twin(*GRID, STEP)
+    return {name: twin.query(query, metrics_of(query)) for name, query in PROMQL.items()} | store_queries.oracle_sql()

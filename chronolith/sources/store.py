@@ -39,6 +39,8 @@ SERIES = "sid long, labels_key string, labels map<string,string>"
 FORMAT, LAYOUT = "sample-store", 2
 #: Series up to which the driver keeps the labels of a version (a checked bound; more are joined as a table).
 FEW_SERIES = 10_000
+#: Series up to which their ids, eight bytes each, are broadcast to the scan of the samples.
+BROADCAST_IDS = 1_000_000
 
 
 class StoreError(RuntimeError):
@@ -185,7 +187,9 @@ class MetricStore:
             parts.append(merged.select("sid", "ts", "value"))
         raw = self._rows({k: b for k, b in live.items() if not b.merged}, start, end)
         if raw is not None:
-            parts.append(raw.groupBy("sid", "ts").agg(F.max_by("value", "seq").alias("value")))
+            # Dealt by series and bucket, so that the samples of both come out in order.
+            dealt = raw.withColumn("bucket", self._bucket()).repartition("sid", "bucket")
+            parts.append(dealt.groupBy("sid", "bucket", "ts").agg(F.max_by("value", "seq").alias("value")).sortWithinPartitions("sid", "ts").select("sid", "ts", "value"))
         if not parts:
             return self.spark.createDataFrame([], "sid long, ts long, value double")
         return reduce(DataFrame.unionByName, parts)
@@ -193,7 +197,7 @@ class MetricStore:
     def source(self, start: int | None = None, end: int | None = None) -> Source:
         """For the query engine; give the time range of the queries to leave out buckets."""
         m = self.manifest()
-        return Source(self.series(m).select("sid", "labels"), self.samples(start, end, m))
+        return Source(self.series(m).select("sid", "labels"), self.samples(start, end, m), in_order=m.series_count <= BROADCAST_IDS)
 
     def select(self, matchers: tuple[Matcher, ...], start: int, end: int) -> DataFrame:
         """(labels, sid, ts, value) of matching series in [start, end]."""
