@@ -4,7 +4,8 @@ The model knows ``words`` frequent tokens and treats the rest as one rare token.
 Output is factored twice, so that its cost grows slowly with ``words``: a softmax
 over groups of classes (the rare token is the last group), one over the classes of the
 group, then one over the tokens of the class. Token 0 is the end of a
-text, and what a text begins after.
+text, and what a text begins after. Parameters that a token touches a row of learn by
+adaptive gradients with one sum of squares a row, all others with moments.
 """
 
 from __future__ import annotations
@@ -15,14 +16,19 @@ from pathlib import Path
 
 import numpy as np
 
-EMBEDDING, HIDDEN, CLASS = 16, 24, 32
+EMBEDDING, HIDDEN = 16, 16
+#: Tokens of a class, and classes of a group.
+CLASS, MIDDLE = 16, 64
 #: Steps of truncated backpropagation, and lanes of a training stream.
-WINDOW, LANES = 24, 64
+WINDOW, LANES = 24, 256
 RATE = 0.01
+#: Of the rows below.
+ROW_RATE = 0.03
 #: Parameters of which a token touches a row alone.
 ROWS = ("e", "wm", "bm", "ww", "bw")
 #: Tokens of a class from which it has a product of its own, and the others that are gathered at once.
-MANY, GATHERED = 16, 2048
+MANY, GATHERED = 24, 2048
+
 
 @cache
 def one_thread() -> None:
@@ -37,7 +43,7 @@ def one_thread() -> None:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -45,66 +51,75 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(-1, keepdims=True))
 
 
-def _runs(group: np.ndarray):
-    """(group, places) of the groups with many places, one by one; then all others, sorted, as (None, places)."""
-    order = np.argsort(group, kind="stable")
-    each, begin, n = np.unique(group[order], return_index=True, return_counts=True)
-    for j in np.flatnonzero(n >= MANY).tolist():
-        yield int(each[j]), order[begin[j] : begin[j] + n[j]]
-    few = order[np.repeat(n < MANY, n)]
-    for at in range(0, len(few), GATHERED):
-        yield None, few[at : at + GATHERED]
-
-
-def _ranks(rows: np.ndarray):
-    """Places of the first of each row, of the second, …: no row twice in one of them."""
-    order = np.argsort(rows, kind="stable")
-    _, begin, n = np.unique(rows[order], return_index=True, return_counts=True)
-    rank = np.arange(len(rows)) - np.repeat(begin, n)
-    for r in range(int(n.max()) if len(n) else 0):
-        yield order[rank == r]
-
-
-def _inside(h: np.ndarray, w: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row of ``h`` by the weights of its group."""
-    z = np.empty((len(h), CLASS), np.result_type(h, w))
-    for c, own in _runs(group):
-        z[own] = h[own] @ w[c] + b[c] if c is not None else np.matmul(h[own, None], w[group[own]])[:, 0] + b[group[own]]
-    return _log_softmax(z)
-
-
-def _inside_gradients(h: np.ndarray, w: np.ndarray, d: np.ndarray, group: np.ndarray):
-    """Touched groups, gradients of their weights and biases, and of ``h``, from those of the scores."""
-    each, at = np.unique(group, return_inverse=True)
-    gw, gb, dh = np.zeros((len(each), *w.shape[1:]), d.dtype), np.zeros((len(each), CLASS), d.dtype), np.empty_like(h)
-    for c, own in _runs(group):
-        if c is not None:
-            gw[at[own[0]]], gb[at[own[0]]], dh[own] = h[own].T @ d[own], d[own].sum(0), d[own] @ w[c].T
-        else:
-            for i in _ranks(at[own]):
-                i = own[i]
-                gw[at[i]] += h[i, :, None] * d[i, None]
-                gb[at[i]] += d[i]
-            dh[own] = np.matmul(w[group[own]], d[own, :, None])[:, :, 0]
-    return each, gw, gb, dh
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(-1, keepdims=True)
+    return z
+
+
+def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of a sorted array, where each begins and how many places it has."""
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
+    return group[first], first, np.diff(np.append(first, len(group)))
+
+
+class _Runs:
+    """Products of rows with the matrix of their group; the groups are sorted.
+
+    A group of many rows has a product of its own, the matrices of all others are gathered.
+    """
+
+    def __init__(self, group: np.ndarray):
+        self.group = group
+        self.each, self.first, self.n = _runs(group)
+        many = self.n >= MANY
+        self.large = list(zip(self.each[many].tolist(), self.first[many].tolist(), (self.first + self.n)[many].tolist(), np.flatnonzero(many).tolist(), strict=True))
+        few = np.flatnonzero(np.repeat(~many, self.n))
+        self.few = [few[at : at + GATHERED] for at in range(0, len(few), GATHERED)]
+        self.small, self.small_rows = np.flatnonzero(~many), few
+
+    def scores(self, h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        z = np.empty((len(h), w.shape[2]), np.result_type(h, w))
+        for c, begin, end, _ in self.large:
+            np.matmul(h[begin:end], w[c], out=z[begin:end])
+        for own in self.few:
+            z[own] = np.matmul(h[own, None], w[self.group[own]])[:, 0]
+        z += b[self.group]
+        return z
+
+    def gradients(self, h: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the groups' weights and biases, and of ``h``, from those of the scores."""
+        gw, dh = np.empty((len(self.each), *w.shape[1:]), d.dtype), np.empty_like(h)
+        gb = np.add.reduceat(d, self.first, axis=0)
+        for c, begin, end, j in self.large:
+            np.matmul(h[begin:end].T, d[begin:end], out=gw[j])
+            np.matmul(d[begin:end], w[c].T, out=dh[begin:end])
+        for own in self.few:
+            dh[own] = np.matmul(w[self.group[own]], d[own, :, None])[:, :, 0]
+        if len(self.small):
+            own, n = self.small_rows, self.n[self.small]
+            gw[self.small] = np.add.reduceat(h[own, :, None] * d[own, None], np.cumsum(n) - n, axis=0)
+        return gw, gb, dh
 
 
 class Gru:
     def __init__(self, counts: np.ndarray, rare: float, seed: int = 0):
         """``counts`` of the frequent tokens, a multiple of CLASS of them, and of all others together; output starts as their unigram model."""
         self.words, self.classes = len(counts), len(counts) // CLASS
-        self.groups = -(-self.classes // CLASS)
-        self.moments, self.met, self.seen = {}, {}, 0
+        self.groups = -(-self.classes // MIDDLE)
+        self.moments, self.squares, self.met, self.seen = {}, {}, {}, 0
+        self._given: np.ndarray | None = None
         rng = np.random.default_rng(seed)
-        shape = {"e": (self.words + 1, EMBEDDING), "wx": (EMBEDDING, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "bn": (HIDDEN,), "wc": (HIDDEN, self.groups + 1), "bc": (self.groups + 1,), "wm": (self.groups, HIDDEN, CLASS), "bm": (self.groups, CLASS), "ww": (self.classes, HIDDEN, CLASS), "bw": (self.classes, CLASS)}
+        shape = {"e": (self.words + 1, EMBEDDING), "wx": (EMBEDDING, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "bn": (HIDDEN,), "wc": (HIDDEN, self.groups + 1), "bc": (self.groups + 1,), "wm": (self.groups, HIDDEN, MIDDLE), "bm": (self.groups, MIDDLE), "ww": (self.classes, HIDDEN, CLASS), "bw": (self.classes, CLASS)}
         self.p = {k: np.zeros(s, np.float32) for k, s in shape.items()}
         for k, scale in (("e", 0.3), ("wx", EMBEDDING**-0.5), ("wh", HIDDEN**-0.5)):
             self.p[k][:] = rng.normal(0, scale, shape[k])
         per = counts.reshape(self.classes, CLASS) + 0.5
         self.p["bw"][:] = np.log(per / per.sum(1, keepdims=True))
-        of = np.zeros(self.groups * CLASS)
+        of = np.zeros(self.groups * MIDDLE)
         of[: self.classes] = per.sum(1)
-        of = of.reshape(self.groups, CLASS)
+        of = of.reshape(self.groups, MIDDLE)
         self.p["bm"][:] = np.where(of > 0, np.log(np.maximum(of, 1e-300) / of.sum(1, keepdims=True)), -1e9)  # a last group is padded
         mass = np.append(of.sum(1), rare + 0.5)
         self.p["bc"][:] = np.log(mass / mass.sum())
@@ -118,6 +133,7 @@ class Gru:
             n = self.p[k].size
             self.p[k] = flat[at : at + n].reshape(self.p[k].shape).astype(np.float32)
             at += n
+        self._given = None
         return self
 
     def changes(self, before: Gru):
@@ -136,18 +152,27 @@ class Gru:
         own = h @ self.p["wh"]
         zr = _sigmoid(gates[:, : 2 * k] + own[:, : 2 * k])
         n = np.tanh(gates[:, 2 * k :] + zr[:, k:] * (own[:, 2 * k :] + self.p["bn"]))
-        z = zr[:, :k]
-        return n + z * (h - n)
+        return n + zr[:, :k] * (h - n)
+
+    def _places(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and group of each token; the rare one has a group alone."""
+        part = np.minimum(target // CLASS, self.classes)
+        return part, np.where(part < self.classes, part // MIDDLE, self.groups)
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logs; for the rare token (number ``words``) that of its group alone."""
-        part = np.minimum(target // CLASS, self.classes)
-        known = np.flatnonzero(part < self.classes)
-        group = np.where(part < self.classes, part // CLASS, self.groups)
+        part, group = self._places(target)
         out = _log_softmax(h @ self.p["wc"] + self.p["bc"])[np.arange(len(target)), group].astype(np.float64)
-        at, h, part = np.arange(len(known)), h[known], part[known]
-        out[known] += _inside(h, self.p["wm"], self.p["bm"], part // CLASS)[at, part % CLASS]
-        out[known] += _inside(h, self.p["ww"], self.p["bw"], part)[at, target[known] % CLASS]
+        order = np.argsort(target, kind="stable")
+        order = order[: np.searchsorted(target[order], self.words)]
+        h, goal, part = h[order], target[order], part[order]
+        at = np.arange(len(order))
+        for w, b, of, inner in (("wm", "bm", part // MIDDLE, part % MIDDLE), ("ww", "bw", part, goal % CLASS)):
+            z = _Runs(of).scores(h, self.p[w], self.p[b])
+            z -= z.max(-1, keepdims=True)
+            hit = z[at, inner].astype(np.float64)
+            np.exp(z, out=z)
+            out[order] += hit - np.log(z.sum(-1))
         return out
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
@@ -157,30 +182,35 @@ class Gru:
         a step together and keep their state to the end of their text. Hidden
         states are gathered in windows for the output layer.
         """
+        if self._given is None:
+            self._given = self.inputs()
         order = np.argsort(-lengths, kind="stable")
         begins, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
-        gates, out = self.inputs(), np.zeros(len(lengths))
-        h = np.zeros((len(lengths), HIDDEN), np.float32)
-        active = np.searchsorted(-size, -np.arange(int(size[0]) + 1 if len(size) else 0), "right")  # lanes with at least t tokens
-        states, targets, lanes, held = [], [], [], 0
+        gates, out = self._given, np.zeros(len(lengths))
+        h = np.zeros((len(lengths), HIDDEN), gates.dtype)
+        reach = -np.arange(int(size[0]) + 2 if len(size) else 0)
+        active = np.searchsorted(-size, reach, "right").tolist()  # lanes with at least t tokens
+        states, targets, held, begin = [], [], [], 0
 
         def flush() -> None:
-            lane = np.concatenate(lanes)
-            out[:] += np.bincount(lane, weights=self.log_probabilities(np.concatenate(states), np.concatenate(targets)), minlength=len(out))
-            states.clear(), targets.clear(), lanes.clear()
-
-        for t, m in enumerate(active.tolist()):
-            given = tokens[begins[:m] + t - 1] if t else np.zeros(m, np.int64)
-            h = self.step(gates[given], h[:m])
-            inside = size[:m] > t
-            k = int(inside.sum())  # the first k lanes have a next token; the others end here
-            target = np.zeros(m, np.int64)
-            target[:k] = tokens[begins[:k] + t]
-            states.append(h), targets.append(target), lanes.append(np.arange(m))
-            held += m
-            if held >= at_once:
+            found = self.log_probabilities(np.concatenate(states), np.concatenate(targets))
+            at = 0
+            for m in held:
+                out[:m] += found[at : at + m]
+                at += m
+            states.clear(), targets.clear(), held.clear()
+
+        given = np.zeros(len(lengths), tokens.dtype)
+        for t, m in enumerate(active[:-1]):
+            h = self.step(gates[given[:m]], h[:m])
+            k = active[t + 1]  # the first k lanes have a next token; the others end here
+            given = np.zeros(m, tokens.dtype)
+            given[:k] = tokens[begins[:k] + t]
+            states.append(h), targets.append(given), held.append(m)
+            begin += m
+            if begin >= at_once:
                 flush()
-                held = 0
+                begin = 0
         if states:
             flush()
         result = np.zeros(len(lengths))
@@ -188,7 +218,7 @@ class Gru:
         return result
 
     def fit(self, stream: np.ndarray, rate: float = RATE) -> None:
-        """One pass over all of a stream of texts (tokens, then 0, for each) by truncated backpropagation through time, with adaptive moments that go on from call to call."""
+        """One pass over all of a stream of texts (tokens, then 0, for each) by truncated backpropagation through time; what it has learnt of step sizes goes on from call to call."""
         if not len(stream):
             return
         lanes = int(np.clip(len(stream) // 256, 1, LANES))
@@ -199,29 +229,25 @@ class Gru:
         given = np.concatenate((np.zeros((1, lanes), stream.dtype), np.maximum(target[:-1], 0)))
         h = np.zeros((lanes, HIDDEN), np.float32)
         if not self.moments:
-            self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+            self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items() if k not in ROWS}
+            self.squares = {k: np.zeros(len(self.p[k]), np.float32) for k in ROWS}
+            self.met = {k: np.zeros(len(self.p[k]) if k in ROWS else 1, np.int64) for k in self.p}
         for at in range(0, long, WINDOW):
             self.seen += 1
             grads, h = self._touched(given[at : at + WINDOW], target[at : at + WINDOW], h)
-            for k, (rows, g, _) in grads.items():
-                first, second = self.moments[k]
-                one, two = 0.9 * first[rows], 0.99 * second[rows]
-                one += np.float32(0.1) * g
-                first[rows] = one
-                g *= g
-                g *= np.float32(0.01)
-                two += g
-                second[rows] = two
-                two /= 1 - 0.99**self.seen
-                np.sqrt(two, out=two)
-                two += 1e-5
-                one *= rate / (1 - 0.9**self.seen)
-                one /= two
-                self.p[k][rows] -= one
-            for k, (rows, _, n) in grads.items():
-                if k not in self.met:
-                    self.met[k] = np.zeros(len(self.p[k]) if k in ROWS else 1, np.int64)
+            for k, (rows, g, n) in grads.items():
                 self.met[k][rows if k in ROWS else 0] += n
+                if k in ROWS:
+                    flat = g.reshape(len(g), -1)
+                    total = self.squares[k][rows] + np.einsum("ij,ij->i", flat, flat) / flat.shape[1]
+                    self.squares[k][rows] = total
+                    flat *= (-ROW_RATE / np.sqrt(total + np.float32(1e-20)))[:, None]
+                    self.p[k][rows] += g
+                    continue
+                first, second = self.moments[k]
+                first += np.float32(0.1) * (g - first)
+                second += np.float32(0.01) * (g * g - second)
+                self.p[k] -= rate / (1 - 0.9**self.seen) * first / (np.sqrt(second / (1 - 0.99**self.seen)) + 1e-5)
 
     def _gradients(self, given: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean negative log-likelihood of a window, and the state after it. Targets of -1 don't count."""
@@ -235,62 +261,63 @@ class Gru:
         """As ``_gradients``, by what is touched alone: (rows, their gradients, tokens that touched them) for each parameter."""
         p, k = self.p, HIDDEN
         steps, lanes = given.shape
-        kept = []
-        hs = np.zeros((steps, lanes, k), np.float32)
+        kind = np.result_type(h, p["wh"])
+        x = p["e"][given.reshape(-1)]
+        gates = (x @ p["wx"] + p["b"]).reshape(steps, lanes, 3 * k)
+        live = (given != 0)[:, :, None].astype(kind)  # 0: a text begins
+        before, hs, zr, inner, n = (np.empty((steps, lanes, w), kind) for w in (k, k, 2 * k, k, k))
         for t in range(steps):
-            h = np.where(given[t][:, None] == 0, np.float32(0), h)  # a text begins
-            x = p["e"][given[t]]
-            gates, own = x @ p["wx"] + p["b"], h @ p["wh"]
-            zr = _sigmoid(gates[:, : 2 * k] + own[:, : 2 * k])
-            inner = own[:, 2 * k :] + p["bn"]
-            n = np.tanh(gates[:, 2 * k :] + zr[:, k:] * inner)
-            kept.append((h, x, zr[:, :k], zr[:, k:], inner, n))
-            h = n + zr[:, :k] * (h - n)
+            before[t] = h * live[t]
+            own = before[t] @ p["wh"]
+            zr[t] = _sigmoid(gates[t, :, : 2 * k] + own[:, : 2 * k])
+            inner[t] = own[:, 2 * k :] + p["bn"]
+            n[t] = np.tanh(gates[t, :, 2 * k :] + zr[t, :, k:] * inner[t])
+            h = n[t] + zr[t, :, :k] * (before[t] - n[t])
             hs[t] = h
-        g = {name: np.zeros_like(p[name]) for name in ("wx", "wh", "b", "bn")}
+        g, rows = {}, {}
         flat, goal = hs.reshape(-1, k), target.reshape(-1)
-        total = np.float32((goal >= 0).sum())
-        part = np.minimum(goal // CLASS, self.classes)
-        group = np.where(part < self.classes, part // CLASS, self.groups)
-        d = np.exp(_log_softmax(flat @ p["wc"] + p["bc"]))
+        total = kind.type((goal >= 0).sum())
+        part, group = self._places(goal)
+        d = _softmax(flat @ p["wc"] + p["bc"])
         d[np.arange(len(goal)), group] -= 1
         d[goal < 0] = 0
         d /= total
         g["wc"], g["bc"] = flat.T @ d, d.sum(0)
         dh = d @ p["wc"].T
-        known = np.flatnonzero((goal >= 0) & (part < self.classes))
-        rows = {}
-        for w, b, of, inner in (("wm", "bm", part[known] // CLASS, part[known] % CLASS), ("ww", "bw", part[known], goal[known] % CLASS)):
-            if len(known):
-                d = np.exp(_inside(flat[known], p[w], p[b], of))
-                d[np.arange(len(known)), inner] -= 1
+        order = np.argsort(goal, kind="stable")
+        known = order[np.searchsorted(goal[order], 0) : np.searchsorted(goal[order], self.words)]
+        if len(known):
+            own, part, goal = flat[known], part[known], goal[known]
+            for w, b, of, at in (("wm", "bm", part // MIDDLE, part % MIDDLE), ("ww", "bw", part, goal % CLASS)):
+                runs = _Runs(of)
+                d = _softmax(runs.scores(own, p[w], p[b]))
+                d[np.arange(len(known)), at] -= 1
                 d /= total
-                each, gw, gb, own = _inside_gradients(flat[known], p[w], d, of)
-                n = np.bincount(np.searchsorted(each, of))
-                rows[w], rows[b] = (each, gw, n), (each, gb, n)
-                dh[known] += own
+                gw, gb, more = runs.gradients(own, p[w], d)
+                rows[w], rows[b] = (runs.each, gw, runs.n), (runs.each, gb, runs.n)
+                dh[known] += more
         dh = dh.reshape(hs.shape)
-        back, de = np.zeros((lanes, k), np.float32), np.empty((steps, lanes, EMBEDDING), dh.dtype)
+        to_gates, to_own = np.empty((steps, lanes, 3 * k), kind), np.empty((steps, lanes, 3 * k), kind)
+        back = np.zeros((lanes, k), kind)
+        z, r = zr[:, :, :k], zr[:, :, k:]
+        into_n, into_z, into_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
         for t in range(steps - 1, -1, -1):
-            before, x, z, r, inner, n = kept[t]
             d = dh[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * inner * r * (1 - r)
-            gates = np.concatenate((dz, dr, dn), 1)
-            own = np.concatenate((dz, dr, dn * r), 1)
-            g["b"] += gates.sum(0)
-            g["bn"] += own[:, 2 * k :].sum(0)
-            g["wx"] += x.T @ gates
-            g["wh"] += before.T @ own
-            de[t] = gates @ p["wx"].T
-            back = (d * z + own @ p["wh"].T) * (given[t][:, None] != 0)
-        flat, order = given.reshape(-1), np.argsort(given.reshape(-1), kind="stable")
-        each, begin = np.unique(flat[order], return_index=True)
-        ge = np.add.reduceat(de.reshape(-1, EMBEDDING)[order], begin, axis=0)
-        rows["e"] = (each, ge, np.diff(np.append(begin, len(flat))))
+            dn = d * into_n[t]
+            to_gates[t, :, :k] = d * into_z[t]
+            to_gates[t, :, k : 2 * k] = dn * into_r[t]
+            to_gates[t, :, 2 * k :] = dn
+            to_own[t, :, : 2 * k] = to_gates[t, :, : 2 * k]
+            to_own[t, :, 2 * k :] = dn * r[t]
+            back = (d * z[t] + to_own[t] @ p["wh"].T) * live[t]
+        to_gates, to_own = to_gates.reshape(-1, 3 * k), to_own.reshape(-1, 3 * k)
+        g["b"], g["bn"] = to_gates.sum(0), to_own[:, 2 * k :].sum(0)
+        g["wx"], g["wh"] = x.T @ to_gates, before.reshape(-1, k).T @ to_own
+        de, order = to_gates @ p["wx"].T, np.argsort(given.reshape(-1), kind="stable")
+        each, begin, times = _runs(given.reshape(-1)[order])
+        rows["e"] = (each, np.add.reduceat(de[order], begin, axis=0), times)
         rows |= {name: (slice(None), v, int(total)) for name, v in g.items()}
         norm = np.sqrt(sum(float(np.vdot(v, v)) for _, v, _ in rows.values()))
         if norm > 1:
-            rows = {name: (at, v / np.float32(norm), n) for name, (at, v, n) in rows.items()}
+            rows = {name: (at, v / kind.type(norm), n) for name, (at, v, n) in rows.items()}
         return rows, h

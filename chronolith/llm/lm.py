@@ -6,24 +6,28 @@ broadcast with their counts (a bound by construction: the threshold is taken fro
 of counts); the counts of all rarer words stay distributed and meet the rare words of the
 documents in a join on the word, so the vocabulary may be of any size.
 
-The recurrent model (module ``gru``) has the broadcast words and the
+The recurrent model (module ``gru``) has the most frequent ``OUTPUTS`` words and the
 end as inputs and outputs, in classes that grow with them, and one group for all others; within that group a
 word has (c + 1) / (N' + V' + 1) of tokens N' and different words V' there, so
-unseen words have a probability too and texts are scored whole. It is trained
-where the data are: in each of ``ROUNDS`` rounds every task takes the weights
-of the round before, runs truncated backpropagation over its training texts
-whose hash falls in the round's 1 of ``SHARE`` parts, and the changes are averaged: those of a
-word or a class by the tokens that touched it in each task, so that a word of few tasks isn't diluted
-by the others, and all else by tokens. Changes travel as half floats, for touched rows only. There are as many parts as rounds, so each training text is learnt from once.
+unseen words have a probability too and texts are scored whole.
+
+Texts are made numbers once, and training texts dealt to shards of about ``BLOCK`` tokens by a
+hash of id and text. In each of ``ROUNDS`` rounds a part of the shards is learnt from, each by itself
+and in the order of the hash, starting from the weights of the round before, and the changes are averaged: those of a
+word or a class by the tokens that touched it in each shard, so that a word of few shards isn't diluted
+by the others, and all else by tokens. Every training text is learnt from once. Shards, and the order in which
+their changes are summed, don't depend on how the table is split into files or tasks. Changes travel
+as half floats, for touched rows only, and are merged in two steps.
 
 Rows: null and empty texts have one token, the end; ids may be null (then
 learnt from, and not held out) or repeated. Without training texts all counts are
-0, and both scores are still defined.
+0, and both scores are still defined. Scores have six digits, as products may round by what they are computed beside.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +39,13 @@ from .common import carried, steps, text_bytes, written
 from .gru import CLASS, ROWS, Gru, one_thread
 
 FREQUENT = 1 << 18
-ROUNDS, SHARE = 2, 2
-#: Tokens that a task holds at once to train on; twice as many at most, and a text.
+#: Words of the recurrent model.
+OUTPUTS = 1 << 16
+ROUNDS = 2
+#: Tokens of a shard, about; a task holds twice as many at most, and a text.
 BLOCK = 1 << 20
+#: Parts in which the changes of all shards are summed before their sums are.
+PARTS = 16
 #: Rows of a parameter whose changes travel together.
 ROWS_AT_ONCE = 512
 #: Distinct words that a task counts before it hands them on.
@@ -85,18 +93,23 @@ def _bin(c: Column) -> Column:
 class Lexicon:
     """Frequent words by falling count, their counts, and the totals of training tokens."""
 
-    def __init__(self, rows: list[tuple[str, int]], texts: int, tokens: int, types: int):
+    def __init__(self, rows: list[tuple[str, int]], texts: int, tokens: int, types: int, outputs: int = OUTPUTS):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
         self.texts, self.n, self.v = texts, tokens + texts, types + (texts > 0)
         self.number = {w.encode(): i + 1 for i, (w, _) in enumerate(rows)}
         self.counts = np.array([texts] + [c for _, c in rows], np.int64)  # 0 is the end
-        self.outputs = len(self.counts)
-        self.rare_n, self.rare_v = self.n - int(self.counts.sum()), self.v - int((self.counts > 0).sum())
+        self.outputs = min(outputs, len(self.counts))
+        own = self.counts[: self.outputs]
+        self.rare_n, self.rare_v = self.n - int(own.sum()), self.v - int((own > 0).sum())
 
-    def model(self) -> Gru:
+    def shape(self) -> tuple[np.ndarray, float]:
+        """What a model starts from: counts of its words, padded, and of all others together."""
         counts = np.zeros(-(-self.outputs // CLASS) * CLASS)
-        counts[: self.outputs] = self.counts
-        return Gru(counts, float(self.rare_n))
+        counts[: self.outputs] = self.counts[: self.outputs]
+        return counts, float(self.rare_n)
+
+    def model(self) -> Gru:
+        return Gru(*self.shape())
 
     def tokens(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
         """Numbers of the words of a text (-1 for those that aren't frequent), and these words."""
@@ -105,8 +118,12 @@ class Lexicon:
         ids = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
         return ids, [own[i] for i in np.flatnonzero(ids < 0).tolist()]
 
+    def inputs(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers for the model: words beyond its own share the one after the padded outputs."""
+        return np.where((ids < 0) | (ids >= self.outputs), -(-self.outputs // CLASS) * CLASS, ids)
+
 
-def learn_lexicon(counts: DataFrame, texts: int, frequent: int = FREQUENT) -> tuple[Lexicon, DataFrame]:
+def learn_lexicon(counts: DataFrame, texts: int, frequent: int = FREQUENT, outputs: int = OUTPUTS) -> tuple[Lexicon, DataFrame]:
     """The lexicon, and the counts of the words that are not in it."""
     binned = counts.withColumn("bin", _bin(F.col("c")))
     bins = sorted(((r["bin"], r["n"], r["c"]) for r in binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()), reverse=True)
@@ -116,147 +133,189 @@ def learn_lexicon(counts: DataFrame, texts: int, frequent: int = FREQUENT) -> tu
             break
         cut, most = b, most + n
     rows = [(r["word"], r["c"]) for r in binned.where(F.col("bin") >= cut).select("word", "c").collect()]  # at most ``frequent``
-    return Lexicon(rows, texts, sum(c for _, _, c in bins), sum(n for _, n, _ in bins)), binned.where(F.col("bin") < cut).select("word", "c")
+    return Lexicon(rows, texts, sum(c for _, _, c in bins), sum(n for _, n, _ in bins), outputs), binned.where(F.col("bin") < cut).select("word", "c")
+
+
+_FIELDS = [("n_tokens", pa.int64(), T.LongType()), ("known", pa.int64(), T.LongType()), ("logs", pa.float64(), T.DoubleType()), ("rare", pa.int64(), T.LongType()), ("inner", pa.float64(), T.DoubleType()), ("ids", pa.binary(), T.BinaryType()), ("others", pa.list_(pa.string()), T.ArrayType(T.StringType())), ("times", pa.list_(pa.int64()), T.ArrayType(T.LongType()))]
+
+
+def numbered(docs: DataFrame, lexicon: Lexicon, training: Column, text: str = "text", doc_id: str = "doc_id", keep: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each text: ``keep``, learnt, place (a hash of id and text) and all of the text that the rest needs.
+
+    known, logs: tokens with a count among the lexicon's, and the sum of log10(c + 1) over them; rare: words beyond the
+    model's; inner: that sum over those of them in the lexicon; ids: the model's
+    numbers; others, times: the words beyond the lexicon.
+    """
+    keep = keep or {}
+    place = F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    source = _source(docs, text, *[c.alias(n) for n, c in keep.items()], F.coalesce(training, F.lit(False)).alias("learnt"), place.alias("place"))
+    names = [*keep, "learnt", "place"]
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    schema = T.StructType([source.schema[c] for c in names] + [T.StructField(n, k) for n, _, k in _FIELDS])
+
+    def run(batches):
+        lexicon = shared.value
+        logs = np.log10(lexicon.counts + 1.0)
+        for part in steps(batches, limit=4 << 20):
+            raw, at = text_bytes(part.column(len(names)))
+            view = raw.tobytes()
+            columns = [[] for _ in _FIELDS]
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids, others = lexicon.tokens(view[a:b])
+                frequent = ids[ids >= 0]
+                beyond = frequent[frequent >= lexicon.outputs]
+                different = Counter(others)
+                row = (len(ids) + 1, len(frequent) + (lexicon.texts > 0), float(logs[frequent].sum() + logs[0]), len(others) + len(beyond), float(logs[beyond].sum()), lexicon.inputs(ids).astype(np.int32).tobytes(), [w.decode() for w in different], list(different.values()))
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+            arrays = [pa.array(c, t) for c, (_, t, _) in zip(columns, _FIELDS, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + arrays, names=[*names, *[n for n, _, _ in _FIELDS]])
+
+    return source.mapInArrow(run, schema)
 
 
-def train(docs: DataFrame, lexicon: Lexicon, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS, share: int = SHARE) -> np.ndarray:
-    """Weights of the recurrent model after ``rounds`` of local training and averaging."""
-    context = docs.sparkSession.sparkContext
-    words_ = context.broadcast(lexicon)
-    source = _source(docs, text, F.col(f"`{doc_id}`").alias("__id"))
-    part_of = F.pmod(F.xxhash64(F.col("__id"), F.col("__text")), F.lit(share))
+def train(told: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, block: int = BLOCK) -> np.ndarray:
+    """Weights of the recurrent model after ``rounds`` of training by shards and averaging. ``told``: of ``numbered``."""
+    context = told.sparkSession.sparkContext
+    shape = lexicon.shape()
+    shards = max(1, round(lexicon.n / block))
+    rounds = min(rounds, shards)
+    rows = told.where("learnt").select(F.pmod("place", F.lit(shards)).cast("int").alias("shard"), "place", "ids")
     weights = lexicon.model().flat()
     for k in range(rounds):
         now = context.broadcast(weights)
 
         def fit(batches, now=now):
             one_thread()
-            lexicon, found, held, n = words_.value, [], 0, 0
-            model = lexicon.model().load(now.value)
-            for part in steps(batches):
-                raw, at = text_bytes(part.column(0))
-                view = raw.tobytes()
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    ids, _ = lexicon.tokens(view[a:b])
-                    found.append(np.append(_inputs(ids, lexicon), 0).astype(np.int32))
-                    held, n = held + len(ids) + 1, n + len(ids) + 1
-                    if held >= 2 * BLOCK:
-                        stream = np.concatenate(found)
-                        while len(stream) >= 2 * BLOCK:
-                            model.fit(stream[:BLOCK].astype(np.int64))
-                            stream = stream[BLOCK:]
-                        found, held = [stream], len(stream)
-            if n:
-                model.fit(np.concatenate(found).astype(np.int64))
-                for name, rows, met, change in model.changes(lexicon.model().load(now.value)):
-                    block = rows // ROWS_AT_ONCE
-                    for edge in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(block)) + 1):
-                        yield _changes(name, int(block[edge[0]]), rows[edge], met[edge].astype(np.float64), change[edge].astype(np.float16))
-
-        def merge(batches):
-            sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-            for batch in batches:
-                for r in batch.to_pylist():
-                    rows, met = np.frombuffer(r["rows"], np.int64) % ROWS_AT_ONCE, np.frombuffer(r["met"], np.float64)
-                    change = np.frombuffer(r["change"], np.float16).reshape(len(rows), -1) * met[:, None]
-                    key = r["name"], r["block"]
-                    if key not in sums:
-                        n = ROWS_AT_ONCE if r["name"] in ROWS else 1
-                        sums[key] = np.zeros(n), np.zeros((n, change.shape[1]))
-                    sums[key][0][rows] += met
-                    sums[key][1][rows] += change
-            for (name, block), (met, change) in sums.items():
-                rows = np.flatnonzero(met)
-                yield _changes(name, block, rows + block * ROWS_AT_ONCE, met[rows], (change[rows] / met[rows, None]).astype(np.float32))
-
-        local = source.where(part_of == k).select("__text").mapInArrow(fit, _CHANGES)
-        merged = local.repartition(16, "name", "block").mapInArrow(merge, _CHANGES).collect()  # at most one change of each weight
+            start = Gru(*shape).load(now.value)
+            for shard, streams in _by_shard(batches, block):
+                model = Gru(*shape).load(now.value)
+                for stream in streams:
+                    model.fit(stream)
+                for name, own, met, change in model.changes(start):
+                    of = own // ROWS_AT_ONCE
+                    for edge in np.split(np.arange(len(own)), np.flatnonzero(np.diff(of)) + 1):
+                        yield _changes(shard, name, int(of[edge[0]]), own[edge], met[edge].astype(np.float64), change[edge].astype(np.float16))
+
+        mine = -(-(shards - k) // rounds)
+        dealt = rows.where(F.col("shard") % rounds == k).withColumn("part", F.expr(f"cast(shard div {rounds} as int)"))
+        local = dealt.repartitionById(mine, "part").sortWithinPartitions("shard", "place", "ids").select("shard", "ids").mapInArrow(fit, _CHANGES)
+        if mine > PARTS:
+            local = local.repartition("name", "block", F.col("shard") % PARTS).sortWithinPartitions("name", "block", F.col("shard") % PARTS, "shard").mapInArrow(_merge(np.float16, PARTS), _CHANGES)
+        merged = local.repartition("name", "block").sortWithinPartitions("name", "block", "shard").mapInArrow(_merge(np.float16 if mine <= PARTS else np.float32, 0), _CHANGES).collect()  # at most one change of each weight
         model = lexicon.model().load(weights)
         for r in merged:
-            rows, own = np.frombuffer(r["rows"], np.int64), model.p[r["name"]]
-            own = own if r["name"] in ROWS else own[None]
-            own[rows] += np.frombuffer(r["change"], np.float32).reshape(own[rows].shape)
+            own, p = np.frombuffer(r["rows"], np.int64), model.p[r["name"]]
+            p = p if r["name"] in ROWS else p[None]
+            p[own] += np.frombuffer(r["change"], np.float32).reshape(p[own].shape)
         weights = model.flat()
+        now.unpersist()
     return weights
 
 
-_CHANGES = "name string, block long, rows binary, met binary, change binary"
+def _by_shard(batches, block: int):
+    """(shard, its streams of tokens, an end after each text) from rows (shard, ids) that are sorted by shard."""
 
+    def texts():
+        for batch in batches:
+            raw, at = text_bytes(batch.column(1))
+            tokens = np.frombuffer(raw.tobytes(), np.int32)
+            for shard, a, b in zip(batch.column(0).to_pylist(), (at[:-1] // 4).tolist(), (at[1:] // 4).tolist(), strict=True):
+                yield shard, tokens[a:b]
 
-def _changes(name: str, block: int, *arrays: np.ndarray) -> pa.RecordBatch:
-    packed = [pa.array([x.tobytes()], pa.binary()) for x in arrays]
-    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), *packed], names=["name", "block", "rows", "met", "change"])
+    def streams(own):
+        held, n = [], 0
+        for _, ids in own:
+            held.append(np.append(ids, np.int32(0)))
+            n += len(ids) + 1
+            if n >= 2 * block:
+                whole = np.concatenate(held)
+                cut = len(whole) // block * block
+                for at in range(0, cut, block):
+                    yield whole[at : at + block]
+                held, n = [whole[cut:].copy()], len(whole) - cut
+        if n:
+            yield np.concatenate(held)
 
+    for shard, own in groupby(texts(), key=lambda row: row[0]):
+        yield shard, streams(own)
 
-def _inputs(ids: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """Numbers for the model: words beyond the lexicon share the one after the padded outputs."""
-    return np.where(ids < 0, -(-lexicon.outputs // CLASS) * CLASS, ids)
 
+def _merge(kind: type, parts: int):
+    """Averages of changes that follow each other, by the tokens behind them; of each part of the shards, or of all."""
 
-_FIELDS = [("n_tokens", pa.int64()), ("known", pa.int64()), ("logs", pa.float64()), ("rare", pa.int64()), ("state", pa.float64()), ("others", pa.list_(pa.string()))]
+    def run(batches):
+        now, met, change = None, None, None
 
+        def done():
+            rows = np.flatnonzero(met)
+            return _changes(now[2], now[0], now[1], rows + now[1] * ROWS_AT_ONCE, met[rows], (change[rows] / met[rows, None]).astype(np.float32))
 
-def _passes(source: DataFrame, names: list[str], lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
-    """One pass over the texts: all that needs no rarer counts, and the rarer words.
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows, n = np.frombuffer(r["rows"], np.int64) % ROWS_AT_ONCE, np.frombuffer(r["met"], np.float64)
+                own = np.frombuffer(r["change"], kind).reshape(len(rows), -1) * n[:, None]
+                key = r["name"], r["block"], r["shard"] % parts if parts else 0
+                if key != now:
+                    if now:
+                        yield done()
+                    size = ROWS_AT_ONCE if r["name"] in ROWS else 1
+                    now, met, change = key, np.zeros(size), np.zeros((size, own.shape[1]))
+                met[rows] += n
+                change[rows] += own
+        if now:
+            yield done()
+
+    return run
+
+
+_CHANGES = "shard int, name string, block long, rows binary, met binary, change binary"
+
+
+def _changes(shard: int, name: str, block: int, *arrays: np.ndarray) -> pa.RecordBatch:
+    packed = [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([name]), pa.array([block], pa.int64()), *packed], names=["shard", "name", "block", "rows", "met", "change"])
 
-    known, logs: tokens with a count, and the sum of log10(c + 1), of frequent
-    tokens; rare: words beyond the lexicon; state: the model's log10 likelihood with such words as one token.
-    """
-    context = source.sparkSession.sparkContext
-    words_, now = context.broadcast(lexicon), context.broadcast(weights)
-    kinds = [T.LongType(), T.LongType(), T.DoubleType(), T.LongType(), T.DoubleType(), T.ArrayType(T.StringType())]
-    schema = T.StructType([source.schema[c] for c in names] + [T.StructField(n, k) for (n, _), k in zip(_FIELDS, kinds, strict=True)])
+
+def _stated(told: DataFrame, names: list[str], lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
+    """``names``, and state: the model's log10 likelihood of each text, with words beyond its own as one token."""
+    shape, now = lexicon.shape(), told.sparkSession.sparkContext.broadcast(weights)
+    source = told.select(*names, "ids")
+    schema = T.StructType([source.schema[c] for c in names] + [T.StructField("state", T.DoubleType())])
 
     def run(batches):
         one_thread()
-        lexicon = words_.value
-        model = lexicon.model().load(now.value)
-        logs = np.log10(lexicon.counts + 1.0)
-        for part in steps(batches, limit=12 << 20):
+        model = Gru(*shape).load(now.value)
+        for part in steps(batches, "ids", limit=8 << 20):
             raw, at = text_bytes(part.column(len(names)))
-            view = raw.tobytes()
-            columns, found = [[] for _ in range(4)], []
-            inputs = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                ids, others = lexicon.tokens(view[a:b])
-                inputs.append(_inputs(ids, lexicon).astype(np.int32))
-                frequent = ids[ids >= 0]
-                row = (len(ids) + 1, len(frequent) + (lexicon.texts > 0), float(logs[frequent].sum() + logs[0]), len(others))
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-                found.append([w.decode() for w in others])
-            lengths = np.fromiter(map(len, inputs), np.int64, len(inputs))
-            state = model.score(np.concatenate(inputs).astype(np.int64), lengths) / np.log(10)
-            arrays = [pa.array(c, t) for c, (_, t) in zip([*columns, state, found], _FIELDS, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + arrays, names=[*names, *[n for n, _ in _FIELDS]])
+            state = model.score(np.frombuffer(raw.tobytes(), np.int32), np.diff(at) // 4) / np.log(10)
+            yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [pa.array(state)], names=[*names, "state"])
 
     return source.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, training: Column, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), rounds: int = ROUNDS, share: int = SHARE, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, training: Column, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), rounds: int = ROUNDS, block: int = BLOCK, frequent: int = FREQUENT, outputs: int = OUTPUTS) -> DataFrame:
     """``keep``, n_tokens, n_known, train_tokens, base_score and score for each row. ``training``: which rows to learn from."""
     learnt = docs.where(training)
     counts = written(count_words(learnt, text))
-    lexicon, rarer = learn_lexicon(counts, learnt.count(), frequent)
-    weights = train(learnt, lexicon, text, doc_id, rounds, share)
+    lexicon, rarer = learn_lexicon(counts, learnt.count(), frequent, outputs)
     names = carried(docs, keep, ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
     inner = [f"__k{i}" for i in range(len(names))]
-    source = _source(docs, text, *[F.col(f"`{c}`").alias(n) for c, n in zip(names, inner, strict=True)])
+    kept = {n: F.col(f"`{c}`") for c, n in zip(names, inner, strict=True)}
     # Written with a number for each row, so that the rare words' sums find their row again.
-    rows = written(_passes(source, inner, lexicon, weights).withColumn("__row", F.monotonically_increasing_id()))
-    other = rows.where(F.size("others") > 0).select("__row", F.explode("others").alias("word"))
-    found = other.join(rarer, "word").groupBy("__row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("met"))
-    full = rows.drop("others").join(found, "__row", "left").na.fill({"more": 0.0, "met": 0})
+    told = written(numbered(docs, lexicon, training, text, doc_id, kept).withColumn("__row", F.monotonically_increasing_id()))
+    weights = train(told, lexicon, rounds, block)
+    other = told.where(F.size("others") > 0).select("__row", F.explode(F.arrays_zip("others", "times")).alias("o")).select("__row", F.col("o.others").alias("word"), F.col("o.times").alias("times"))
+    found = other.join(rarer, "word").groupBy("__row").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("met"))
+    rows = _stated(told, [*inner, "__row", "n_tokens", "known", "logs", "rare", "inner"], lexicon, weights)
+    full = rows.join(found, "__row", "left").na.fill({"more": 0.0, "met": 0})
     base = F.col("logs") + F.col("more") - F.col("n_tokens") * F.lit(float(np.log10(lexicon.n + lexicon.v + 1)))
-    by_model = F.col("state") + F.col("more") - F.col("rare") * F.lit(float(np.log10(lexicon.rare_n + lexicon.rare_v + 1)))
+    by_model = F.col("state") + F.col("inner") + F.col("more") - F.col("rare") * F.lit(float(np.log10(lexicon.rare_n + lexicon.rare_v + 1)))
     return full.select(
         *[F.col(n).alias(c) for c, n in zip(names, inner, strict=True)],
         "n_tokens",
         (F.col("known") + F.col("met")).alias("n_known"),
         F.lit(lexicon.n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        by_model.alias("score"),
+        F.round(by_model, 6).alias("score"),
     )
-
-
-
