@@ -9,7 +9,7 @@ are looked up, and each hit is verified word by word before it counts.
 The broadcast is bounded: the benchmark is cut into blocks of at most
 ``BLOCK_BYTES`` of text and the scan is repeated for each block, carrying the
 hits along in the row, so a benchmark of any size needs no shuffle of the
-documents. Only one block is on the driver at a time.
+documents. Only one block is on the driver, and broadcast, at a time; between blocks the rows are written out.
 
 Rows: null and empty texts have no words and no hits; null or wordless items
 give no windows; null item ids are named ``null``; repeated rows are judged
@@ -18,7 +18,6 @@ alike; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, ragged, steps, text_bytes
+from .common import carried, ragged, steps, text_bytes, written
 
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 16 << 20
@@ -42,45 +41,79 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Grams:
-    """Windows of one benchmark block: vocabulary, hash table for each window length, and the items of each window."""
+    """Windows of one benchmark block, in flat arrays.
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
+    ``hashes[k]``: the sorted hashes of the different windows of k words, and the
+    number of the first of them; window g has its words in ``words`` from
+    ``first[g]`` on, and occurs in ``items[item_at[g]:item_at[g + 1]]``.
+    """
+
+    def __init__(self, given: list[tuple[str, str | None]], n: int):
+        self.names = [name for name, _ in given]
         self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for name, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(1, len(words) - n + 1) if words else 0):
-                self.items[tuple(words[i : i + n])].add(name)
-        by_length = defaultdict(list)
-        for window in self.items:
-            by_length[len(window)].append(window)
-        self.hashes = {k: np.unique(np.array([_roll(np.array(w, np.uint64), k)[0] for w in v], np.uint64)) for k, v in by_length.items()}
-
-    def hits(self, ids: np.ndarray) -> list[tuple[int, int, set[str]]]:
-        """(first word, length, items) of every window that occurs."""
-        found = []
-        for k, table in self.hashes.items():
+        texts = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32) for _, text in given]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.words = np.concatenate([*texts, np.zeros(0, np.int32)])
+        ends = np.cumsum(sizes)
+        self.hashes: dict[int, tuple[np.ndarray, int]] = {}
+        firsts, items, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        groups = 0
+        #: Hashes are tried anew with another salt until different windows differ in them.
+        self.salt = 0
+        each = {k: np.flatnonzero(np.minimum(sizes, n) == k) for k in np.unique(np.minimum(sizes, n)).tolist() if k}
+        found = self._grouped(each, ends, sizes)
+        while found is None:
+            self.salt += 1
+            found = self._grouped(each, ends, sizes)
+        for k, (hashes, first, of, owner) in found.items():
+            self.hashes[k] = hashes, groups
+            both = np.unique(of * (len(given) + 1) + owner)  # an item once a window
+            items.append((both % (len(given) + 1)).astype(np.int32))
+            counts.append(np.bincount(both // (len(given) + 1), minlength=len(hashes)))
+            firsts.append(first)
+            groups += len(hashes)
+        self.first, self.items = np.concatenate(firsts), np.concatenate(items)
+        self.item_at = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int64)
+
+    def _grouped(self, each: dict[int, np.ndarray], ends: np.ndarray, sizes: np.ndarray) -> dict[int, tuple[np.ndarray, ...]] | None:
+        """For each length: hashes, a place of each different window, and window and item of all; None if different windows share a hash."""
+        out = {}
+        for k, own in each.items():
+            count = sizes[own] - k + 1
+            place = ragged(ends[own] - sizes[own], count)
+            rolled = _roll(self.words, k, self.salt)[place]
+            hashes, first, of = np.unique(rolled, return_index=True, return_inverse=True)
+            if any((self.words[place + j] != self.words[place[first][of] + j]).any() for j in range(k)):
+                return None
+            out[k] = hashes, place[first], of, np.repeat(own, count)
+        return out
+
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, length, window) of every window that occurs, verified word by word."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        unknown = np.concatenate(([0], np.cumsum(ids == 0)))
+        for k, (table, base) in self.hashes.items():
             if len(ids) < k:
                 continue
-            rolled = _roll(ids, k)
-            slot = np.minimum(np.searchsorted(table, rolled), len(table) - 1) if k == 1 else None
-            if slot is None:  # most windows hold an unknown word; only the others are looked up
-                unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-                whole = np.flatnonzero(unknown[k:] == unknown[:-k])
-                slot = np.minimum(np.searchsorted(table, rolled[whole]), len(table) - 1)
-                at = whole[table[slot] == rolled[whole]]
-            else:
-                at = np.flatnonzero((table[slot] == rolled) & (ids > 0))
-            for i in at.tolist():
-                items = self.items.get(tuple(ids[i : i + k].tolist()))
-                if items:
-                    found.append((i, k, items))
-        return found
-
-
-def _roll(ids: np.ndarray, k: int) -> np.ndarray:
+            whole = np.flatnonzero(unknown[k:] == unknown[:-k])  # most windows hold an unknown word; only the others are looked up
+            if not len(whole):
+                continue
+            rolled = _roll(ids, k, self.salt)[whole]
+            slot = np.minimum(np.searchsorted(table, rolled), len(table) - 1)
+            hit = table[slot] == rolled
+            at, group = whole[hit], slot[hit] + base
+            same = np.ones(len(at), bool)
+            for j in range(k):
+                same &= ids[at + j] == self.words[self.first[group] + j]
+            found.append((at[same], np.full(int(same.sum()), k), group[same]))
+        at, k, group = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        return at[order], k[order], group[order]
+
+
+def _roll(ids: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     ids = ids.astype(np.uint64)
-    out = np.zeros(len(ids) - k + 1, np.uint64)
+    out = np.full(len(ids) - k + 1, salt, np.uint64)
     for j in range(k):
         out = out * _MULTIPLIER + ids[j : j + len(out)] + np.uint64(1)
         out ^= out >> np.uint64(29)
@@ -130,13 +163,18 @@ def _scan(docs: DataFrame, shared, names: list[str], first: bool) -> DataFrame:
                 ids.extend(map(get, words))
                 ids.append(None)  # a window never crosses documents
                 starts.append([]), ends.append([]), own.append(set())
-            numbers = np.array([x or 0 for x in ids], np.int64)
+            numbers = np.fromiter((x or 0 for x in ids), np.int32, len(ids))
             begins = np.concatenate(([0], np.cumsum(np.array(n_words) + 1)))
-            for i, k, found in grams.hits(numbers):
-                d = int(np.searchsorted(begins, i, "right")) - 1
-                starts[d].append(i - int(begins[d]))
-                ends[d].append(i - int(begins[d]) + k)
-                own[d] |= found
+            place, length, window = grams.hits(numbers)
+            doc = np.searchsorted(begins, place, "right") - 1
+            inner = place - begins[doc]
+            for d, i, k in zip(doc.tolist(), inner.tolist(), length.tolist(), strict=True):
+                starts[d].append(i)
+                ends[d].append(i + k)
+            pairs = np.unique(doc * len(grams.first) + window) if len(doc) else doc  # a window once a document
+            for d, g in zip((pairs // max(1, len(grams.first))).tolist(), (pairs % max(1, len(grams.first))).tolist(), strict=True):
+                own[d].update(grams.items[grams.item_at[g] : grams.item_at[g + 1]].tolist())
+            own = [{grams.names[j] for j in x} for x in own]
             if not first:
                 before = [part.column(len(names) + 1 + j).to_pylist() for j in range(4)]
                 starts = [x + y for x, y in zip(before[1], starts, strict=True)]
@@ -153,11 +191,14 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "te
     """``keep``, the text as __text, n_words, and the verified windows: word spans (starts, ends) and the ids of items."""
     names = carried(docs, keep, [*_HIT_NAMES, "__text"])
     out = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text"))
-    context, first = docs.sparkSession.sparkContext, True
+    context, first, shared = docs.sparkSession.sparkContext, True, None
     for block in _blocks(benchmark, item, item_text):
-        out = _scan(out, context.broadcast(Grams(block, n)), names, first)
-        first = False
-    return _scan(out, context.broadcast(Grams([], n)), names, True) if first else out
+        if shared is not None:  # one block is broadcast at a time: what the one before has found is written out
+            out, first = written(out), False
+            shared.destroy()
+        shared = context.broadcast(Grams(block, n))
+        out = _scan(out, shared, names, first)
+    return _scan(out, context.broadcast(Grams([], n)), names, True) if shared is None else out
 
 
 def _covered(starts: list[int], ends: list[int], n: int) -> np.ndarray:

@@ -17,11 +17,12 @@ null or non-finite components take no part. Only vectors of the query's
 dimension are candidates. A candidate with the query's id is the query itself,
 however often it is repeated; other repeated rows are candidates each;
 repeated queries with equal vectors are answered once. Scores beyond a long
-are cut to the nearest long.
+are cut to the nearest long, and rank by that.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,15 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & F.forall("x", fine))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """floor(1024 * x): doubles, or Python's whole numbers where the product is beyond a double."""
+    with np.errstate(over="ignore"):
+        out = np.floor(x * SCALE)
+    if np.isfinite(out).all():
+        return out
+    return np.array([int(v) * SCALE if abs(v) >= 2.0**52 else math.floor(v * SCALE) for v in x.reshape(-1).tolist()], object).reshape(x.shape)
+
+
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and scaled components, a pair for each dimension that occurs."""
     column = batch.column(1)
@@ -55,7 +65,7 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for d in np.unique(sizes):
         own = np.flatnonzero(sizes == d)
         place = (at[own] - at[0])[:, None] + np.arange(d)
-        yield ids[own], np.floor(flat[place] * SCALE)
+        yield ids[own], scaled(flat[place])
 
 
 class Search:
@@ -64,11 +74,12 @@ class Search:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
-        self.largest = np.abs(queries).max(initial=0)
+        self.largest = int(max(map(abs, queries.reshape(-1).tolist()), default=0))
         self.scored = 0
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
-        exact = self.largest * np.abs(x).max(initial=0) * max(1, x.shape[1]) >= 2.0**53
+        most = int(max(map(abs, x.reshape(-1)), default=0) if x.dtype == object else np.abs(x).max(initial=0))
+        exact = self.largest * most * max(1, x.shape[1]) >= 2**53 or object in (x.dtype, self.queries.dtype)
         if exact:  # whole numbers beyond a double's: python's
             x = np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
         order = np.argsort(x, axis=0, kind="stable").T.copy()
@@ -95,7 +106,10 @@ class Search:
                 new, bound, depth = np.flatnonzero(~seen), 0, n
             if len(new):
                 self.scored += len(new)
-                scores, owners = np.concatenate((scores, x[new] @ q)), np.concatenate((owners, ids[new]))
+                found = x[new] @ q
+                if found.dtype == object:
+                    found = np.array([min(max(v, _LONG[0]), _LONG[1]) for v in found.tolist()], object)
+                scores, owners = np.concatenate((scores, found)), np.concatenate((owners, ids[new]))
                 if len(scores) > self.k:
                     if scores.dtype != object:
                         floor = -np.partition(-scores, self.k - 1)[self.k - 1]
@@ -124,7 +138,7 @@ def _answers(candidates: DataFrame, numbers: list[int], ids: np.ndarray, queries
                     for at in range(0, len(found), BLOCK):
                         searches[x.shape[1]][1].add(found[at : at + BLOCK], x[at : at + BLOCK])
         for own, search in searches.values():
-            rows = [(numbers[i], int(ids[i]), int(v), min(max(int(s), _LONG[0]), _LONG[1])) for i, (scores, owners) in zip(own, search.best, strict=True) for s, v in zip(scores, owners, strict=True)]
+            rows = [(numbers[i], int(ids[i]), int(v), int(s)) for i, (scores, owners) in zip(own, search.best, strict=True) for s, v in zip(scores, owners, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["number", "query_id", "vec_id", "score"])
 
@@ -141,7 +155,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "ve
 
     def answer(block: list, first: int) -> DataFrame:
         ids = np.array([r.vec_id for r in block], np.int64)
-        own = [np.floor(np.array(r.x, np.float64) * SCALE) for r in block]
+        own = [scaled(np.array(r.x, np.float64)) for r in block]
         found = _answers(candidates, list(range(first, first + len(block))), ids, own, k)
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
