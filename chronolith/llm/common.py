@@ -13,6 +13,7 @@ Conventions of every operator here:
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -104,13 +105,13 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of its own is set only where there is none, as in tests."""
+    """The session's checkpoint folder; where there is none, only a local session gets a folder of its own, as in tests."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         place = spark.conf.get("spark.checkpoint.dir", None)
         if not place:
-            import tempfile
-
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             place = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(place)
     return context._jsc.sc().getCheckpointDir().get()
@@ -123,6 +124,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Share of all rows from which a key is joined apart from the others; so there are at most as many such keys.
+HOT_SHARE = 1024
+
+
+def split_join(rows: DataFrame, sides: DataFrame, keys: str | list[str], count: str) -> DataFrame:
+    """``rows`` joined with their one row of ``sides``, whose column ``count`` says how many rows the key has.
+
+    Rows of a hot key stay where they are: the sides of such keys, 1,024 at
+    most by construction, are broadcast. All others are shuffled. ``sides`` should be a written table.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    total = sides.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_SHARE > total + HOT_SHARE * 1000  # a key of few rows isn't worth it
+    some = F.broadcast(sides.where(hot))
+    cold = rows.join(F.broadcast(sides.where(hot).select(*keys)), keys, "left_anti").join(sides.where(~hot), keys)
+    return cold.unionByName(rows.join(some, keys))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start+1, … for each pair, all in a row."""
     total = int(lengths.sum())

@@ -11,7 +11,9 @@ a position, would make the pairs grow with the square of the input.
 Equal texts collapse into one fingerprint before the index, so copies cost
 nothing there. A posting list gives the edges of a spanning forest, never all
 its pairs. Lists longer than ``LONG_LIST`` aren't compared in one task: their
-fingerprints are spread under every value within 2 bits, and two of them are
+fingerprints are indexed again under their 70 choices of 4 of all 8 bytes, and tallied there. Those that
+share even 4 bytes with over ``LONG_LIST`` others, which no more bytes could
+part for certain, are spread under every value within 2 bits, and two of them are
 within 4 bits exactly if they meet under one (a value has at most 2,081
 fingerprints within 2 bits, so no meeting is large).
 
@@ -23,6 +25,7 @@ without any id has a null component id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, durable, map_texts, text_bytes
+from .common import carried, durable, map_texts, split_join, text_bytes
 from .components import components
 
 SHINGLE = 4
@@ -85,13 +88,19 @@ def mark(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     return map_texts(docs, text, keep, [T.StructField(out, T.LongType())], make)
 
 
-def _keys(fp: Column) -> Column:
-    """The 35 index keys: the choice of positions, then the three bytes."""
-    byte = [F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255)) for i in range(7)]
-    return F.array(*[F.lit(n << 24) + byte[i] * F.lit(65536) + byte[j] * F.lit(256) + byte[k] for n, (i, j, k) in enumerate(combinations(range(7), 3))])
+def _keys(fp: Column, positions: int = 7, choose: int = 3) -> Column:
+    """The index keys, 35 of 3 bytes or 70 of 4: the choice of positions, then the bytes."""
+    byte = [F.shiftrightunsigned(fp, 8 * i).bitwiseAND(F.lit(255)) for i in range(positions)]
+    keys = []
+    for n, chosen in enumerate(combinations(range(positions), choose)):
+        key = F.lit(n).cast("long")
+        for i in chosen:
+            key = key * F.lit(256) + byte[i]
+        keys.append(key)
+    return F.array(*keys)
 
 
-def _near(one: np.uint64, others: np.ndarray) -> np.ndarray:
+def _near(one: np.uint64 | np.ndarray, others: np.ndarray) -> np.ndarray:
     """Tally of the positional bytes shared, then the bits."""
     differ = one ^ others
     out = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= SHARED
@@ -140,7 +149,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(cut)
         two = cut[:-1][size == 2]
         a, b = fps[two], fps[two + 1]
-        near = np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= DISTANCE
+        near = _near(a.view(np.uint64), b.view(np.uint64))
         found = list(zip(a[near].tolist(), b[near].tolist(), strict=True))
         for at, n in zip(cut[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
             found += forest(fps[at : at + n].view(np.uint64))
@@ -171,27 +180,36 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(distinct: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """(a, b): edges that connect what links of at most ``DISTANCE`` bits connect. ``distinct``: fp, each once."""
-    keyed = distinct.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
-    long_keys = durable(keyed.groupBy("key").count().where(F.col("count") > long_list).select("key"))
-    if long_keys.isEmpty():
-        return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare, "a long, b long")
-    short = keyed.join(long_keys, "key", "left_anti")
-    hot = keyed.join(long_keys, "key", "left_semi").select("fp").distinct()
-    met = hot.mapInArrow(_spread, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet, "a long, b long")
-    return short.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare, "a long, b long").unionByName(met)
+    """(a, b): edges that connect what links of at most ``DISTANCE`` bits connect. ``distinct``: fp, each once.
+
+    Fingerprints of lists that are too long are indexed again by more bytes, which
+    linking pairs share too: 4 of all 8. Only what still has a long list there meets by values.
+    """
+    edges = []
+    for positions, choose in ((7, 3), (8, 4)):
+        keyed = distinct.select(F.explode(_keys(F.col("fp"), positions, choose)).alias("key"), "fp")
+        long_keys = durable(keyed.groupBy("key").count().where(F.col("count") > long_list).select("key"))
+        none = long_keys.isEmpty()
+        short = keyed if none else keyed.join(long_keys, "key", "left_anti")
+        edges.append(short.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_compare, "a long, b long"))
+        if none:
+            break
+        distinct = durable(keyed.join(long_keys, "key", "left_semi").select("fp").distinct())
+    else:
+        edges.append(distinct.mapInArrow(_spread, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_meet, "a long, b long"))
+    return reduce(DataFrame.unionByName, edges)
 
 
 def groups(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), doc_id: str = "doc_id", shingle: int = SHINGLE, long_list: int = LONG_LIST) -> DataFrame:
     """The id, ``keep``, fp (long), root (its component's smallest fp) and component_id: the smallest id that is reachable over links, its own included."""
     names = carried(docs, [doc_id, *keep], ["fp", "root", "component_id"])
     marks = durable(mark(docs, text, tuple(names), shingle))
-    distinct = durable(marks.groupBy("fp").agg(F.min(f"`{doc_id}`").alias("first")))
+    distinct = durable(marks.groupBy("fp").agg(F.min(f"`{doc_id}`").alias("first"), F.count(F.lit(1)).alias("n")))
     found = durable(components(links(distinct.select("fp"), long_list)))
     least = found.join(distinct, found["node"] == distinct["fp"]).groupBy("root").agg(F.min("first").alias("component_id"))
     linked = found.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
-    return marks.join(named, "fp").select(*[F.col(f"`{c}`") for c in names], "fp", "root", "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"), "n")
+    return split_join(marks, durable(named), "fp", "n").select(*[F.col(f"`{c}`") for c in names], "fp", "root", "component_id")
 
 
 def fingerprint_hex(fp: Column) -> Column:
