@@ -55,6 +55,16 @@ def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return where, total[where]
 
 
+def gradients(own: np.ndarray, output: np.ndarray, bias: np.ndarray, share: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a document's negative log-likelihood, by its buckets' vectors, the output and the bias."""
+    hidden = share @ own
+    z = output @ hidden + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[label] -= 1
+    return np.outer(share, p @ output), np.outer(p, hidden), p
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 0) -> tuple[np.ndarray, float]:
     """The log odds that each bucket contributes, and the bias. ``rows``: buckets, counts, label."""
     if len({label for _, _, label in rows}) < 2:
@@ -69,24 +79,23 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 0) -> tuple[
             rate = RATE * (1 - step / steps_)
             step += 1
             share = count / max(1.0, count.sum())
-            hidden = share @ vectors[bucket]
-            z = output @ hidden + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[label] -= 1
-            back = p @ output
-            output -= 0.1 * rate * np.outer(p, hidden)
-            bias -= 0.02 * rate * p
-            vectors[bucket] -= rate * np.outer(share, back)
+            of_vectors, of_output, of_bias = gradients(vectors[bucket], output, bias, share, label)
+            output -= 0.1 * rate * of_output
+            bias -= 0.02 * rate * of_bias
+            vectors[bucket] -= rate * of_vectors
     return vectors @ (output[1] - output[0]), float(bias[1] - bias[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Fits on at most ``sample`` of the rows given; leave out beforehand what it may not see."""
     valid = labels.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{doc_id}`").isNotNull()).select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__label"))
-    n = valid.count()
-    picked = valid.where(sampled(F.col("__id"), sample / max(1, n))).groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__most")).where("__label = __most").select("__id", "__label").limit(sample)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text")).join(F.broadcast(picked), "__id").select("__label", "__text")
+    n = valid.agg(F.approx_count_distinct("__id")).first()[0]
+    # Twice as many as wanted pass the hash, and the first of them in its order stay, however rows are dealt.
+    some = valid.where(sampled(F.col("__id"), 2 * sample / max(1, n))).groupBy("__id").agg(F.min("__label").alias("__label"), F.max("__label").alias("__most"))
+    picked = some.where("__label = __most").orderBy(F.xxhash64(F.col("__id").cast("string"), F.lit(1)), "__id").select("__id", "__label").limit(sample)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text")).join(F.broadcast(picked), "__id")
+    # Ids may be repeated in the table: of each the text of the least hash counts.
+    rows = rows.groupBy("__id").agg(F.min_by(F.struct("__label", "__text"), F.xxhash64("__text")).alias("r")).select("r.*")
 
     def run(batches):
         for part in steps(batches):
@@ -95,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             found = [counted(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([b.astype(np.uint16).tobytes() for b, _ in found], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in found], pa.binary())], names=["label", "bucket", "times"])
 
-    got = rows.mapInArrow(run, "label int, bucket binary, times binary").limit(sample).collect()
+    got = rows.mapInArrow(run, "label int, bucket binary, times binary").collect()
     data = sorted((bytes(r.bucket), bytes(r.times), r.label) for r in got)  # one order, however the rows came
     return fit([(np.frombuffer(b, np.uint16).astype(np.int64), np.frombuffer(c, np.float32).astype(np.float64), y) for b, c, y in data])
 
