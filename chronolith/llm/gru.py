@@ -1,9 +1,9 @@
 """A gated recurrent language model in numpy with a class-factored softmax.
 
 The model knows ``words`` frequent tokens and treats the rest as one rare token.
-Output is factored twice, so that its cost grows slowly with ``words``: a softmax
-over groups of classes (the rare token is the last group), one over the classes of the
-group, then one over the tokens of the class. Token 0 is the end of a
+Output is factored by classes of classes, so that its cost grows with the logarithm of ``words``: a softmax
+over the ``CLASS`` classes at the root (and the rare token beside them), one over the classes of the
+class, and so on to the tokens of the last class. Token 0 is the end of a
 text, and what a text begins after. Parameters that a token touches a row of learn by
 adaptive gradients with one sum of squares a row, all others with moments.
 """
@@ -17,17 +17,19 @@ from pathlib import Path
 import numpy as np
 
 EMBEDDING, HIDDEN = 16, 16
-#: Tokens of a class, and classes of a group.
-CLASS, MIDDLE = 16, 64
+#: Tokens of a class, and classes of a class.
+CLASS = 16
 #: Steps of truncated backpropagation, and lanes of a training stream.
-WINDOW, LANES = 24, 256
+WINDOW, LANES = 24, 512
 RATE = 0.01
 #: Of the rows below.
 ROW_RATE = 0.03
+#: Levels of classes below the root that a model may have: up to 16 million words.
+LEVELS = 5
 #: Parameters of which a token touches a row alone.
-ROWS = ("e", "wm", "bm", "ww", "bw")
+ROWS = ("e", *(f"w{i}" for i in range(1, LEVELS + 1)))
 #: Tokens of a class from which it has a product of its own, and the others that are gathered at once.
-MANY, GATHERED = 24, 2048
+MANY, GATHERED = 10, 2048
 
 
 @cache
@@ -46,18 +48,41 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp in place, and its sum for each row; scores beyond 60 either way count as that, so no row has to be shifted."""
+    np.clip(z, -60, 60, out=z)
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(-1, keepdims=True)
+    total = _exp(z)
+    z /= total[:, None]
     return z
 
 
+def _log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at a place; ``z`` is overwritten."""
+    hit = np.clip(z[np.arange(len(z)), at], -60, 60).astype(np.float64)
+    return hit - np.log(_exp(z))
+
+
+def _sums(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs that begin at ``first``; most runs have one value."""
+    out = values[first]
+    more = np.flatnonzero(n > 1)
+    if len(more):
+        inside = np.repeat(n > 1, n)
+        size = n[more]
+        out[more] = np.add.reduceat(values[inside], np.cumsum(size) - size, axis=0)
+    return out
+
+
+def _and_one(h: np.ndarray) -> np.ndarray:
+    """A last column of ones, for the biases, which are the last row of all weights of the output."""
+    return np.concatenate((h, np.ones((len(h), 1), h.dtype)), 1)
+
+
 def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Groups of a sorted array, where each begins and how many places it has."""
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64)
@@ -79,19 +104,17 @@ class _Runs:
         self.few = [few[at : at + GATHERED] for at in range(0, len(few), GATHERED)]
         self.small, self.small_rows = np.flatnonzero(~many), few
 
-    def scores(self, h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def scores(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         z = np.empty((len(h), w.shape[2]), np.result_type(h, w))
         for c, begin, end, _ in self.large:
             np.matmul(h[begin:end], w[c], out=z[begin:end])
         for own in self.few:
             z[own] = np.matmul(h[own, None], w[self.group[own]])[:, 0]
-        z += b[self.group]
         return z
 
-    def gradients(self, h: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the groups' weights and biases, and of ``h``, from those of the scores."""
+    def gradients(self, h: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the groups' weights, and of ``h``, from those of the scores."""
         gw, dh = np.empty((len(self.each), *w.shape[1:]), d.dtype), np.empty_like(h)
-        gb = np.add.reduceat(d, self.first, axis=0)
         for c, begin, end, j in self.large:
             np.matmul(h[begin:end].T, d[begin:end], out=gw[j])
             np.matmul(d[begin:end], w[c].T, out=dh[begin:end])
@@ -99,30 +122,38 @@ class _Runs:
             dh[own] = np.matmul(w[self.group[own]], d[own, :, None])[:, :, 0]
         if len(self.small):
             own, n = self.small_rows, self.n[self.small]
-            gw[self.small] = np.add.reduceat(h[own, :, None] * d[own, None], np.cumsum(n) - n, axis=0)
-        return gw, gb, dh
+            gw[self.small] = _sums(h[own, :, None] * d[own, None], np.cumsum(n) - n, n)
+        return gw, dh
+
+
+def _log_shares(mass: np.ndarray) -> np.ndarray:
+    """Logs of the shares in each row; what only pads a row has none to speak of."""
+    return np.where(mass > 0, np.log(np.maximum(mass, 1e-300) / mass.sum(1, keepdims=True)), -1e9)
 
 
 class Gru:
     def __init__(self, counts: np.ndarray, rare: float, seed: int = 0):
         """``counts`` of the frequent tokens, a multiple of CLASS of them, and of all others together; output starts as their unigram model."""
-        self.words, self.classes = len(counts), len(counts) // CLASS
-        self.groups = -(-self.classes // MIDDLE)
+        self.words, self.levels = len(counts), 1
+        while CLASS ** (self.levels + 1) < self.words:
+            self.levels += 1
         self.moments, self.squares, self.met, self.seen = {}, {}, {}, 0
         self._given: np.ndarray | None = None
         rng = np.random.default_rng(seed)
-        shape = {"e": (self.words + 1, EMBEDDING), "wx": (EMBEDDING, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "bn": (HIDDEN,), "wc": (HIDDEN, self.groups + 1), "bc": (self.groups + 1,), "wm": (self.groups, HIDDEN, MIDDLE), "bm": (self.groups, MIDDLE), "ww": (self.classes, HIDDEN, CLASS), "bw": (self.classes, CLASS)}
+        shape = {"e": (self.words + 1, EMBEDDING), "wx": (EMBEDDING, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "bn": (HIDDEN,), "w0": (HIDDEN + 1, CLASS + 1)}
+        mass = counts + 0.5
+        biases = {}
+        for level in range(self.levels, 0, -1):
+            mass = np.append(mass, np.zeros(-len(mass) % CLASS)).reshape(-1, CLASS)
+            shape[f"w{level}"] = len(mass), HIDDEN + 1, CLASS
+            biases[f"w{level}"] = _log_shares(mass)
+            mass = mass.sum(1)
+        biases["w0"] = _log_shares(np.concatenate((mass, np.zeros(CLASS - len(mass)), [rare + 0.5]))[None])[0]
         self.p = {k: np.zeros(s, np.float32) for k, s in shape.items()}
         for k, scale in (("e", 0.3), ("wx", EMBEDDING**-0.5), ("wh", HIDDEN**-0.5)):
             self.p[k][:] = rng.normal(0, scale, shape[k])
-        per = counts.reshape(self.classes, CLASS) + 0.5
-        self.p["bw"][:] = np.log(per / per.sum(1, keepdims=True))
-        of = np.zeros(self.groups * MIDDLE)
-        of[: self.classes] = per.sum(1)
-        of = of.reshape(self.groups, MIDDLE)
-        self.p["bm"][:] = np.where(of > 0, np.log(np.maximum(of, 1e-300) / of.sum(1, keepdims=True)), -1e9)  # a last group is padded
-        mass = np.append(of.sum(1), rare + 0.5)
-        self.p["bc"][:] = np.log(mass / mass.sum())
+        for k, v in biases.items():
+            self.p[k][..., HIDDEN, :] = v
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].reshape(-1) for k in sorted(self.p)])
@@ -154,25 +185,31 @@ class Gru:
         n = np.tanh(gates[:, 2 * k :] + zr[:, k:] * (own[:, 2 * k :] + self.p["bn"]))
         return n + zr[:, :k] * (h - n)
 
-    def _places(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and group of each token; the rare one has a group alone."""
-        part = np.minimum(target // CLASS, self.classes)
-        return part, np.where(part < self.classes, part // MIDDLE, self.groups)
+    def _order(self, tokens: np.ndarray) -> np.ndarray:
+        """Places in the order of the tokens, -1 after all others; numbers of 16 bits are sorted by their digits."""
+        tokens = np.where(tokens < 0, self.words + 1, tokens)
+        return np.argsort(tokens.astype(np.uint16) if self.words < (1 << 16) - 1 else tokens, kind="stable")
+
+    def _root(self, target: np.ndarray) -> np.ndarray:
+        """Place at the root; the rare token has the last."""
+        return np.where(target < self.words, target // CLASS**self.levels, CLASS)
+
+    def _below(self, target: np.ndarray):
+        """(weights, class, place in it) of sorted tokens at each level below the root."""
+        for level in range(1, self.levels + 1):
+            unit = CLASS ** (self.levels - level)
+            yield f"w{level}", target // (unit * CLASS), target // unit % CLASS
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logs; for the rare token (number ``words``) that of its group alone."""
-        part, group = self._places(target)
-        out = _log_softmax(h @ self.p["wc"] + self.p["bc"])[np.arange(len(target)), group].astype(np.float64)
-        order = np.argsort(target, kind="stable")
-        order = order[: np.searchsorted(target[order], self.words)]
-        h, goal, part = h[order], target[order], part[order]
-        at = np.arange(len(order))
-        for w, b, of, inner in (("wm", "bm", part // MIDDLE, part % MIDDLE), ("ww", "bw", part, goal % CLASS)):
-            z = _Runs(of).scores(h, self.p[w], self.p[b])
-            z -= z.max(-1, keepdims=True)
-            hit = z[at, inner].astype(np.float64)
-            np.exp(z, out=z)
-            out[order] += hit - np.log(z.sum(-1))
+        """Natural logs; for the rare token (number ``words``) that of its place at the root alone."""
+        order = self._order(target)
+        h, goal = _and_one(h[order]), target[order]
+        n = int(np.searchsorted(goal, self.words))
+        own = _log_of(h @ self.p["w0"], self._root(goal))
+        for w, of, at in self._below(goal[:n]):
+            own[:n] += _log_of(_Runs(of).scores(h[:n], self.p[w]), at)
+        out = np.empty(len(target))
+        out[order] = own
         return out
 
     def score(self, tokens: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
@@ -230,7 +267,7 @@ class Gru:
         h = np.zeros((lanes, HIDDEN), np.float32)
         if not self.moments:
             self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items() if k not in ROWS}
-            self.squares = {k: np.zeros(len(self.p[k]), np.float32) for k in ROWS}
+            self.squares = {k: np.zeros(len(self.p[k]), np.float32) for k in ROWS if k in self.p}
             self.met = {k: np.zeros(len(self.p[k]) if k in ROWS else 1, np.int64) for k in self.p}
         for at in range(0, long, WINDOW):
             self.seen += 1
@@ -275,28 +312,28 @@ class Gru:
             h = n[t] + zr[t, :, :k] * (before[t] - n[t])
             hs[t] = h
         g, rows = {}, {}
-        flat, goal = hs.reshape(-1, k), target.reshape(-1)
+        flat, goal = _and_one(hs.reshape(-1, k)), target.reshape(-1)
         total = kind.type((goal >= 0).sum())
-        part, group = self._places(goal)
-        d = _softmax(flat @ p["wc"] + p["bc"])
-        d[np.arange(len(goal)), group] -= 1
+        d = _softmax(flat @ p["w0"])
+        d[np.arange(len(goal)), self._root(goal)] -= 1
         d[goal < 0] = 0
         d /= total
-        g["wc"], g["bc"] = flat.T @ d, d.sum(0)
-        dh = d @ p["wc"].T
-        order = np.argsort(goal, kind="stable")
-        known = order[np.searchsorted(goal[order], 0) : np.searchsorted(goal[order], self.words)]
+        g["w0"] = flat.T @ d
+        dh = d @ p["w0"].T
+        order = self._order(goal)
+        known = order[: np.searchsorted(np.where(goal < 0, self.words, goal)[order], self.words)]
         if len(known):
-            own, part, goal = flat[known], part[known], goal[known]
-            for w, b, of, at in (("wm", "bm", part // MIDDLE, part % MIDDLE), ("ww", "bw", part, goal % CLASS)):
+            own, ahead = flat[known], np.zeros((len(known), k + 1), kind)
+            for w, of, at in self._below(goal[known]):
                 runs = _Runs(of)
-                d = _softmax(runs.scores(own, p[w], p[b]))
+                d = _softmax(runs.scores(own, p[w]))
                 d[np.arange(len(known)), at] -= 1
                 d /= total
-                gw, gb, more = runs.gradients(own, p[w], d)
-                rows[w], rows[b] = (runs.each, gw, runs.n), (runs.each, gb, runs.n)
-                dh[known] += more
-        dh = dh.reshape(hs.shape)
+                gw, more = runs.gradients(own, p[w], d)
+                rows[w] = runs.each, gw, runs.n
+                ahead += more
+            dh[known] += ahead
+        dh = np.ascontiguousarray(dh[:, :k]).reshape(hs.shape)
         to_gates, to_own = np.empty((steps, lanes, 3 * k), kind), np.empty((steps, lanes, 3 * k), kind)
         back = np.zeros((lanes, k), kind)
         z, r = zr[:, :, :k], zr[:, :, k:]
@@ -313,9 +350,9 @@ class Gru:
         to_gates, to_own = to_gates.reshape(-1, 3 * k), to_own.reshape(-1, 3 * k)
         g["b"], g["bn"] = to_gates.sum(0), to_own[:, 2 * k :].sum(0)
         g["wx"], g["wh"] = x.T @ to_gates, before.reshape(-1, k).T @ to_own
-        de, order = to_gates @ p["wx"].T, np.argsort(given.reshape(-1), kind="stable")
+        de, order = to_gates @ p["wx"].T, self._order(given.reshape(-1))
         each, begin, times = _runs(given.reshape(-1)[order])
-        rows["e"] = (each, np.add.reduceat(de[order], begin, axis=0), times)
+        rows["e"] = (each, _sums(de[order], begin, times), times)
         rows |= {name: (slice(None), v, int(total)) for name, v in g.items()}
         norm = np.sqrt(sum(float(np.vdot(v, v)) for _, v, _ in rows.values()))
         if norm > 1:

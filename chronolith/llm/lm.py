@@ -27,7 +27,7 @@ learnt from, and not held out) or repeated. Without training texts all counts ar
 from __future__ import annotations
 
 from collections import Counter
-from itertools import groupby
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ from .common import carried, steps, text_bytes, written
 from .gru import CLASS, ROWS, Gru, one_thread
 
 FREQUENT = 1 << 18
-#: Words of the recurrent model.
-OUTPUTS = 1 << 16
+#: Words of the recurrent model, whose numbers, and that of all others, have 16 bits.
+OUTPUTS = (1 << 16) - 16
 ROUNDS = 2
 #: Tokens of a shard, about; a task holds twice as many at most, and a text.
 BLOCK = 1 << 20
@@ -115,7 +115,7 @@ class Lexicon:
         """Numbers of the words of a text (-1 for those that aren't frequent), and these words."""
         own = words(text)
         get = self.number.get
-        ids = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
+        ids = np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
         return ids, [own[i] for i in np.flatnonzero(ids < 0).tolist()]
 
     def inputs(self, ids: np.ndarray) -> np.ndarray:

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from chronolith.llm import bpe, decontaminate, language, lm, quality, secrets, simhash, suffix, topk, urls
 from chronolith.llm.automaton import Rule, Scanner, compile_rules
+from chronolith.llm.common import split_join
 from chronolith.llm.components import components
 from chronolith.llm.gru import HIDDEN, Gru
 
@@ -42,6 +44,8 @@ def small_texts(small):
 
 # Decontamination
 
+roll = decontaminate._roll
+
 
 def words(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -74,6 +78,19 @@ def test_decontamination(spark, monkeypatch, block):
     assert kept == {i for i, v in got.items() if not v[4]}
 
 
+def test_decontamination_hash_collisions(monkeypatch):
+    """Different windows of one hash are told apart, and windows of many items name all of them."""
+    def weak(ids, k, salt=0):  # all alike at first
+        return np.zeros(len(ids) - k + 1, np.uint64) if salt < 3 else roll(ids, k, salt)
+
+    monkeypatch.setattr(decontaminate, "_roll", weak)
+    grams = decontaminate.Grams([("a", "one two three"), ("b", "one two three"), ("c", "two three four"), ("d", None), ("e", "")], 2)
+    ids = np.array([grams.vocabulary.get(w, 0) for w in [b"x", b"one", b"two", b"three", b"two", b"y"]])
+    assert grams.salt == 3
+    at, k, group = grams.hits(ids)
+    assert [(int(i), int(n), sorted(grams.names[j] for j in grams.items[grams.item_at[g] : grams.item_at[g + 1]].tolist())) for i, n, g in zip(at, k, group, strict=True)] == [(1, 2, ["a", "b"]), (2, 2, ["a", "b", "c"])]
+
+
 def test_span_removal(spark):
     item = "one two three four five six seven eight nine ten eleven"
     texts = [f"Keep this. {item.title()}! And é this.", "clean", None]
@@ -104,6 +121,20 @@ def test_top_k(spark, monkeypatch, block):
     assert got == sorted(want)
 
 
+def test_top_k_beyond_doubles_and_odd_tables(spark):
+    rows = [(0, [1e306, -1e306]), (1, [1e306, 1.0]), (2, [0.25, -0.5]), (3, [-1e306, 3e4]), (100, [0.25, 0.75])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("rank", "score", "query_id", "Number", "x")})
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score").collect())
+    whole = {i: [math.floor(1024 * Fraction(x)) for x in v] for i, v in rows}
+    want = []
+    for i in (0, 100):
+        s = sorted((-max(min(sum(a * b for a, b in zip(whole[i], v, strict=True)), 2**63 - 1), -(2**63)), j) for j, v in whole.items() if j != i)
+        want += [(i, k, j, -x) for k, (x, j) in enumerate(s, 1)]
+    assert got == sorted(want)
+    empty = df.where("false")
+    assert topk.top_k(empty, empty).count() == 0 and topk.top_k(df, empty).count() == 0 and topk.top_k(empty, df).count() == 0
+
+
 def test_threshold_stops_early():
     x = np.zeros((1000, 3))
     x[:20] = 100
@@ -525,24 +556,26 @@ def test_lm_outputs_grow_with_the_vocabulary(spark):
     h = np.random.default_rng(0).normal(0, 1, (1, HIDDEN)).repeat(model.words + 1, 0)
     for m in (model, start):
         assert np.exp(m.log_probabilities(h, np.arange(model.words + 1))).sum() == pytest.approx(1, rel=1e-4)
-    assert (model.p["bw"] != start.p["bw"]).any(1).all()  # each class is learnt
+    last = f"w{model.levels}"
+    assert model.levels == 2 and (model.p[last] != start.p[last]).any((1, 2)).all()  # each class is learnt
 
 
 def test_gru_trains_on_the_end_of_a_stream():
     m = Gru(np.ones(64), 3.0)
     stream = np.arange(3 * 256 + 2) % 16
     stream[-2:] = 24  # a class that only the end has
-    before = m.p["bw"][1].copy()
+    before = m.p["w1"][1, HIDDEN].copy()
     m.fit(stream)
-    assert m.p["bw"][1, 8] == m.p["bw"][1].max() and (m.p["bw"][1] != before).all()
+    assert m.p["w1"][1, HIDDEN, 8] == m.p["w1"][1, HIDDEN].max() and (m.p["w1"][1, HIDDEN] != before).all()
 
 
-def test_gru_gradients_and_normalisation():
+@pytest.mark.parametrize("n", [64, 304])
+def test_gru_gradients_and_normalisation(n):
     rng = np.random.default_rng(1)
-    m = Gru(np.ones(64), 3.0, 1)
+    m = Gru(np.ones(n), 3.0, 1)
     for k in m.p:
         m.p[k] = m.p[k].astype(np.float64) + rng.normal(0, 0.1, m.p[k].shape)
-    given, goal = rng.integers(0, 65, (7, 3)), rng.integers(0, 65, (7, 3))
+    given, goal = rng.integers(0, n + 1, (7, 3)), rng.integers(0, n + 1, (7, 3))
     given[3, 1] = 0
     start = rng.normal(0, 0.5, (3, HIDDEN))
 
@@ -564,9 +597,9 @@ def test_gru_gradients_and_normalisation():
         down = loss()
         flat[i] = old
         assert (up - down) / 2e-5 == pytest.approx(g[k].reshape(-1)[i], rel=1e-3)
-    h = np.repeat(start[:1], 65, 0)
-    assert np.exp(m.log_probabilities(h, np.arange(65))).sum() == pytest.approx(1)
-    texts = [np.array([5, 64, 2]), np.array([], int), np.array([7])]
+    h = np.repeat(start[:1], n + 1, 0)
+    assert np.exp(m.log_probabilities(h, np.arange(n + 1))).sum() == pytest.approx(1)
+    texts = [np.array([5, n, 2]), np.array([], int), np.array([7])]
     each = [m.score(t, np.array([len(t)]))[0] for t in texts]
     assert m.score(np.concatenate(texts), np.array([3, 0, 1]), at_once=2) == pytest.approx(each)
 
@@ -620,6 +653,95 @@ def operators(spark):
     }
 
 
+def test_split_join(spark):
+    rows = spark.createDataFrame([(k, i) for k in range(40) for i in range(5000 if k == 3 else 2)], "key long, i long")
+    sides = rows.groupBy("key").agg(F.count("i").alias("n"), F.max("i").alias("most"))
+    joined = split_join(rows, sides, "key", "n")
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, rows.join(sides, "key").collect()))
+    assert split_join(rows.where("false"), sides.where("false"), "key", "n").count() == 0
+
+
+@pytest.mark.parametrize("hub", [10, 3000])
+def test_components_of_hubs(spark, hub):
+    edges = [(0, i) for i in range(1, hub)] + [(5000 + i, 5001 + i) for i in range(20)] + [(i, 9000) for i in range(6000, 6000 + hub)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {0: 0, 9000: 6000} | {i: 0 for i in range(hub)} | {5000 + i: 5000 for i in range(21)} | {i: 6000 for i in range(6000, 6000 + hub)}
+    assert got == want
+
+
+def brute_quality(rows, epochs):
+    """Training and scoring in plain Python, feature by feature."""
+    rng = np.random.default_rng(0)
+    d = quality.DIMENSION
+    vectors = rng.uniform(-1 / d, 1 / d, (quality.BUCKETS + 1, d)).tolist()
+    output, bias, step, steps = [[0.0] * d, [0.0] * d], [0.0, 0.0], 0, epochs * len(rows)
+
+    def shares(text):
+        words, tally = text.split(), Counter()
+        for i, w in enumerate(words):
+            tally.update(quality.features([w])[1].tolist())
+            tally[quality.SAME] += i > 0 and words[i - 1] == w
+        total = max(1, sum(tally.values()))
+        return {b: n / total for b, n in tally.items() if n}
+
+    def forward(own):
+        hidden = [sum(x * vectors[b][j] for b, x in own.items()) for j in range(d)]
+        z = [sum(o * h for o, h in zip(output[y], hidden, strict=True)) + bias[y] for y in (0, 1)]
+        e = [math.exp(v - max(z)) for v in z]
+        return hidden, [v / sum(e) for v in e]
+
+    data = [(shares(text), label) for text, label in rows]
+    for _ in range(epochs):
+        for i in rng.permutation(len(data)).tolist():
+            own, label = data[i]
+            rate = quality.RATE * (1 - step / steps)
+            step += 1
+            hidden, p = forward(own)
+            p[label] -= 1
+            back = [p[0] * output[0][j] + p[1] * output[1][j] for j in range(d)]
+            for y in (0, 1):
+                bias[y] -= 0.02 * rate * p[y]
+                output[y] = [o - 0.1 * rate * p[y] * h for o, h in zip(output[y], hidden, strict=True)]
+            for b, x in own.items():
+                vectors[b] = [v - rate * x * g for v, g in zip(vectors[b], back, strict=True)]
+    return lambda text: forward(shares(text))[1][1]
+
+
+def test_quality_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 3)
+    texts = ["good words here", "bad bad bad", "good plain text of words", "bad junk junk", "", "é good words here again"]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i, int("good" in t)) for i, t in enumerate(texts) if t], "doc_id long, quality long")
+    model = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    # Training takes the texts in the order of their features.
+    order = sorted((tuple(x.tobytes() for x in (b.astype(np.uint16), c.astype(np.float32))), t) for t in texts if t for b, c in [quality.counted(t.encode())])
+    score = brute_quality([(t.encode(), int("good" in t)) for _, t in order], 3)
+    assert got == {i: pytest.approx(score(t.encode()), abs=1e-9) for i, t in enumerate(texts)}
+
+
+def test_quality_gradient():
+    """A step of the fit goes down the slope of the negative log-likelihood of its document."""
+    rng = np.random.default_rng(4)
+    vectors, output, bias = rng.normal(0, 0.5, (6, 3)), rng.normal(0, 0.5, (2, 3)), rng.normal(0, 0.5, 2)
+    share = np.array([0.5, 0.3, 0.2])
+
+    def loss(vectors, output, bias):
+        z = output @ (share @ vectors[[1, 2, 4]]) + bias
+        return math.log(np.exp(z).sum()) - z[1]
+
+    g = quality.gradients(vectors[[1, 2, 4]], output, bias, share, 1)
+    for k, value in enumerate((vectors, output, bias)):
+        for at in [(1, 0), (4, 2)] if k == 0 else [(0, 1), (1, 2)] if k == 1 else [(0,), (1,)]:
+            parts = [vectors.copy(), output.copy(), bias.copy()]
+            parts[k][at] += 1e-6
+            up = loss(*parts)
+            parts[k][at] -= 2e-6
+            slope = (up - loss(*parts)) / 2e-6
+            own = g[k][([1, 2, 4].index(at[0]), at[1])] if k == 0 else g[k][at]
+            assert own == pytest.approx(slope, rel=1e-4)
+
+
 @pytest.mark.parametrize("name", ["decontaminate", "secrets", "simhash", "quality", "language", "bpe", "lm", "suffix"])
 def test_edges(spark, name):
     """Nulls, empty and very long texts, repeated rows and clashing columns give a row each; an empty table gives none."""
