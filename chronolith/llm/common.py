@@ -126,6 +126,13 @@ def written(df: DataFrame) -> DataFrame:
 
 #: Share of all rows from which a key is joined apart from the others; so there are at most as many such keys.
 HOT_SHARE = 1024
+#: Rows that a key must have at least for that.
+HOT_LEAST = 1000
+
+
+def hot(count: str, total: int | None) -> Column:
+    """Whether a key has so many of all rows that it is joined apart; that holds for HOT_SHARE keys at most."""
+    return (F.col(count) * HOT_SHARE > F.lit(total or 0)) & (F.col(count) > HOT_LEAST)
 
 
 def split_join(rows: DataFrame, sides: DataFrame, keys: str | list[str], count: str) -> DataFrame:
@@ -135,10 +142,9 @@ def split_join(rows: DataFrame, sides: DataFrame, keys: str | list[str], count:
     most by construction, are broadcast. All others are shuffled. ``sides`` should be a written table.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    total = sides.agg(F.sum(count)).first()[0] or 0
-    hot = F.col(count) * HOT_SHARE > total + HOT_SHARE * 1000  # a key of few rows isn't worth it
-    some = F.broadcast(sides.where(hot))
-    cold = rows.join(F.broadcast(sides.where(hot).select(*keys)), keys, "left_anti").join(sides.where(~hot), keys)
+    apart = hot(count, sides.agg(F.sum(count)).first()[0])
+    some = F.broadcast(sides.where(apart))
+    cold = rows.join(F.broadcast(sides.where(apart).select(*keys)), keys, "left_anti").join(sides.where(~apart), keys)
     return cold.unionByName(rows.join(some, keys))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, durable
+from .common import durable, hot
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,7 +15,7 @@ def _state(edges: DataFrame) -> tuple:
 
 def _beside(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
     """Edges (u, v) with m, the least neighbour of u. Hubs are few by the total of edges, and are broadcast; their edges stay where they are."""
-    hub = F.col("n") * HOT_SHARE > total + HOT_SHARE * 1000
+    hub = hot("n", total)
     near = edges.join(F.broadcast(low.where(hub).select("u", "m")), "u", "left")
     return near.where("m is not null").select("u", "v", "m").unionByName(near.where("m is null").select("u", "v").join(low.where(~hub).select("u", "m"), "u").select("u", "v", "m"))
 

@@ -39,13 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, durable, steps, text_bytes
+from .common import carried, durable, hot, steps, text_bytes
 
 LENGTH = 200
 GRAM = 40
 #: Bits of a filter block; a filter has at most MOST_BLOCKS of them, which is 32 MB.
 BLOCK_BITS, MOST_BLOCKS = 1 << 16, 1 << 12
 HOT_RUNS = 4096
+#: Runs that a task remembers to have handed on.
+SEEN = 100_000
 _CHUNK = 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
 _BASE = 0x9E3779B97F4A7C15
@@ -165,15 +167,17 @@ def _scan_grams(source: DataFrame, length: int, gram: int) -> DataFrame:
     return source.select("__text").mapInArrow(run, "gram long")
 
 
-def _scan_runs(source: DataFrame, length: int, gram: int, wanted, hot=None, content: bool = False) -> DataFrame:
-    """Runs whose gram is in the filter: where they are, or with ``content`` what they hold, once a step."""
+def _scan_runs(source: DataFrame, length: int, gram: int, wanted, many=None, content: bool = False) -> DataFrame:
+    """Runs whose gram is in the filter: where they are, or with ``content`` what they hold, once a task (while it remembers)."""
     schema = "gram long, run long, off int, ctx binary, hot boolean" if content else "k1 long, k2 long, s long, n int, gram long, run long"
 
     def run(batches):
-        filter_, hot_filter = wanted.value, hot.value if hot else None
+        filter_, hot_filter, seen = wanted.value, many.value if many else None, set()
         for part in steps(batches, limit=1 << 20):
             raw, at = text_bytes(part.column(2))
             view = raw.tobytes()
+            if len(seen) > SEEN:
+                seen.clear()
             k1, k2 = part.column(0).to_numpy(), part.column(1).to_numpy()
             for doc, start, n, off, g in runs(raw, at, length, gram):
                 keep = np.flatnonzero(filter_.has(g))
@@ -183,7 +187,10 @@ def _scan_runs(source: DataFrame, length: int, gram: int, wanted, hot=None, cont
                 strings = [view[a : a + m + length] for a, m in zip(start.tolist(), n.tolist(), strict=True)]
                 names = np.fromiter((xxhash.xxh3_64_intdigest(x, o) for x, o in zip(strings, off.tolist(), strict=True)), np.uint64, len(strings)).view(np.int64)
                 if content:
-                    once = np.unique(np.column_stack((g, names)), axis=0, return_index=True)[1]
+                    pairs = list(zip(g.tolist(), names.tolist(), strict=True))
+                    once = [i for i, pair in enumerate(pairs) if pair not in seen and not seen.add(pair)]
+                    if not once:
+                        continue
                     arrays = [pa.array(g[once]), pa.array(names[once]), pa.array(off[once], pa.int32()), pa.array([strings[i] for i in once], pa.binary()), pa.array(hot_filter.has(g[once]) if hot_filter else np.zeros(len(once), bool))]
                     yield pa.RecordBatch.from_arrays(arrays, names=["gram", "run", "off", "ctx", "hot"])
                 else:
@@ -241,9 +248,9 @@ _NAMES, _KINDS = ["gram", "run", "first", "last"], [pa.int64(), pa.int64(), pa.i
 _SPANS = "gram long, run long, first int, last int"
 
 
-def _hot_windows(hot: DataFrame, length: int) -> DataFrame:
+def _hot_windows(rows: DataFrame, length: int) -> DataFrame:
     """The same for anchors that very many runs share: windows are counted by an aggregation."""
-    once = hot.groupBy("gram", "run").agg(F.first("off").alias("off"), F.first("ctx").alias("ctx"))
+    once = rows.groupBy("gram", "run").agg(F.first("off").alias("off"), F.first("ctx").alias("ctx"))
 
     def run(batches):
         for batch in batches:
@@ -259,7 +266,7 @@ def _hot_windows(hot: DataFrame, length: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame | None:
-    """(k1, k2, spans): byte ranges to remove of each text that loses any; None if none can."""
+    """(k1, k2, spans, copies): byte ranges to remove of each text that loses any, and its number of rows; None if none can."""
     if not 0 < gram <= length:
         raise ValueError("a window has at least the bytes of an anchor's string")
     t, k1, k2 = _keyed(docs, text)
@@ -272,19 +279,27 @@ def spans(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int =
     places = durable(_scan_runs(source, length, gram, context.broadcast(wanted)).groupBy("k1", "k2", "s", "n", "gram", "run").count())
     found = durable(places.groupBy("gram", "run").agg(F.sum("count").alias("c")))
     shared = durable(found.groupBy("gram").agg(F.count(F.lit(1)).alias("runs"), F.min("c").alias("least")).where("runs > 1 and least = 1"))
-    whole = places.join(found.where("c > 1").select("gram", "run"), ["gram", "run"]).select("k1", "k2", F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") + length).alias("b")).alias("span"))
+    # Runs of very many texts, 1,024 of them at most, are met without moving those texts' rows.
+    hot_runs = found.where(hot("c", found.agg(F.sum("c")).first()[0])).select("gram", "run")
+    whole = _beside(places, found.where("c > 1").select("gram", "run"), hot_runs).select("k1", "k2", "count", F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") + length).alias("b")).alias("span"))
     open_ = build_filter(shared)
     parts = whole
     if open_ is not None:
-        hot = build_filter(shared.where(F.col("runs") > HOT_RUNS))
-        rows = _scan_runs(source, length, gram, context.broadcast(open_), context.broadcast(hot) if hot else None, content=True)
-        if hot:
+        many = build_filter(shared.where(F.col("runs") > HOT_RUNS))
+        rows = _scan_runs(source, length, gram, context.broadcast(open_), context.broadcast(many) if many else None, content=True)
+        if many:
             rows = durable(rows)
         cold = rows.where(~F.col("hot")).select("gram", "run", "off", "ctx").repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare(length), _SPANS)
-        windows = cold.unionByName(_hot_windows(rows.where("hot"), length)) if hot else cold
-        some = places.join(windows, ["gram", "run"]).select("k1", "k2", F.struct((F.col("s") + F.col("first")).alias("a"), (F.col("s") + F.col("last") + length).alias("b")).alias("span"))
+        windows = cold.unionByName(_hot_windows(rows.where("hot"), length)) if many else cold
+        some = _beside(places, durable(windows), hot_runs).select("k1", "k2", "count", F.struct((F.col("s") + F.col("first")).alias("a"), (F.col("s") + F.col("last") + length).alias("b")).alias("span"))
         parts = parts.unionByName(some)
-    return parts.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    return parts.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("span")).alias("spans"), F.max("count").alias("copies"))
+
+
+def _beside(places: DataFrame, sides: DataFrame, apart: DataFrame) -> DataFrame:
+    keys = ["gram", "run"]
+    cold = places.join(F.broadcast(apart), keys, "left_anti").join(sides.join(F.broadcast(apart), keys, "left_anti"), keys)
+    return cold.unionByName(places.join(F.broadcast(sides.join(F.broadcast(apart), keys, "left_semi")), keys))
 
 
 def _merged(found: list[dict] | None) -> list[list[int]]:
@@ -304,7 +319,11 @@ def _with_spans(docs: DataFrame, text: str, keep: list[str], length: int, gram:
     empty = F.lit(None).cast("array<struct<a:bigint,b:bigint>>")
     if found is None:
         return rows.withColumn("__spans", empty).drop("__k1", "__k2")
-    return rows.join(found.toDF("__k1", "__k2", "__spans"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    found = durable(found.toDF("__k1", "__k2", "__spans", "__copies"))
+    apart = hot("__copies", found.agg(F.sum("__copies")).first()[0])
+    near = rows.join(F.broadcast(found.where(apart).drop("__copies")), ["__k1", "__k2"], "left")
+    others = near.where("__spans is null").drop("__spans").join(found.where(~apart).drop("__copies"), ["__k1", "__k2"], "left")
+    return near.where("__spans is not null").unionByName(others).drop("__k1", "__k2")
 
 
 def _cut(raw: bytes, found: list[list[int]]) -> bytes:

@@ -18,7 +18,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from chronolith.llm import bpe, decontaminate, language, lm, quality, secrets, simhash, suffix, topk, urls
+from chronolith.llm import bpe, common, decontaminate, doubling, language, lm, quality, secrets, simhash, suffix, topk, urls
 from chronolith.llm.automaton import Rule, Scanner, compile_rules
 from chronolith.llm.common import split_join
 from chronolith.llm.components import components
@@ -638,6 +638,35 @@ def test_suffix(spark, monkeypatch, hot):
 # What all have in common
 
 
+def test_suffix_of_a_hot_passage(spark, monkeypatch):
+    """A passage that most texts share, copies of one text, and hot keys of any size are met apart, with the same result."""
+    monkeypatch.setattr(suffix, "SEEN", 3)
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, text = noise(450), noise(700)
+    texts = [noise(rng.randint(0, 60)) + passage + noise(rng.randint(0, 60)) for _ in range(60)] + [text] * 40 + [noise(300) for _ in range(10)]
+    want = brute_removal(texts)
+    for least in (1000, 0):  # nothing is hot, or what over 1/1024 of all rows have
+        monkeypatch.setattr(common, "HOT_LEAST", least)
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.digest(docs_of(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == [(w[1], w[2]) for w in want]
+
+
+def test_plain_doubling_equals_anchors(spark, tmp_path):
+    rng = random.Random(13)
+    noise = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    passage = noise(300)
+    texts = [noise(100) + passage + noise(50), passage[20:260] + noise(80), noise(400), None, "", "x" * 450, noise(199), passage]
+    docs_of(spark, texts, 2).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    ids = {r.row: r.doc_id for r in docs.select(F.monotonically_increasing_id().alias("row"), "doc_id").collect()}
+    gone = {}
+    for r in doubling.repeated(docs).collect():
+        gone.setdefault(ids[r.row], set()).update(range(r.at, r.at + 200))
+    got = {r.doc_id: r.n_removed for r in suffix.digest(docs).collect()}
+    assert got == {i: len(gone.get(i, ())) for i in range(len(texts))} and sum(got.values()) > 0
+
+
 def operators(spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     crf = language.fit_texts(["de", "en"], [([b"der", b"und"], 0), ([b"the", b"and"], 1)])
@@ -661,8 +690,9 @@ def test_split_join(spark):
     assert split_join(rows.where("false"), sides.where("false"), "key", "n").count() == 0
 
 
-@pytest.mark.parametrize("hub", [10, 3000])
-def test_components_of_hubs(spark, hub):
+@pytest.mark.parametrize(("hub", "least"), [(10, 0), (3000, 1000)])
+def test_components_of_hubs(spark, monkeypatch, hub, least):
+    monkeypatch.setattr(common, "HOT_LEAST", least)
     edges = [(0, i) for i in range(1, hub)] + [(5000 + i, 5001 + i) for i in range(20)] + [(i, 9000) for i in range(6000, 6000 + hub)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {0: 0, 9000: 6000} | {i: 0 for i in range(hub)} | {5000 + i: 5000 for i in range(21)} | {i: 6000 for i in range(6000, 6000 + hub)}
