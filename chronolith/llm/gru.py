@@ -11,6 +11,7 @@ adaptive gradients with one sum of squares a row, all others with moments.
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
@@ -28,7 +29,7 @@ ROW_RATE = 0.03
 LEVELS = 5
 #: Parameters of which a token touches a row alone.
 ROWS = ("e", *(f"w{i}" for i in range(1, LEVELS + 1)))
-#: Tokens of a class from which it has a product of its own, and the others that are gathered at once.
+#: Tokens of a class from which it has a product of its own, and matrices of the others that are gathered at once.
 MANY, GATHERED = 10, 2048
 
 
@@ -55,9 +56,12 @@ def _exp(z: np.ndarray) -> np.ndarray:
     return z @ np.ones(z.shape[1], z.dtype)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    total = _exp(z)
-    z /= total[:, None]
+def _errors(z: np.ndarray, at: np.ndarray, total: float) -> np.ndarray:
+    """The softmax of each row less one at a place, over ``total``; ``z`` is overwritten."""
+    all_ = _exp(z)
+    all_ *= total
+    z /= all_[:, None]
+    z[np.arange(len(z)), at] -= 1 / total
     return z
 
 
@@ -67,12 +71,22 @@ def _log_of(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hit - np.log(_exp(z))
 
 
+def _by_size(first: np.ndarray, n: np.ndarray, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(runs, their places in a table) for each size below MANY: runs of one size are computed together."""
+    for size in range(least, MANY):
+        own = np.flatnonzero(n == size)
+        if len(own):
+            yield own, first[own, None] + np.arange(size)
+
+
 def _sums(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sums of runs that begin at ``first``; most runs have one value."""
     out = values[first]
-    more = np.flatnonzero(n > 1)
+    for own, place in _by_size(first, n, 2):
+        out[own] = values[place].sum(1)
+    more = np.flatnonzero(n >= MANY)
     if len(more):
-        inside = np.repeat(n > 1, n)
+        inside = np.repeat(n >= MANY, n)
         size = n[more]
         out[more] = np.add.reduceat(values[inside], np.cumsum(size) - size, axis=0)
     return out
@@ -92,24 +106,22 @@ def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class _Runs:
     """Products of rows with the matrix of their group; the groups are sorted.
 
-    A group of many rows has a product of its own, the matrices of all others are gathered.
+    A group of many rows has a product of its own, all others are stacked by their number of rows.
     """
 
     def __init__(self, group: np.ndarray):
-        self.group = group
-        self.each, self.first, self.n = _runs(group)
-        many = self.n >= MANY
-        self.large = list(zip(self.each[many].tolist(), self.first[many].tolist(), (self.first + self.n)[many].tolist(), np.flatnonzero(many).tolist(), strict=True))
-        few = np.flatnonzero(np.repeat(~many, self.n))
-        self.few = [few[at : at + GATHERED] for at in range(0, len(few), GATHERED)]
-        self.small, self.small_rows = np.flatnonzero(~many), few
+        self.each, first, self.n = _runs(group)
+        n = self.n
+        many = np.flatnonzero(n >= MANY)
+        self.large = list(zip(self.each[many].tolist(), first[many].tolist(), (first + n)[many].tolist(), many.tolist(), strict=True))
+        self.small = [(own[at : at + GATHERED], place[at : at + GATHERED]) for own, place in _by_size(first, n) for at in range(0, len(own), GATHERED)]
 
     def scores(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         z = np.empty((len(h), w.shape[2]), np.result_type(h, w))
         for c, begin, end, _ in self.large:
             np.matmul(h[begin:end], w[c], out=z[begin:end])
-        for own in self.few:
-            z[own] = np.matmul(h[own, None], w[self.group[own]])[:, 0]
+        for own, place in self.small:
+            z[place] = np.matmul(h[place], w[self.each[own]])
         return z
 
     def gradients(self, h: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +130,10 @@ class _Runs:
         for c, begin, end, j in self.large:
             np.matmul(h[begin:end].T, d[begin:end], out=gw[j])
             np.matmul(d[begin:end], w[c].T, out=dh[begin:end])
-        for own in self.few:
-            dh[own] = np.matmul(w[self.group[own]], d[own, :, None])[:, :, 0]
-        if len(self.small):
-            own, n = self.small_rows, self.n[self.small]
-            gw[self.small] = _sums(h[own, :, None] * d[own, None], np.cumsum(n) - n, n)
+        for own, place in self.small:
+            error = d[place]
+            gw[own] = np.matmul(h[place].transpose(0, 2, 1), error)
+            dh[place] = np.matmul(error, w[self.each[own]].transpose(0, 2, 1))
         return gw, dh
 
 
@@ -300,24 +311,33 @@ class Gru:
         steps, lanes = given.shape
         kind = np.result_type(h, p["wh"])
         x = p["e"][given.reshape(-1)]
-        gates = (x @ p["wx"] + p["b"]).reshape(steps, lanes, 3 * k)
+        gates = x @ p["wx"]
+        gates += p["b"]
+        gates = gates.reshape(steps, lanes, 3 * k)
         live = (given != 0)[:, :, None].astype(kind)  # 0: a text begins
         before, hs, zr, inner, n = (np.empty((steps, lanes, w), kind) for w in (k, k, 2 * k, k, k))
         for t in range(steps):
-            before[t] = h * live[t]
-            own = before[t] @ p["wh"]
-            zr[t] = _sigmoid(gates[t, :, : 2 * k] + own[:, : 2 * k])
-            inner[t] = own[:, 2 * k :] + p["bn"]
-            n[t] = np.tanh(gates[t, :, 2 * k :] + zr[t, :, k:] * inner[t])
-            h = n[t] + zr[t, :, :k] * (before[t] - n[t])
-            hs[t] = h
+            old, new, share, out = before[t], n[t], zr[t], hs[t]
+            np.multiply(h, live[t], out=old)
+            own = old @ p["wh"]
+            np.add(gates[t, :, : 2 * k], own[:, : 2 * k], out=share)
+            share *= 0.5
+            np.tanh(share, out=share)
+            share *= 0.5
+            share += 0.5
+            np.add(own[:, 2 * k :], p["bn"], out=inner[t])
+            np.multiply(share[:, k:], inner[t], out=new)
+            new += gates[t, :, 2 * k :]
+            np.tanh(new, out=new)
+            np.subtract(old, new, out=out)
+            out *= share[:, :k]
+            out += new
+            h = out
         g, rows = {}, {}
         flat, goal = _and_one(hs.reshape(-1, k)), target.reshape(-1)
         total = kind.type((goal >= 0).sum())
-        d = _softmax(flat @ p["w0"])
-        d[np.arange(len(goal)), self._root(goal)] -= 1
+        d = _errors(flat @ p["w0"], self._root(goal), total)
         d[goal < 0] = 0
-        d /= total
         g["w0"] = flat.T @ d
         dh = d @ p["w0"].T
         order = self._order(goal)
@@ -326,9 +346,7 @@ class Gru:
             own, ahead = flat[known], np.zeros((len(known), k + 1), kind)
             for w, of, at in self._below(goal[known]):
                 runs = _Runs(of)
-                d = _softmax(runs.scores(own, p[w]))
-                d[np.arange(len(known)), at] -= 1
-                d /= total
+                d = _errors(runs.scores(own, p[w]), at, total)
                 gw, more = runs.gradients(own, p[w], d)
                 rows[w] = runs.each, gw, runs.n
                 ahead += more
@@ -336,17 +354,29 @@ class Gru:
         dh = np.ascontiguousarray(dh[:, :k]).reshape(hs.shape)
         to_gates, to_own = np.empty((steps, lanes, 3 * k), kind), np.empty((steps, lanes, 3 * k), kind)
         back = np.zeros((lanes, k), kind)
-        z, r = zr[:, :, :k], zr[:, :, k:]
-        into_n, into_z, into_r = (1 - z) * (1 - n * n), (before - n) * z * (1 - z), inner * r * (1 - r)
         for t in range(steps - 1, -1, -1):
-            d = dh[t] + back
-            dn = d * into_n[t]
-            to_gates[t, :, :k] = d * into_z[t]
-            to_gates[t, :, k : 2 * k] = dn * into_r[t]
-            to_gates[t, :, 2 * k :] = dn
-            to_own[t, :, : 2 * k] = to_gates[t, :, : 2 * k]
-            to_own[t, :, 2 * k :] = dn * r[t]
-            back = (d * z[t] + to_own[t] @ p["wh"].T) * live[t]
+            z, r, new = zr[t, :, :k], zr[t, :, k:], n[t]
+            d = dh[t]
+            d += back
+            of_gates, of_own = to_gates[t], to_own[t]
+            dn, rest = of_gates[:, 2 * k :], 1 - z
+            np.multiply(new, new, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            dn *= d
+            rest *= z
+            rest *= before[t] - new
+            np.multiply(rest, d, out=of_gates[:, :k])
+            np.subtract(1, r, out=rest)
+            rest *= r
+            rest *= inner[t]
+            np.multiply(rest, dn, out=of_gates[:, k : 2 * k])
+            of_own[:, : 2 * k] = of_gates[:, : 2 * k]
+            np.multiply(dn, r, out=of_own[:, 2 * k :])
+            back = of_own @ p["wh"].T
+            d *= z
+            back += d
+            back *= live[t]
         to_gates, to_own = to_gates.reshape(-1, 3 * k), to_own.reshape(-1, 3 * k)
         g["b"], g["bn"] = to_gates.sum(0), to_own[:, 2 * k :].sum(0)
         g["wx"], g["wh"] = x.T @ to_gates, before.reshape(-1, k).T @ to_own

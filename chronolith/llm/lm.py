@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from .common import carried, steps, text_bytes, written
 from .gru import CLASS, ROWS, Gru, one_thread
+from .subwords import sums
 
 FREQUENT = 1 << 18
 #: Words of the recurrent model, whose numbers, and that of all others, have 16 bits.
@@ -111,12 +112,9 @@ class Lexicon:
     def model(self) -> Gru:
         return Gru(*self.shape())
 
-    def tokens(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
-        """Numbers of the words of a text (-1 for those that aren't frequent), and these words."""
-        own = words(text)
-        get = self.number.get
-        ids = np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
-        return ids, [own[i] for i in np.flatnonzero(ids < 0).tolist()]
+    def numbers(self, own: list[bytes]) -> np.ndarray:
+        """Numbers of words; -1 for those that aren't frequent."""
+        return np.fromiter(map(self.number.get, own, repeat(-1)), np.int64, len(own))
 
     def inputs(self, ids: np.ndarray) -> np.ndarray:
         """Numbers for the model: words beyond its own share the one after the padded outputs."""
@@ -156,19 +154,26 @@ def numbered(docs: DataFrame, lexicon: Lexicon, training: Column, text: str = "t
     def run(batches):
         lexicon = shared.value
         logs = np.log10(lexicon.counts + 1.0)
-        for part in steps(batches, limit=4 << 20):
+        for part in steps(batches, limit=2 << 20):
             raw, at = text_bytes(part.column(len(names)))
-            view = raw.tobytes()
-            columns = [[] for _ in _FIELDS]
+            view, each, sizes = raw.tobytes().lower(), [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                ids, others = lexicon.tokens(view[a:b])
-                frequent = ids[ids >= 0]
-                beyond = frequent[frequent >= lexicon.outputs]
-                different = Counter(others)
-                row = (len(ids) + 1, len(frequent) + (lexicon.texts > 0), float(logs[frequent].sum() + logs[0]), len(others) + len(beyond), float(logs[beyond].sum()), lexicon.inputs(ids).astype(np.int32).tobytes(), [w.decode() for w in different], list(different.values()))
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-            arrays = [pa.array(c, t) for c, (_, t, _) in zip(columns, _FIELDS, strict=True)]
+                own = view[a:b].split()
+                each += own
+                sizes.append(len(own))
+            ids = lexicon.numbers(each)
+            counts = np.array(sizes, np.int64)
+            met, modelled = ids >= 0, (ids >= 0) & (ids < lexicon.outputs)
+            log = np.where(met, logs[ids], 0.0)
+            others, times = [], []
+            unknown, edges = np.flatnonzero(~met), np.concatenate(([0], np.cumsum(counts)))
+            for own in np.split(unknown, np.searchsorted(unknown, edges[1:-1])):
+                different = Counter([each[i] for i in own.tolist()])
+                others.append([w.decode() for w in different])
+                times.append(list(different.values()))
+            inputs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(4 * edges), pa.py_buffer(lexicon.inputs(ids).astype(np.int32))])
+            columns = [counts + 1, sums(met.astype(np.int64), counts).astype(np.int64) + (lexicon.texts > 0), sums(log, counts) + logs[0], counts - sums(modelled.astype(np.int64), counts).astype(np.int64), sums(np.where(modelled, 0.0, log), counts), inputs.cast(pa.binary()), others, times]
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t, _) in zip(columns, _FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + arrays, names=[*names, *[n for n, _, _ in _FIELDS]])
 
     return source.mapInArrow(run, schema)

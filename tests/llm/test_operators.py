@@ -550,7 +550,7 @@ def test_lm_outputs_grow_with_the_vocabulary(spark):
     many = [f"w{i}" for i in range(3000)]
     df = docs_of(spark, [" ".join(many), " ".join(reversed(many)), "w7 w8"])
     lexicon, weights = trained(df)
-    ids, _ = lexicon.tokens(" ".join(many).encode())
+    ids = lexicon.numbers([w.encode() for w in many])
     assert lexicon.inputs(ids).tolist() == ids.tolist() and len(set(ids.tolist())) == 3000
     model, start = lexicon.model().load(weights), lexicon.model()
     h = np.random.default_rng(0).normal(0, 1, (1, HIDDEN)).repeat(model.words + 1, 0)
