@@ -30,7 +30,7 @@ LEVELS = 5
 #: Parameters of which a token touches a row alone.
 ROWS = ("e", *(f"w{i}" for i in range(1, LEVELS + 1)))
 #: Tokens of a class from which it has a product of its own, and matrices of the others that are gathered at once.
-MANY, GATHERED = 10, 2048
+MANY, GATHERED = 8, 2048
 
 
 @cache
@@ -384,7 +384,4 @@ class Gru:
         each, begin, times = _runs(given.reshape(-1)[order])
         rows["e"] = (each, _sums(de[order], begin, times), times)
         rows |= {name: (slice(None), v, int(total)) for name, v in g.items()}
-        norm = np.sqrt(sum(float(np.vdot(v, v)) for _, v, _ in rows.values()))
-        if norm > 1:
-            rows = {name: (at, v / kind.type(norm), n) for name, (at, v, n) in rows.items()}
         return rows, h

@@ -116,9 +116,19 @@ class Lexicon:
         """Numbers of words; -1 for those that aren't frequent."""
         return np.fromiter(map(self.number.get, own, repeat(-1)), np.int64, len(own))
 
+    @property
+    def rare(self) -> int:
+        """The model's number of words beyond its own: the one after the padded outputs."""
+        return -(-self.outputs // CLASS) * CLASS
+
+    @property
+    def kind(self) -> type:
+        """Of the model's numbers as they are written."""
+        return np.uint16 if self.rare < 1 << 16 else np.int32
+
     def inputs(self, ids: np.ndarray) -> np.ndarray:
-        """Numbers for the model: words beyond its own share the one after the padded outputs."""
-        return np.where((ids < 0) | (ids >= self.outputs), -(-self.outputs // CLASS) * CLASS, ids)
+        """Numbers for the model."""
+        return np.where((ids < 0) | (ids >= self.outputs), self.rare, ids).astype(self.kind)
 
 
 def learn_lexicon(counts: DataFrame, texts: int, frequent: int = FREQUENT, outputs: int = OUTPUTS) -> tuple[Lexicon, DataFrame]:
@@ -171,7 +181,8 @@ def numbered(docs: DataFrame, lexicon: Lexicon, training: Column, text: str = "t
                 different = Counter([each[i] for i in own.tolist()])
                 others.append([w.decode() for w in different])
                 times.append(list(different.values()))
-            inputs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(4 * edges), pa.py_buffer(lexicon.inputs(ids).astype(np.int32))])
+            inputs = lexicon.inputs(ids)
+            inputs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges * inputs.itemsize), pa.py_buffer(inputs)])
             columns = [counts + 1, sums(met.astype(np.int64), counts).astype(np.int64) + (lexicon.texts > 0), sums(log, counts) + logs[0], counts - sums(modelled.astype(np.int64), counts).astype(np.int64), sums(np.where(modelled, 0.0, log), counts), inputs.cast(pa.binary()), others, times]
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t, _) in zip(columns, _FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + arrays, names=[*names, *[n for n, _, _ in _FIELDS]])
@@ -182,7 +193,7 @@ def numbered(docs: DataFrame, lexicon: Lexicon, training: Column, text: str = "t
 def train(told: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, block: int = BLOCK) -> np.ndarray:
     """Weights of the recurrent model after ``rounds`` of training by shards and averaging. ``told``: of ``numbered``."""
     context = told.sparkSession.sparkContext
-    shape = lexicon.shape()
+    shape, kind = lexicon.shape(), lexicon.kind
     shards = max(1, round(lexicon.n / block))
     rounds = min(rounds, shards)
     rows = told.where("learnt").select(F.pmod("place", F.lit(shards)).cast("int").alias("shard"), "place", "ids")
@@ -193,7 +204,7 @@ def train(told: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, block: int =
         def fit(batches, now=now):
             one_thread()
             start = Gru(*shape).load(now.value)
-            for shard, streams in _by_shard(batches, block):
+            for shard, streams in _by_shard(batches, block, kind):
                 model = Gru(*shape).load(now.value)
                 for stream in streams:
                     model.fit(stream)
@@ -218,14 +229,15 @@ def train(told: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, block: int =
     return weights
 
 
-def _by_shard(batches, block: int):
+def _by_shard(batches, block: int, kind: type):
     """(shard, its streams of tokens, an end after each text) from rows (shard, ids) that are sorted by shard."""
 
     def texts():
         for batch in batches:
             raw, at = text_bytes(batch.column(1))
-            tokens = np.frombuffer(raw.tobytes(), np.int32)
-            for shard, a, b in zip(batch.column(0).to_pylist(), (at[:-1] // 4).tolist(), (at[1:] // 4).tolist(), strict=True):
+            tokens = np.frombuffer(raw.tobytes(), kind).astype(np.int32)
+            at = at // np.dtype(kind).itemsize
+            for shard, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 yield shard, tokens[a:b]
 
     def streams(own):
@@ -284,16 +296,16 @@ def _changes(shard: int, name: str, block: int, *arrays: np.ndarray) -> pa.Recor
 
 def _stated(told: DataFrame, names: list[str], lexicon: Lexicon, weights: np.ndarray) -> DataFrame:
     """``names``, and state: the model's log10 likelihood of each text, with words beyond its own as one token."""
-    shape, now = lexicon.shape(), told.sparkSession.sparkContext.broadcast(weights)
+    shape, kind, now = lexicon.shape(), lexicon.kind, told.sparkSession.sparkContext.broadcast(weights)
     source = told.select(*names, "ids")
     schema = T.StructType([source.schema[c] for c in names] + [T.StructField("state", T.DoubleType())])
 
     def run(batches):
         one_thread()
         model = Gru(*shape).load(now.value)
-        for part in steps(batches, "ids", limit=8 << 20):
+        for part in steps(batches, "ids", limit=4 << 20):
             raw, at = text_bytes(part.column(len(names)))
-            state = model.score(np.frombuffer(raw.tobytes(), np.int32), np.diff(at) // 4) / np.log(10)
+            state = model.score(np.frombuffer(raw.tobytes(), kind).astype(np.int32), np.diff(at) // np.dtype(kind).itemsize) / np.log(10)
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [pa.array(state)], names=[*names, "state"])
 
     return source.mapInArrow(run, schema)

@@ -533,7 +533,7 @@ def test_lm_learns_every_token_of_every_shard_once(spark, monkeypatch):
     seen = Counter()
     rows = [(r.place % 9, r.ids) for r in told.collect()]
     for shard in range(9):
-        for _, streams in lm._by_shard([pa.RecordBatch.from_arrays([pa.array([0] * sum(s == shard for s, _ in rows), pa.int32()), pa.array([bytes(i) for s, i in rows if s == shard], pa.binary())], names=["shard", "ids"])], 8):
+        for _, streams in lm._by_shard([pa.RecordBatch.from_arrays([pa.array([0] * sum(s == shard for s, _ in rows), pa.int32()), pa.array([bytes(i) for s, i in rows if s == shard], pa.binary())], names=["shard", "ids"])], 8, lexicon.kind):
             for stream in streams:
                 seen.update(stream.tolist())
     assert [seen[i] for i in range(lexicon.outputs)] == lexicon.counts[: lexicon.outputs].tolist()
