@@ -143,13 +143,14 @@ def _log_shares(mass: np.ndarray) -> np.ndarray:
 
 
 class Gru:
-    def __init__(self, counts: np.ndarray, rare: float, seed: int = 0):
-        """``counts`` of the frequent tokens, a multiple of CLASS of them, and of all others together; output starts as their unigram model."""
+    def __init__(self, counts: np.ndarray, rare: float, seed: int | None = 0):
+        """``counts`` of the frequent tokens, a multiple of CLASS of them, and of all others together; output starts as their unigram model. Without a seed the rest is 0."""
         self.words, self.levels = len(counts), 1
         while CLASS ** (self.levels + 1) < self.words:
             self.levels += 1
         self.moments, self.squares, self.met, self.seen = {}, {}, {}, 0
         self._given: np.ndarray | None = None
+        self._room: tuple = None, []
         rng = np.random.default_rng(seed)
         shape = {"e": (self.words + 1, EMBEDDING), "wx": (EMBEDDING, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "bn": (HIDDEN,), "w0": (HIDDEN + 1, CLASS + 1)}
         mass = counts + 0.5
@@ -162,7 +163,7 @@ class Gru:
         biases["w0"] = _log_shares(np.concatenate((mass, np.zeros(CLASS - len(mass)), [rare + 0.5]))[None])[0]
         self.p = {k: np.zeros(s, np.float32) for k, s in shape.items()}
         for k, scale in (("e", 0.3), ("wx", EMBEDDING**-0.5), ("wh", HIDDEN**-0.5)):
-            self.p[k][:] = rng.normal(0, scale, shape[k])
+            self.p[k][:] = rng.normal(0, scale, shape[k]) if seed is not None else 0
         for k, v in biases.items():
             self.p[k][..., HIDDEN, :] = v
 
@@ -315,7 +316,7 @@ class Gru:
         gates += p["b"]
         gates = gates.reshape(steps, lanes, 3 * k)
         live = (given != 0)[:, :, None].astype(kind)  # 0: a text begins
-        before, hs, zr, inner, n = (np.empty((steps, lanes, w), kind) for w in (k, k, 2 * k, k, k))
+        before, hs, zr, inner, n, to_gates, to_own = self._space(steps, lanes, kind)
         for t in range(steps):
             old, new, share, out = before[t], n[t], zr[t], hs[t]
             np.multiply(h, live[t], out=old)
@@ -352,7 +353,6 @@ class Gru:
                 ahead += more
             dh[known] += ahead
         dh = np.ascontiguousarray(dh[:, :k]).reshape(hs.shape)
-        to_gates, to_own = np.empty((steps, lanes, 3 * k), kind), np.empty((steps, lanes, 3 * k), kind)
         back = np.zeros((lanes, k), kind)
         for t in range(steps - 1, -1, -1):
             z, r, new = zr[t, :, :k], zr[t, :, k:], n[t]
@@ -384,4 +384,10 @@ class Gru:
         each, begin, times = _runs(given.reshape(-1)[order])
         rows["e"] = (each, _sums(de[order], begin, times), times)
         rows |= {name: (slice(None), v, int(total)) for name, v in g.items()}
-        return rows, h
+        return rows, h.copy()
+
+    def _space(self, steps: int, lanes: int, kind: np.dtype) -> list[np.ndarray]:
+        """Room for what the steps of a window compute, kept from window to window."""
+        if (steps, lanes, kind) != self._room[0]:
+            self._room = (steps, lanes, kind), [np.empty((steps, lanes, w * HIDDEN), kind) for w in (1, 1, 2, 1, 1, 3, 3)]
+        return self._room[1]

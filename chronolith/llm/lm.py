@@ -26,11 +26,11 @@ learnt from, and not held out) or repeated. Without training texts all counts ar
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import groupby, repeat
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +55,14 @@ COUNTED = 400_000
 _FINE = 16
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of texts in a row, and the number of each text's."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    if some.all():
+        return flat, sizes
+    return flat.filter(pa.array(some)), sums(some.astype(np.int64), sizes).astype(np.int64)
 
 
 def _source(docs: DataFrame, text: str, *more: Column) -> DataFrame:
@@ -66,23 +72,24 @@ def _source(docs: DataFrame, text: str, *more: Column) -> DataFrame:
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, c) of all words of whole texts; ends aren't words. Counted in the task first, then combined."""
 
-    def run(batches):
-        counts: Counter[bytes] = Counter()
-
-        def out():
-            batch = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return batch
+    def merged(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
+    def run(batches):
+        held, n = [], 0
         for part in steps(batches, limit=4 << 20):
-            raw, at = text_bytes(part.column(0))
-            view = raw.tobytes()
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                counts.update(words(view[a:b]))
-            if len(counts) > COUNTED:
-                yield out()
-        if counts:
-            yield out()
+            flat, _ = words(part.column(0))
+            found = pc.value_counts(flat)
+            held.append(pa.table({"word": found.field("values"), "c": found.field("counts")}))
+            n += len(found)
+            if n > 2 * COUNTED:
+                held = [merged(held)]
+                n = held[0].num_rows
+                if n > COUNTED:
+                    yield from held.pop().to_batches()
+                    n = 0
+        if held:
+            yield from merged(held).to_batches()
 
     return _source(docs, text).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -97,7 +104,7 @@ class Lexicon:
     def __init__(self, rows: list[tuple[str, int]], texts: int, tokens: int, types: int, outputs: int = OUTPUTS):
         rows = sorted(rows, key=lambda r: (-r[1], r[0]))
         self.texts, self.n, self.v = texts, tokens + texts, types + (texts > 0)
-        self.number = {w.encode(): i + 1 for i, (w, _) in enumerate(rows)}
+        self.words = pa.array([w for w, _ in rows], pa.string())
         self.counts = np.array([texts] + [c for _, c in rows], np.int64)  # 0 is the end
         self.outputs = min(outputs, len(self.counts))
         own = self.counts[: self.outputs]
@@ -112,9 +119,9 @@ class Lexicon:
     def model(self) -> Gru:
         return Gru(*self.shape())
 
-    def numbers(self, own: list[bytes]) -> np.ndarray:
+    def numbers(self, own: pa.Array) -> np.ndarray:
         """Numbers of words; -1 for those that aren't frequent."""
-        return np.fromiter(map(self.number.get, own, repeat(-1)), np.int64, len(own))
+        return pc.add(pc.index_in(own, value_set=self.words), 1).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     @property
     def rare(self) -> int:
@@ -164,25 +171,18 @@ def numbered(docs: DataFrame, lexicon: Lexicon, training: Column, text: str = "t
     def run(batches):
         lexicon = shared.value
         logs = np.log10(lexicon.counts + 1.0)
-        for part in steps(batches, limit=2 << 20):
-            raw, at = text_bytes(part.column(len(names)))
-            view, each, sizes = raw.tobytes().lower(), [], []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                own = view[a:b].split()
-                each += own
-                sizes.append(len(own))
+        for part in steps(batches, limit=4 << 20):
+            each, counts = words(part.column(len(names)))
             ids = lexicon.numbers(each)
-            counts = np.array(sizes, np.int64)
             met, modelled = ids >= 0, (ids >= 0) & (ids < lexicon.outputs)
             log = np.where(met, logs[ids], 0.0)
-            others, times = [], []
-            unknown, edges = np.flatnonzero(~met), np.concatenate(([0], np.cumsum(counts)))
-            for own in np.split(unknown, np.searchsorted(unknown, edges[1:-1])):
-                different = Counter([each[i] for i in own.tolist()])
-                others.append([w.decode() for w in different])
-                times.append(list(different.values()))
+            edges = np.concatenate(([0], np.cumsum(counts)))
+            unknown = np.flatnonzero(~met)
+            rare = pa.table({"text": np.searchsorted(edges, unknown, "right") - 1, "word": each.take(pa.array(unknown))}).group_by(["text", "word"]).aggregate([([], "count_all")]).sort_by("text").combine_chunks()
+            ends = np.searchsorted(rare["text"].to_numpy(), np.arange(len(counts) + 1)).astype(np.int32)
+            others, times = (pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays([pa.array([], t), *rare[c].chunks])) for c, t in (("word", pa.string()), ("count_all", pa.int64())))
             inputs = lexicon.inputs(ids)
-            inputs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges * inputs.itemsize), pa.py_buffer(inputs)])
+            inputs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(edges * inputs.itemsize), pa.py_buffer(inputs)])
             columns = [counts + 1, sums(met.astype(np.int64), counts).astype(np.int64) + (lexicon.texts > 0), sums(log, counts) + logs[0], counts - sums(modelled.astype(np.int64), counts).astype(np.int64), sums(np.where(modelled, 0.0, log), counts), inputs.cast(pa.binary()), others, times]
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t, _) in zip(columns, _FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + arrays, names=[*names, *[n for n, _, _ in _FIELDS]])
@@ -203,9 +203,9 @@ def train(told: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, block: int =
 
         def fit(batches, now=now):
             one_thread()
-            start = Gru(*shape).load(now.value)
+            start = Gru(*shape, seed=None).load(now.value)
             for shard, streams in _by_shard(batches, block, kind):
-                model = Gru(*shape).load(now.value)
+                model = Gru(*shape, seed=None).load(now.value)
                 for stream in streams:
                     model.fit(stream)
                 for name, own, met, change in model.changes(start):
@@ -302,7 +302,7 @@ def _stated(told: DataFrame, names: list[str], lexicon: Lexicon, weights: np.nda
 
     def run(batches):
         one_thread()
-        model = Gru(*shape).load(now.value)
+        model = Gru(*shape, seed=None).load(now.value)
         for part in steps(batches, "ids", limit=4 << 20):
             raw, at = text_bytes(part.column(len(names)))
             state = model.score(np.frombuffer(raw.tobytes(), kind).astype(np.int32), np.diff(at) // np.dtype(kind).itemsize) / np.log(10)

@@ -514,6 +514,14 @@ def test_lm(spark, small, small_texts, frequent):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_lm_words():
+    rng = random.Random(14)
+    texts = [None, "", " ", "\t\n", *["".join(rng.choice("aB é\u0130\u00a0\x1c\x85 \t\n\x0b\x0c\r") for _ in range(rng.randint(0, 30))) for _ in range(500)]]
+    flat, sizes = lm.words(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and flat.to_pylist() == [x.decode() for w in want for x in w]
+
+
 def trained(df, **more):
     lexicon, _ = lm.learn_lexicon(lm.count_words(df), df.count())
     return lexicon, lm.train(lm.numbered(df, lexicon, F.lit(True)), lexicon, **more)
@@ -550,7 +558,7 @@ def test_lm_outputs_grow_with_the_vocabulary(spark):
     many = [f"w{i}" for i in range(3000)]
     df = docs_of(spark, [" ".join(many), " ".join(reversed(many)), "w7 w8"])
     lexicon, weights = trained(df)
-    ids = lexicon.numbers([w.encode() for w in many])
+    ids = lexicon.numbers(pa.array(many))
     assert lexicon.inputs(ids).tolist() == ids.tolist() and len(set(ids.tolist())) == 3000
     model, start = lexicon.model().load(weights), lexicon.model()
     h = np.random.default_rng(0).normal(0, 1, (1, HIDDEN)).repeat(model.words + 1, 0)
