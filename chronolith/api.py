@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import asdict
 from urllib.parse import unquote
 
 from .engine import Engine
 from .plans.syntax import QueryError, parse, parse_duration, parse_selector, reach
+from .shape.status import Health
 from .shape.times import parse_instant
+from .sources.registry import Registry
 from .sources.store import MetricStore
 
 _SECONDS = re.compile(r"-?\d+(\.\d+)?", re.ASCII)
@@ -31,12 +34,18 @@ def parse_step(raw: str) -> int:
 
 
 class Api:
-    def __init__(self, store: MetricStore, version: str = "0", now: Callable[[], int] = lambda: int(time.time() * 1000), lookback_ms: int = 300_000):
-        self.store, self.version, self.now, self.lookback = store, version, now, lookback_ms
+    """``registry``: whose metrics ``/metrics`` shows (none: no such path); ``health``: what ``/health`` judges by."""
+
+    def __init__(self, store: MetricStore, version: str = "0", now: Callable[[], int] = lambda: int(time.time() * 1000), lookback_ms: int = 300_000, registry: Registry | None = None, health: Callable[[], Health] = Health):
+        self.store, self.version, self.now, self.lookback, self.registry, self.health = store, version, now, lookback_ms, registry, health
 
     def handle(self, path: str, params: Params) -> tuple[int, object]:
-        """Status and body. The export's body is an iterator of lines."""
+        """Status and body. The export's body is an iterator of lines, that of the metrics their text."""
         try:
+            if path in ("/health", "/-/healthy"):
+                return self._healthy()
+            if path == "/metrics" and self.registry is not None:
+                return 200, self.registry.text()
             found = self._routes().get(path)
             if found:
                 return 200, found(params)
@@ -60,11 +69,15 @@ class Api:
             "/api/v1/status/buildinfo": lambda _: self._success({"version": "2.24.0", "application": "tsdb", "pluginVersion": self.version, **dict.fromkeys(("revision", "branch", "buildUser", "buildDate", "goVersion"), "")}),
             "/api/v1/status/tsdb": self._status,
             "/api/v1/export": self._export,
-            "/health": lambda _: {"status": "ok"},
-            "/-/healthy": lambda _: {"status": "ok"},
             **{k: lambda _, v=v: self._success(v) for k, v in empty.items()},
         }
 
+    def _healthy(self) -> tuple[int, dict]:
+        """503 while the store or engine isn't there or ingest fails."""
+        health = self.health()
+        ok = health.store_open and health.engine_ready and not health.ingest_error
+        return 200 if ok else 503, {"status": "ok" if ok else "error", "metrics_endpoint": "/metrics", **asdict(health)}
+
     @staticmethod
     def _success(data: object) -> dict:
         return {"status": "success", "data": data}

@@ -125,20 +125,6 @@ def align(rows: DataFrame, start_ms: int, end_ms: int, step_ms: int) -> DataFram
     return each.select("labels", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at("m", i)).alias("values"))
 
 
-def align_matrix(result: dict, start_s: float, end_s: float, step_s: float) -> dict:
-    """The same for a result of the API."""
-    n = math.floor((end_s - start_s) / step_s) + 1
-    series = []
-    for entry in result["result"] if result["resultType"] == "matrix" else []:
-        values: list[float | None] = [None] * n
-        for t, v in entry["values"]:
-            slot = math.floor((t - start_s) / step_s + 0.5)
-            if 0 <= slot < n:
-                values[slot] = float(v)
-        series.append({"metric": entry["metric"], "values": values})
-    return {"xs": [start_s + i * step_s for i in range(n)], "series": series}
-
-
 def _pairs(metric: dict[str, str], hidden: set[str]) -> str:
     return ", ".join(f'{k}="{metric[k]}"' for k in sorted(metric) if k != NAME and k not in hidden)
 

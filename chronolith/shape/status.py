@@ -24,12 +24,11 @@ class Health:
     scrape_error: str | None = None
 
 
-# The messages.
-STARTING = Status("empty", "Metrics database is starting", "This panel will refresh when the local TSDB is ready.")
-CLOSED = Status("warning", "Database is not open", "The local TSDB has not opened its SQLite store yet.")
-ENGINE = Status("empty", "Query engine is starting", "This panel will refresh when PromQL queries are ready.")
-WAITING = Status("empty", "Waiting for first scrape", "The query will populate after the first source records samples.")
-NOTHING = Status("empty", "No data", "No samples matched this query in the selected time range.")
+STARTING = Status("empty", "The store is being opened", "Results appear here as soon as it can be read.")
+CLOSED = Status("warning", "The store is closed", "No manifest of the sample store could be read.")
+ENGINE = Status("empty", "Queries can't run yet", "Results appear here as soon as the Spark session is up.")
+WAITING = Status("empty", "No scrape has ended yet", "Samples arrive with the first scrape of any target.")
+NOTHING = Status("empty", "Nothing found", "The query has no samples in this range of time.")
 
 
 def unavailable(health: Health | None) -> Status:
@@ -43,13 +42,13 @@ def unavailable(health: Health | None) -> Status:
 def no_data(health: Health | None) -> Status:
     h = health or Health()
     if h.ingest_error:
-        return Status("error", "Ingest is failing", f"Last ingest failed: {h.ingest_error}")
+        return Status("error", "Samples aren't being stored", f"The last write failed: {h.ingest_error}")
     if h.down:
-        return Status("warning", "Scrape target down", h.scrape_error or f"{h.down} scrape target{'s' * (h.down != 1)} reported down.")
+        return Status("warning", "Targets are down", h.scrape_error or f"Failed in their last scrape: {h.down}.")
     if h.stale:
-        return Status("warning", "Scrape data is stale", f"{h.stale} scrape target{'s' * (h.stale != 1)} has not reported recently.")
+        return Status("warning", "Targets are silent", f"Overdue by several intervals: {h.stale}.")
     return WAITING if 0 < h.targets == h.pending else NOTHING
 
 
 def query_error(error: object) -> Status:
-    return Status("error", "Query error", str(error))
+    return Status("error", "The query failed", str(error))

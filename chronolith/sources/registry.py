@@ -6,6 +6,7 @@ import math
 import time
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,8 +51,15 @@ class Metric:
         self.values[self._key(labels)] = [float(value)]
 
     def observe(self, value: float, labels: dict | None = None) -> None:
+        """A histogram keeps a count for each bucket and the sum; a summary, whose quantiles are exact, keeps the values."""
         self._able("observe")
-        self.values.setdefault(self._key(labels), []).append(float(value))
+        key, value = self._key(labels), float(value)
+        if self.kind == "summary":
+            self.values.setdefault(key, []).append(value)
+            return
+        kept = self.values.setdefault(key, [0.0] * (len(self.buckets) + 2))  # the counts, those beyond all bounds, the sum
+        kept[bisect_left(self.buckets, value)] += 1
+        kept[-1] += value
 
     def timer(self, labels: dict | None = None):
         """A function that, called, records the seconds since."""
@@ -76,19 +84,16 @@ class Metric:
                 out.append((self.name, labels, values[0]))
                 continue
             if self.kind == "histogram":
-                bounds = [*self.buckets, math.inf]
-                counts = [0] * len(bounds)
-                for v in values:
-                    counts[bisect_left(bounds, v)] += 1
-                total = 0
-                for bound, n in zip(bounds, counts, strict=True):
-                    total += n
-                    out.append((f"{self.name}_bucket", {**labels, "le": "+Inf" if math.isinf(bound) else f"{bound:g}"}, float(total)))
+                *counts, total = values
+                for bound, n in zip([*self.buckets, math.inf], accumulate(counts), strict=True):
+                    out.append((f"{self.name}_bucket", {**labels, "le": "+Inf" if math.isinf(bound) else f"{bound:g}"}, n))
+                size = sum(counts)
             else:
                 ordered = sorted(values)
                 for p in self.percentiles:
                     out.append((self.name, {**labels, "quantile": f"{p:g}"}, ordered[min(len(ordered) - 1, int(p * len(ordered)))] if ordered else 0.0))
-            out += [(f"{self.name}_sum", labels, sum(values)), (f"{self.name}_count", labels, float(len(values)))]
+                size, total = float(len(values)), sum(values)
+            out += [(f"{self.name}_sum", labels, total), (f"{self.name}_count", labels, size)]
         return out
 
 

@@ -92,5 +92,33 @@ def due(targets: list[dict], last_ms: dict[str, int], now_ms: int) -> list[dict]
     return out
 
 
+class Schedule:
+    """Which targets to scrape when: none while its last scrape runs, and no result counts of targets that have been replaced since."""
+
+    def __init__(self, targets: list[dict]):
+        self.generation = 0
+        self.replace(targets)
+
+    def replace(self, targets: list[dict]) -> None:
+        self.generation += 1
+        self.targets, self.last_ms, self.running = list(targets), {}, set()
+
+    def begin(self, now_ms: int) -> list[tuple[dict, int]]:
+        """Targets to scrape now, each with the generation to give back."""
+        idle = [t for t in self.targets if t["url"] not in self.running]
+        found = due(idle, self.last_ms, now_ms)
+        for t in found:
+            self.running.add(t["url"])
+            self.last_ms[t["url"]] = now_ms
+        return [(t, self.generation) for t in found]
+
+    def end(self, target: dict, generation: int) -> bool:
+        """Whether the result still counts; the interval runs from the beginning of a scrape."""
+        if generation != self.generation:
+            return False
+        self.running.discard(target["url"])
+        return True
+
+
 def targets_frame(spark: SparkSession, targets: list[dict]) -> DataFrame:
     return spark.createDataFrame([(t["job"], t["url"]) for t in targets], "job string, url string")

@@ -4,9 +4,11 @@ import math
 
 import pytest
 
+from chronolith.api import Api
 from chronolith.engine import Engine, number_text
 from chronolith.plans.syntax import QueryError, parse, parse_duration, parse_selector
 from chronolith.plans.values import Source
+from chronolith.sources.store import MetricStore
 
 T = 120_000
 
@@ -151,6 +153,32 @@ def test_errors(spark, query):
         engine(spark, *PAIR).range_query(query, 0, 60_000, 30_000)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_range_functions_fold_samples_of_a_store_before_any_shuffle(spark, tmp_path):
+    store = MetricStore(spark, f"file://{tmp_path}/store")
+    rows = [({"__name__": "m", "i": str(i)}, float(t * 1000), float((t * (i + 1)) % 50)) for i in range(3) for t in range(300)]
+    store.ingest(spark.createDataFrame(rows, "labels map<string,string>, ts double, value double"))
+    source = store.source(0, 300_000)
+    table = Engine(source).table("rate(m[1m])", 60_000, 290_000, 10_000)
+    plan = plan_of(table)
+    below = plan[plan.index("MapInArrow") :]
+    assert "Window" in plan and "Exchange hashpartitioning" not in below and "Window" not in below, plan
+    plain = Engine(Source(source.series, source.samples.repartition(5, "ts"))).table("rate(m[1m])", 60_000, 290_000, 10_000)
+    got, want = ({(r.labels["i"], r.step): r.value for r in t.collect()} for t in (table, plain))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(got) == 72
+
+
+def test_api_reads_only_the_buckets_that_a_query_can_see(spark, tmp_path):
+    store = MetricStore(spark, f"file://{tmp_path}/store", bucket_ms=1000)
+    store.ingest(spark.createDataFrame([({"__name__": "m"}, float(t), 1.0) for t in range(0, 20_000, 500)], "labels map<string,string>, ts double, value double"))
+    seen = Api(store, lookback_ms=1500)._engine("m offset 2s or rate(m[3s] offset 1s)", 12_000, 13_000).source.samples
+    assert "FileScan" in plan_of(seen)
+    assert sorted({int(f.split("bucket=")[1].split("/")[0]) for f in seen.inputFiles()}) == list(range(8000, 14_000, 1000))
+
+
 def test_step_limit(spark):
     with pytest.raises(QueryError, match="would evaluate 1001 steps, exceeding the limit of 10"):
         engine(spark, *PAIR, max_steps=10).range_query("m", 0, 1_000_000, 1000)

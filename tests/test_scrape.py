@@ -6,7 +6,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 import pytest
 
 from chronolith.shape import status
-from chronolith.sources import scrape
+from chronolith.sources import pacing, scrape
 from chronolith.streaming.ingest import samples_of
 
 
@@ -61,5 +61,24 @@ def test_due():
 
 def test_status():
     h = status.Health
-    assert [status.unavailable(x).title for x in (None, h(store_open=False), h(engine_ready=False), h(ingest_error="e"), h(down=2), h(stale=1), h(targets=1, pending=1), h())] == ["Metrics database is starting", "Database is not open", "Query engine is starting", "Ingest is failing", "Scrape target down", "Scrape data is stale", "Waiting for first scrape", "No data"]
-    assert status.no_data(h(down=2)).detail == "2 scrape targets reported down." and status.query_error(ValueError("x")).detail == "x"
+    assert [status.unavailable(x).title for x in (None, h(store_open=False), h(engine_ready=False), h(ingest_error="e"), h(down=2), h(stale=1), h(targets=1, pending=1), h())] == ["The store is being opened", "The store is closed", "Queries can't run yet", "Samples aren't being stored", "Targets are down", "Targets are silent", "No scrape has ended yet", "Nothing found"]
+    assert status.no_data(h(down=2)).detail == "Failed in their last scrape: 2." and status.query_error(ValueError("x")).detail == "x"
+
+
+def test_schedule_has_no_overlap_and_drops_stale_results():
+    schedule = scrape.Schedule([{"job": "a", "url": "u", "interval_seconds": 5}, {"job": "b", "url": "v", "interval_seconds": 60}])
+    first = schedule.begin(0)
+    assert [t["job"] for t, _ in first] == ["a", "b"] and schedule.begin(9000) == []  # both still run
+    assert schedule.end(first[0][0], first[0][1]) and [t["job"] for t, _ in schedule.begin(9500)] == ["a"]
+    schedule.replace([{"job": "b", "url": "v", "interval_seconds": 60}])
+    assert not schedule.end(first[1][0], first[1][1])  # of the targets before
+    assert [t["job"] for t, _ in schedule.begin(10_000)] == ["b"]
+
+
+def test_pacing():
+    assert [pacing.COMPACTION.following(128, ms) for ms in (200, 62, 40, 10, 0, float("nan"))] == [64, 128, 128, 160, 128, 128]
+    assert pacing.COMPACTION.following(9999, 10) == 512 and pacing.COMPACTION.following(300, 500, least=256) == 256
+    assert [pacing.VACUUM.following(64, ms) for ms in (100, 10)] == [25, 80]
+    hour = 3_600_000
+    assert [pacing.point_floor(a, q) for a, q in ((8 * hour, 10**6), (5 * hour, 10**6), (hour, 10**6), (8 * hour, 3000))] == [512, 256, 64, 64]
+    assert [pacing.pause_ms(a, q, w) for a, q, w in ((0, 10**6, 0), (5 * hour, 10**6, 0), (8 * hour, 10**6, 0), (0, 0, 0), (0, 0, 101))] == [500, 400, 250, 750, 1000]

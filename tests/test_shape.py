@@ -10,12 +10,12 @@ from chronolith.engine import Engine
 from chronolith.plans.syntax import QueryError
 from chronolith.plans.values import Source
 from chronolith.shape import panels, times
+from chronolith.shape.status import Health
+from chronolith.sources.registry import Registry
 from chronolith.sources.store import MetricStore
 
 
 def test_alignment_and_legends(spark):
-    matrix = {"resultType": "matrix", "result": [{"metric": {}, "values": [[100, "1"], [130, "4"]]}]}
-    assert panels.align_matrix(matrix, 100, 130, 10)["series"][0]["values"] == [1, None, None, 4]
     rows = spark.createDataFrame([({"a": "1"}, 100, 1.0), ({"a": "1"}, 130, 4.0)], "labels map<string,string>, step long, value double")
     assert panels.align(rows, 100, 130, 10).first()["values"] == [1.0, None, None, 4.0]
     ops = [({"__name__": "m", "op": o, "x": "1"}, None) for o in ("open", "modify")]
@@ -75,6 +75,13 @@ def test_api(spark, tmp_path):
     rows = [({"__name__": "m", "job": j}, t, v) for j, t, v in (("a", 1000.0, 1.0), ("a", 2000.0, 2.0), ("b", 1500.0, 3.0))]
     store.ingest(spark.createDataFrame(rows, "labels map<string,string>, ts double, value double"))
     api = Api(store, now=lambda: 2000)
+    assert api.handle("/health", {})[0] == 200 and api.handle("/metrics", {})[0] == 404
+    reg = Registry()
+    reg.counter("c_total").inc(3)
+    sick = Api(store, registry=reg, health=lambda: Health(ingest_error="disk full"))
+    assert sick.handle("/metrics", {}) == (200, reg.text())
+    code, body = sick.handle("/-/healthy", {})
+    assert (code, body["status"], body["ingest_error"]) == (503, "error", "disk full")
     status, body = api.handle("/api/v1/query", {"query": ["sum(m)"]})
     assert status == 200 and body == {"status": "success", "data": {"resultType": "vector", "result": [{"metric": {}, "value": [2, "5"]}]}}
     _, body = api.handle("/api/v1/query_range", {"query": ['m{job="a"}'], "start": ["1"], "end": ["1970-01-01T00:00:02Z"], "step": ["1s"]})
