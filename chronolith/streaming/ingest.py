@@ -44,12 +44,18 @@ def scrape_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SCRAPE).json(folder)
 
 
-def window_counts(samples: DataFrame, range_ms: int, step_ms: int) -> DataFrame:
-    """Running sums and counts of each series over windows (s, e] of a stream of (labels_key, ts, value)."""
-    at = F.timestamp_millis(F.col("ts") - 1)  # windows of Spark hold their start and not their end; those here the reverse
-    window = F.window(at, f"{range_ms} milliseconds", f"{step_ms} milliseconds")
-    rows = samples.groupBy("labels_key", window).agg(F.sum("value").alias("sum"), F.count("value").alias("count"))
-    return rows.select("labels_key", F.unix_millis("window.end").alias("step"), "sum", "count")
+def window_counts(samples: DataFrame, range_ms: int, step_ms: int, late_ms: int | None = None) -> DataFrame:
+    """Running sums and counts of each series over windows (s, e] of a stream of (labels_key, ts, value).
+
+    With ``late_ms`` a window's state goes once samples are so far beyond its end, and later ones for it don't count;
+    without it nothing is too late, and the state of all windows is kept.
+    """
+    rows = samples.withColumn("at", F.timestamp_millis(F.col("ts") - 1))  # windows of Spark hold their start and not their end; those here the reverse
+    if late_ms is not None:
+        rows = rows.withWatermark("at", f"{late_ms} milliseconds")
+    window = F.window("at", f"{range_ms} milliseconds", f"{step_ms} milliseconds")
+    sums = rows.groupBy("labels_key", window).agg(F.sum("value").alias("sum"), F.count("value").alias("count"))
+    return sums.select("labels_key", F.unix_millis("window.end").alias("step"), "sum", "count")
 
 
 def summarize_health(statuses: DataFrame, now_ms: int) -> DataFrame:

@@ -297,3 +297,17 @@ def test_stream(spark, store, tmp_path):
     statuses = spark.createDataFrame([(True, 90_000, None, 15), (False, 10_000, "boom", 15), (None, None, None, 15)], "up boolean, last_scrape_ms long, last_error string, interval_seconds int")
     r = ingest.summarize_health(statuses, 100_000).first()
     assert (r.targets, r.up, r.down, r.pending, r.stale, r.last_scrape_ms, r.last_error) == (3, 1, 1, 1, 1, 90_000, "boom")
+
+
+@pytest.mark.parametrize("late", [None, 60_000])
+def test_window_counts_of_a_stream(spark, tmp_path, late):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    rows = [{"labels_key": "a", "ts": t, "value": float(t)} for t in (1000, 2000, 2001, 4000)]
+    (folder / "1.json").write_text("\n".join(json.dumps(r) for r in rows))
+    stream = spark.readStream.schema("labels_key string, ts long, value double").json(str(folder))
+    name = f"windows_{late}"
+    query = ingest.window_counts(stream, 2000, 1000, late).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.step: (r.sum, r["count"]) for r in spark.table(name).collect()}
+    assert got == {1000: (1000.0, 1), 2000: (3000.0, 2), 3000: (4001.0, 2), 4000: (6001.0, 2), 5000: (4000.0, 1)}
