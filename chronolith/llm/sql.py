@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontaminate import WINDOW
 from .suffix import LENGTH
 from .topk import SCALE
-from .urls import BINS, FOLDS, LIMIT, LOWER, RULES, SYMBOLS, UPPER
+from .urls import BINS, DEPTH, FOLDS, LIMIT, LOWER, PAD, RULES, SHARE, SYMBOLS, UPPER
 
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -50,20 +50,25 @@ def _rules(verdict: bool) -> str:
     return f"CASE {' '.join(tests)} END"
 
 
-def _context(keys: str) -> str:
-    """Times a context was seen and its different followers, for both models."""
-    by = f"{keys}, " if keys else ""
-    inner = f"SELECT {by}c3, sum(a) AS a, sum(b) AS b FROM tri GROUP BY {by}c3"
-    return f"SELECT {by}sum(a) AS na, count(*) FILTER (WHERE a > 0) AS ta, sum(b) AS nb, count(*) FILTER (WHERE b > 0) AS tb FROM ({inner}) {f'GROUP BY {keys}' if keys else ''}"
+def _orders() -> str:
+    """Followers f0 to f4 and used contexts x0 to x4."""
+    parts = []
+    for k in range(DEPTH + 1):
+        parts.append(f"f{k} AS (SELECT x % {SYMBOLS**k} AS x, c, count(*) FILTER (WHERE by_rule = 'allow') AS a, count(*) FILTER (WHERE by_rule = 'block') AS b FROM t WHERE by_rule IS NOT NULL AND NOT held GROUP BY ALL)")
+        enough = f" HAVING sum(a + b) * {SHARE} >= (SELECT sum(a + b) FROM f0)" if k > 2 else ""
+        parts.append(f"x{k} AS (SELECT x, sum(a) AS na, count(*) FILTER (WHERE a > 0) AS ta, sum(b) AS nb, count(*) FILTER (WHERE b > 0) AS tb FROM f{k} GROUP BY x{enough})")
+    return ",\n".join(parts)
 
 
 def _probability(s: str) -> str:
     p = f"(1.0::DOUBLE / {SYMBOLS})"
-    for order, seen in (("x0", f"u.{s}"), ("x1", f"bi.{s}"), ("x2", f"tri.{s}")):
-        p = f"(CASE WHEN coalesce({order}.n{s}, 0) > 0 THEN (coalesce({seen}, 0) + {order}.t{s} * {p}) / ({order}.n{s} + {order}.t{s}) ELSE {p} END)"
+    for k in range(DEPTH + 1):
+        p = f"(CASE WHEN coalesce(x{k}.n{s}, 0) > 0 THEN (coalesce(f{k}.{s}, 0) + x{k}.t{s} * {p}) / (x{k}.n{s} + x{k}.t{s}) ELSE {p} END)"
     return p
 
 
+_JOINS = " ".join(f"LEFT JOIN f{k} ON f{k}.x = t.x % {SYMBOLS**k} AND f{k}.c = t.c LEFT JOIN x{k} ON x{k}.x = t.x % {SYMBOLS**k}" for k in range(DEPTH + 1))
+_CONTEXT = " + ".join(f"codes[i + {k}]::BIGINT * {SYMBOLS ** (DEPTH - 1 - k)}" for k in range(DEPTH))
 _SYMBOLS = f"0./-_?=&%:#~^{LOWER}"
 _BYTES = "list_transform(range(length(hex(encode(coalesce(url, '')))) // 2), lambda i: CAST('0x' || substring(hex(encode(coalesce(url, ''))), 2 * i + 1, 2) AS BIGINT))"
 _BIT = "xor(c >> 1, 3988292384 * (c & 1))"
@@ -73,13 +78,12 @@ URLS = f"""WITH p0 AS (SELECT row_number() OVER () AS rid, page_id, url, CASE WH
 p1 AS (SELECT rid, page_id, url, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM p0),
 p2 AS (SELECT *, {_rules(False)} AS rule, {_rules(True)} AS by_rule, {_CRC} % {FOLDS} = 0 AS held,
   translate(regexp_replace(translate(coalesce(url, ''), '{UPPER}', '{LOWER}'), '[^a-z0-9./\\-_?=&%:#]', '~', 'g'), '123456789', '000000000') AS s FROM p1),
-t AS (SELECT rid, by_rule, held, i, codes[i] AS c1, codes[i + 1] AS c2, codes[i + 2] AS c3
-  FROM (SELECT *, list_concat([12, 12], list_transform(range(1, length(s) + 1), lambda j: strpos('{_SYMBOLS}', substring(s, j, 1)) - 1)) AS codes, unnest(range(1, length(s) + 1)) AS i FROM p2)),
-tri AS (SELECT c1, c2, c3, count(*) FILTER (WHERE by_rule = 'allow') AS a, count(*) FILTER (WHERE by_rule = 'block') AS b FROM t WHERE by_rule IS NOT NULL AND NOT held GROUP BY ALL),
-x2 AS ({_context("c1, c2")}), x1 AS ({_context("c2")}), x0 AS ({_context("")}),
-bi AS (SELECT c2, c3, sum(a) AS a, sum(b) AS b FROM tri GROUP BY ALL), u AS (SELECT c3, sum(a) AS a, sum(b) AS b FROM tri GROUP BY ALL),
-scored AS (SELECT rid, sum(CASE WHEN x0.na > 0 AND x0.nb > 0 THEN ln({_probability("a")}) - ln({_probability("b")}) ELSE 0 END) / count(*) AS score
-  FROM t LEFT JOIN tri USING (c1, c2, c3) LEFT JOIN x2 USING (c1, c2) LEFT JOIN x1 USING (c2) LEFT JOIN bi USING (c2, c3) LEFT JOIN u USING (c3), x0 GROUP BY rid),
+t AS (SELECT rid, by_rule, held, i, {_CONTEXT} AS x, codes[i + {DEPTH}] AS c
+  FROM (SELECT *, list_concat({[PAD] * DEPTH}, list_transform(range(1, length(s) + 1), lambda j: strpos('{_SYMBOLS}', substring(s, j, 1)) - 1)) AS codes, unnest(range(1, length(s) + 1)) AS i FROM p2)),
+{_orders()},
+ratios AS (SELECT t.x, t.c, CASE WHEN x0.na > 0 AND x0.nb > 0 THEN ln({_probability("a")}) - ln({_probability("b")}) ELSE 0 END AS ratio
+  FROM (SELECT DISTINCT x, c FROM t) AS t {_JOINS}),
+scored AS (SELECT rid, sum(ratio) / count(*) AS score FROM t JOIN ratios USING (x, c) GROUP BY rid),
 rows_ AS (SELECT p2.*, coalesce(score, 0.0::DOUBLE) AS score FROM p2 LEFT JOIN scored USING (rid)),
 h AS (SELECT by_rule, greatest({-LIMIT}, least({LIMIT}, floor(score * {BINS}))) AS bin FROM rows_ WHERE by_rule IS NOT NULL AND held),
 cuts AS (SELECT t, count(*) FILTER (WHERE by_rule = 'allow' AND bin < t) / count(*) FILTER (WHERE by_rule = 'allow') + count(*) FILTER (WHERE by_rule = 'block' AND bin >= t) / count(*) FILTER (WHERE by_rule = 'block') AS error

@@ -2,16 +2,22 @@
 
 URLs that a rule fits are the training data: accepted and rejected ones each
 give a smoothed variable-order Markov model. Characters are folded into 38
-symbols; the probability of a symbol after the two before it is interpolated
-with that after one and after none (Witten-Bell: a context weighs as much as
-it has been seen and as little as it has had different followers), down to a
-uniform one. A URL's score is the mean over its symbols of the log ratio of the
-two models; the threshold is the one of least balanced error on a fifth of the
-rule-judged URLs, by crc32 of the URL, which the models don't learn from.
-
-All of it is DataFrame functions. The model is dense, 39³ = 59,319 numbers at
-any input size, and reaches the rows as a scalar subquery; the URLs themselves
-are never shuffled or joined, so a hot host costs nothing.
+symbols; the probability of a symbol after its context is interpolated with
+those after the context's ever shorter ends (Witten-Bell: a context weighs as
+much as it has been seen and as little as it has had different followers), down
+to a uniform one. Contexts of up to two symbols are all used; one of three or
+four is if it precedes at least 1 in ``SHARE`` of all symbols learnt from, so
+there are at most ``SHARE`` of each length, whatever the input. A URL's score is
+the mean over its symbols of the log ratio of the two models; the threshold is
+the one of least balanced error on a fifth of the rule-judged URLs, by crc32 of
+the URL, which the models don't learn from.
+
+All of it is DataFrame functions. What precedes a used context, and what ends
+it, is used too, so the longest used context after a symbol follows from the one
+before it: the models are one automaton, whose states are the contexts, with a
+next state and a log ratio for each symbol. Its tables (at most 219,063 numbers
+each) reach the rows as scalar subqueries; the URLs themselves are never
+shuffled or joined, so a hot host costs nothing, and a URL takes time linear in its length.
 
 Rows: null urls and such without ``://`` have an empty host and path and no
 rule; null and empty urls score 0. Repeated rows are judged alike. Without
@@ -21,7 +27,7 @@ no rule fits is allowed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import carried, durable
@@ -33,6 +39,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS, CAPITALS = "0123456789./-_?=&%:#", "AAAAAAAAAABCDEFGHIJK"
 SYMBOLS = 39
 PAD = 12
+#: Longest context; those of over two symbols are used from this share of all symbols.
+DEPTH, SHARE = 4, 2048
 #: Held-out scores are counted in bins of 1 / BINS between -LIMIT / BINS and LIMIT / BINS.
 BINS, LIMIT = 50, 400
 FOLDS = 5
@@ -65,39 +73,71 @@ def symbols(url: Column) -> Column:
     return F.transform(letters, lambda c: F.when(c >= "a", F.ascii(c) - F.lit(84)).otherwise(F.ascii(c) - F.lit(65)))
 
 
-def _trigrams(codes: Column) -> Column:
-    """The number of the trigram that ends at each symbol."""
-    padded = F.concat(F.array(F.lit(PAD), F.lit(PAD)), codes)
-    return F.transform(codes, lambda c, i: (F.get(padded, i) * SYMBOLS + F.get(padded, i + 1)) * SYMBOLS + c)
+def _shifted(values: Column, by: int, fill: int) -> Column:
+    """Each place has what was ``by`` places before it."""
+    return F.slice(F.concat(F.array_repeat(F.lit(fill), by), values), 1, F.size(values))
 
 
-def model(judged: DataFrame) -> DataFrame:
-    """(code, ratio) for every trigram, from judged rows (verdict, codes)."""
-    spark = judged.sparkSession
-    counts = judged.select("verdict", F.explode(_trigrams(F.col("codes"))).alias("code")).groupBy("code").agg(F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("b"))
-    dense = spark.range(SYMBOLS**3).select(F.col("id").cast("int").alias("code")).join(counts, "code", "left")
-    dense = durable(dense.select("code", F.expr(f"code div {SYMBOLS * SYMBOLS}").alias("c1"), F.expr(f"code div {SYMBOLS} % {SYMBOLS}").alias("c2"), (F.col("code") % SYMBOLS).alias("c3"), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b")))
+def _grams(judged: DataFrame) -> DataFrame:
+    """(code, a, b): how often each five symbols in a row end in accepted and in rejected URLs, from rows (verdict, codes)."""
+    pairs = judged.withColumn("pairs", F.zip_with(_shifted(F.col("codes"), 1, PAD), "codes", lambda p, c: p * SYMBOLS + c))
+    fours = pairs.withColumn("fours", F.zip_with(_shifted(F.col("pairs"), 2, PAD * SYMBOLS + PAD), "pairs", lambda p, c: p * SYMBOLS**2 + c))
+    fives = fours.select("verdict", F.explode(F.zip_with(_shifted(F.col("codes"), DEPTH, PAD), "fours", lambda p, c: p * SYMBOLS**DEPTH + c)).alias("code"))
+    return fives.groupBy("code").agg(F.sum(F.when(F.col("verdict") == "allow", 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("b"))
+
+
+def _followers(grams: DataFrame, order: int) -> DataFrame:
+    """(x, c, seen_a, seen_b): how often symbol c came after context x of ``order`` symbols."""
+    tail = F.col("code") % SYMBOLS ** (order + 1)
+    rows = grams.select(F.floor(tail / SYMBOLS).cast("int").alias(f"x{order}"), (F.col("code") % SYMBOLS).cast("int").alias("c"), "a", "b")
+    return rows.groupBy(f"x{order}", "c").agg(F.sum("a").alias(f"seen{order}a"), F.sum("b").alias(f"seen{order}b"))
+
 
-    def context(keys: list[str], order: int) -> DataFrame:
-        """Times a context was seen, and its different followers."""
-        each = dense.groupBy(*keys, "c3").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        return each.groupBy(*keys).agg(*[x for s in "ab" for x in (F.sum(s).alias(f"n{order}{s}"), F.sum((F.col(s) > 0).cast("int")).alias(f"t{order}{s}"))])
+def _contexts(followers: DataFrame, order: int) -> DataFrame:
+    """Times a context was seen, and its different followers."""
+    return followers.groupBy(f"x{order}").agg(*[x for s in "ab" for x in (F.sum(f"seen{order}{s}").alias(f"n{order}{s}"), F.sum((F.col(f"seen{order}{s}") > 0).cast("int")).alias(f"t{order}{s}"))])
 
-    bigrams = dense.groupBy("c2", "c3").agg(F.sum("a").alias("bi_a"), F.sum("b").alias("bi_b"))
-    unigrams = dense.groupBy("c3").agg(F.sum("a").alias("uni_a"), F.sum("b").alias("uni_b"))
-    totals = unigrams.agg(*[x for s in "ab" for x in (F.sum(f"uni_{s}").alias(f"n0{s}"), F.sum((F.col(f"uni_{s}") > 0).cast("int")).alias(f"t0{s}"))])
-    rows = dense.join(bigrams, ["c2", "c3"]).join(unigrams, "c3").join(context(["c1", "c2"], 2), ["c1", "c2"]).join(context(["c2"], 1), "c2")
-    rows = rows.withColumns({c: totals.select(c).scalar() for c in totals.columns})
+
+def model(judged: DataFrame) -> DataFrame:
+    """One row: the automaton's first state, next states and log ratios (by state and symbol), from judged rows (verdict, codes)."""
+    spark = judged.sparkSession
+    grams = durable(_grams(judged))
+    short = durable(_followers(grams, 3).select((F.col("x3") * SYMBOLS + F.col("c")).alias("code"), F.col("seen3a").alias("a"), F.col("seen3b").alias("b")))
+    followers = {order: _followers(grams if order == DEPTH else short, order) for order in range(DEPTH + 1)}
+    contexts = {order: _contexts(followers[order], order) for order in followers}
+    totals = contexts[0].drop("x0")
+    all_ = totals.select(F.col("n0a") + F.col("n0b"))
+    used = [contexts[k].where((F.col(f"n{k}a") + F.col(f"n{k}b")) * SHARE >= all_.scalar()).select(F.lit(k).alias("order"), F.col(f"x{k}").alias("x")) for k in (3, DEPTH)]
+    # Two times SHARE rows at most, so one task numbers them.
+    longer = durable(used[0].unionByName(used[1]).withColumn("state", F.row_number().over(Window.orderBy("order", "x")) + F.lit(SYMBOLS**2 - 1)))
+    states = spark.range(SYMBOLS**2).select(F.lit(2).alias("order"), F.col("id").cast("int").alias("x"), F.col("id").cast("int").alias("state")).unionByName(longer)
+
+    rows = states.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(SYMBOLS - 1))))
+    after = F.col("x") * SYMBOLS + F.col("c")
+    rows = rows.withColumns({f"x{k}": F.when(F.col("order") >= k, F.col("x") % SYMBOLS**k) for k in range(DEPTH + 1)})
+    rows = rows.withColumns({"y2": after % SYMBOLS**2, "y3": after % SYMBOLS**3, "y4": F.when(F.col("order") > 2, after % SYMBOLS**DEPTH)})
+    for k in (3, DEPTH):
+        rows = rows.join(longer.where(F.col("order") == k).select(F.col("x").alias(f"y{k}"), F.col("state").alias(f"to{k}")), f"y{k}", "left")
+    for k in range(DEPTH + 1):
+        if k > 2:  # only what is used, before the join
+            own = longer.where(F.col("order") == k).select(F.col("x").alias(f"x{k}"))
+            followers[k], contexts[k] = followers[k].join(own, f"x{k}", "left_semi"), contexts[k].join(own, f"x{k}", "left_semi")
+        rows = rows.join(followers[k], [f"x{k}", "c"], "left").join(contexts[k], f"x{k}", "left")
 
     def probability(s: str) -> Column:
         p = F.lit(1.0 / SYMBOLS)
-        for order, seen in ((0, f"uni_{s}"), (1, f"bi_{s}"), (2, s)):
-            n, t = F.col(f"n{order}{s}"), F.col(f"t{order}{s}")
-            p = F.when(n > 0, (F.col(seen) + t * p) / (n + t)).otherwise(p)
+        for k in range(DEPTH + 1):
+            n, t, seen = F.col(f"n{k}{s}"), F.col(f"t{k}{s}"), F.coalesce(f"seen{k}{s}", F.lit(0))
+            p = F.when(n > 0, (seen + t * p) / (n + t)).otherwise(p)
         return p
 
     both = (F.col("n0a") > 0) & (F.col("n0b") > 0)
-    return rows.select("code", F.when(both, F.ln(probability("a")) - F.ln(probability("b"))).otherwise(0.0).alias("ratio"))
+    ratio = F.when(both, F.ln(probability("a")) - F.ln(probability("b"))).otherwise(0.0)
+    cells = rows.select((F.col("state") * SYMBOLS + F.col("c")).alias("cell"), F.coalesce("to4", "to3", "y2").cast("int").alias("next"), ratio.alias("ratio"))
+    cells = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "next", "ratio"))).alias("cells"))
+    start = [sum(PAD * SYMBOLS**i for i in range(k)) for k in range(DEPTH + 1)]
+    first = longer.where(F.col("x") == F.when(F.col("order") == 3, start[3]).otherwise(start[4])).agg(F.coalesce(F.max("state"), F.lit(start[2])).cast("int"))
+    return cells.select(first.scalar().alias("first"), F.transform("cells", lambda x: x["next"]).alias("next"), F.transform("cells", lambda x: x["ratio"]).alias("ratios"))
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -132,16 +172,20 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", keep: tuple[str, ...]
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "by_rule": verdict, "codes": symbols(F.col("__url"))})
     judged = rows.where("by_rule is not null").select(F.col("by_rule").alias("verdict"), "codes", (F.crc32("__url") % FOLDS == 0).alias("held"))
-    learnt = durable(model(judged.where(~F.col("held"))))  # 59,319 rows
-    ratios = learnt.agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
+    learnt = durable(model(judged.where(~F.col("held"))))  # one row, at most 2.6 MB
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({f"__{c}": learnt.select(c).scalar() for c in ("first", "next", "ratios")})
+
+        def step(s: Column, c: Column) -> Column:
+            cell = s["state"] * SYMBOLS + c
+            return F.struct(F.get(F.col("__next"), cell).alias("state"), (s["total"] + F.get(F.col("__ratios"), cell)).alias("total"))
 
-    def score(codes: Column) -> Column:
-        total = F.aggregate(_trigrams(codes), F.lit(0.0), lambda s, c: s + F.get(F.col("__ratios"), c))
-        return F.when(F.size(codes) > 0, total / F.size(codes)).otherwise(0.0)
+        total = F.aggregate("codes", F.struct(F.col("__first").alias("state"), F.lit(0.0).alias("total")), step, lambda s: s["total"])
+        return rows.withColumn("score", F.when(F.size("codes") > 0, total / F.size("codes")).otherwise(0.0))
 
-    held = judged.where("held").withColumn("__ratios", ratios.scalar()).select("verdict", score(F.col("codes")).alias("score"))
-    cut = durable(threshold(held))
-    rows = rows.withColumn("__ratios", ratios.scalar()).withColumn("score", score(F.col("codes")))
+    cut = durable(threshold(scored(judged.where("held")).select("verdict", "score")))
+    rows = scored(rows)
     by_score = F.when(F.col("score") >= cut.scalar(), F.lit("allow")).otherwise(F.lit("block"))
     return rows.select(*[F.col(f"`{c}`") for c in names], "host", "path", "rule", F.coalesce("by_rule", by_score).alias("verdict"), "score")
 

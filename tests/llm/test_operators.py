@@ -271,32 +271,35 @@ def brute_url_scores(given):
         return out
 
     data = [(codes(u), brute_url(u)[3], zlib.crc32((u or "").encode()) % 5 == 0) for u in given]
-    counts = {v: [Counter(), Counter(), Counter()] for v in ("allow", "block")}
+    orders = range(urls.DEPTH + 1)
+    counts = {v: [Counter() for _ in orders] for v in ("allow", "block")}
     for c, v, held in data:
         if v and not held:
-            p = [12, 12, *c]
-            for i in range(2, len(p)):
-                for order in range(3):
+            p = [12] * urls.DEPTH + c
+            for i in range(urls.DEPTH, len(p)):
+                for order in orders:
                     counts[v][order][tuple(p[i - order : i + 1])] += 1
-    context = {v: [Counter(), Counter(), Counter()] for v in counts}
-    kinds = {v: [Counter(), Counter(), Counter()] for v in counts}
+    context, kinds = ({v: [Counter() for _ in orders] for v in counts} for _ in range(2))
     for v in counts:
-        for order in range(3):
+        for order in orders:
             for gram, n in counts[v][order].items():
                 context[v][order][gram[:-1]] += n
                 kinds[v][order][gram[:-1]] += 1
+    learnt = sum(context[v][0][()] for v in counts)
 
     def probability(v, gram):
         p = 1 / 39
-        for order in range(3):
-            own = gram[2 - order :]
+        for order in orders:
+            own = gram[urls.DEPTH - order :]
+            if order > 2 and sum(context[w][order][own[:-1]] for w in counts) * urls.SHARE < learnt:
+                break
             n, t = context[v][order][own[:-1]], kinds[v][order][own[:-1]]
             p = (counts[v][order][own] + t * p) / (n + t) if n else p
         return p
 
     def score(c):
-        p = [12, 12, *c]
-        grams = [tuple(p[i - 2 : i + 1]) for i in range(2, len(p))]
+        p = [12] * urls.DEPTH + c
+        grams = [tuple(p[i - urls.DEPTH : i + 1]) for i in range(urls.DEPTH, len(p))]
         if not grams or not all(context[v][0] for v in counts):
             return 0.0
         return sum(math.log(probability("allow", g)) - math.log(probability("block", g)) for g in grams) / len(grams)
@@ -307,9 +310,12 @@ def brute_url_scores(given):
     return [(score(c), v or ("allow" if score(c) >= cut else "block")) for c, v, _ in data]
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("share", [urls.SHARE, 100])
+def test_urls(spark, monkeypatch, share):
+    """Every context is brute-forced without the automaton; with a share of 1 in 100 few are used."""
+    monkeypatch.setattr(urls, "SHARE", share)
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
-    odd = [None, "", "no scheme", "http://COM/", "x://a.com", "http://com?x=1", "http://a.example.com/en/é🎉", "http://www.example.com/en/a", "https://net/fr/", "http://Net/ES/", "ftp://u@b.net:80/es/#x"]
+    odd = [None, "", "no scheme", "http://COM/", "x://a.com", "http://com?x=1", "http://a.example.com/en/é🎉", "http://www.example.com/en/a", "https://net/fr/", "http://Net/ES/", "ftp://u@b.net:80/es/#x", "http://long.org/" + "ab/c?" * 20_000]
     rows = [(r.page_id, r.url) for r in pages.collect()] + [(10_000 + i, u) for i, u in enumerate(odd)] + [(1, "http://dup.com/")]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumns({"host": F.lit(0), "verdict": F.lit("x")}).repartition(3)
     got = urls.judge(df)
