@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, ragged
+from .common import map_arrow, map_texts, ragged
 
 #: Bytes of the longest rows that share a matrix; a longer piece has a matrix of its own, folded into blocks.
 LONG = 256
@@ -364,7 +364,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...
             own = [decode_ids(shared.value, np.array(x or [], np.int64)) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(own, pa.binary())], names=[*names, out])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -64,6 +64,11 @@ def steps(batches: Iterable[pa.RecordBatch], text: str = "__text", limit: int =
             begin = min(end, n)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` where columns may have any name: the plain one can't resolve names with dots."""
+    return df.toDF(*[c if c.isidentifier() else f"__in{i}" for i, c in enumerate(df.columns)]).mapInArrow(run, schema)
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -87,7 +92,7 @@ def map_texts(
             new = function(part.column(part.num_columns - 1))
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + new, names=names + [f.name for f in fields])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, ragged, steps, text_bytes, written
+from .common import carried, map_arrow, ragged, steps, text_bytes, written
 
 #: Bytes of benchmark text in one broadcast block.
 BLOCK_BYTES = 16 << 20
@@ -184,7 +184,7 @@ def _scan(docs: DataFrame, shared, names: list[str], first: bool) -> DataFrame:
             new = [pa.array(n_words, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names) + 1)] + new, names=[*names, "__text", *_HIT_NAMES])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -267,5 +267,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: s
             new = [cut(*row) for row in zip(*[part.column(k + j).to_pylist() for j in range(4)], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(k)] + [pa.array(new, pa.string())], names=[*names, out])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, steps, text_bytes, written
+from .common import carried, map_arrow, steps, text_bytes, written
 from .gru import CLASS, ROWS, Gru, one_thread
 from .subwords import sums
 
@@ -187,7 +187,7 @@ def numbered(docs: DataFrame, lexicon: Lexicon, training: Column, text: str = "t
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t, _) in zip(columns, _FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + arrays, names=[*names, *[n for n, _, _ in _FIELDS]])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def train(told: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS, block: int = BLOCK) -> np.ndarray:
@@ -308,7 +308,7 @@ def _stated(told: DataFrame, names: list[str], lexicon: Lexicon, weights: np.nda
             state = model.score(np.frombuffer(raw.tobytes(), kind).astype(np.int32), np.diff(at) // np.dtype(kind).itemsize) / np.log(10)
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [pa.array(state)], names=[*names, "state"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def score(docs: DataFrame, training: Column, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), rounds: int = ROUNDS, block: int = BLOCK, frequent: int = FREQUENT, outputs: int = OUTPUTS) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import carried, durable, hot, steps, text_bytes
+from .common import carried, durable, hot, map_arrow, steps, text_bytes
 
 LENGTH = 200
 GRAM = 40
@@ -351,7 +351,7 @@ def digest(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(k)] + arrays, names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def remove(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "kept", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -368,4 +368,4 @@ def remove(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             new = [_cut(view[a:b], _merged(f)) for a, b, f in zip(at[:-1].tolist(), at[1:].tolist(), part.column(k + 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(k)] + [pa.array(new, pa.binary())], names=[*names, out])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

@@ -800,3 +800,31 @@ def test_edges(spark, name):
         by.setdefault(r.doc_id, set()).add(str(r))
     assert len(by[3]) == 1
     assert operator(df.where("doc_id < 0")).count() == 0
+
+
+def carriers(spark):
+    """Each operator that hands columns on, with the columns it hands on."""
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    crf = language.fit_texts(["de", "en"], [([b"der", b"und"], 0), ([b"the", b"and"], 1)])
+    return {
+        "decontaminate": lambda d, k: decontaminate.judge(d, bench, keep=k),
+        "remove_spans": lambda d, k: decontaminate.remove_spans(d, bench, keep=k),
+        "secrets": lambda d, k: secrets.digest(d, keep=k),
+        "simhash": lambda d, k: simhash.mark(d, keep=k),
+        "urls": lambda d, k: urls.judge(d, url="text", keep=k),
+        "quality": lambda d, k: quality.score(d, (np.zeros(quality.BUCKETS + 1), 0.5), keep=k),
+        "language": lambda d, k: language.predict(d, crf, keep=k),
+        "encode": lambda d, k: bpe.encode(d, PATH, public_tokenizers.PATTERN, keep=k),
+        "round_trip": lambda d, k: bpe.round_trip(d, PATH, public_tokenizers.PATTERN, keep=k),
+        "lm": lambda d, k: lm.score(d, F.lit(True), rounds=1, keep=k),
+        "suffix": lambda d, k: suffix.digest(d, keep=k),
+        "remove": lambda d, k: suffix.remove(d, keep=k),
+    }
+
+
+@pytest.mark.parametrize("name", ["decontaminate", "remove_spans", "secrets", "simhash", "urls", "quality", "language", "encode", "round_trip", "lm", "suffix", "remove"])
+def test_columns_of_any_name(spark, name):
+    rows = [(i, t, i * 10, "ä") for i, t in enumerate([None, "", "a b c", "the old mill", "https://a.net/b"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `no such-thing` string").repartition(2)
+    got = carriers(spark)[name](df, ("doc_id", "a.b", "no such-thing"))
+    assert Counter(tuple(r)[:3] for r in got.select("doc_id", "`a.b`", "`no such-thing`").collect()) == Counter((r[0], *r[2:]) for r in rows)
