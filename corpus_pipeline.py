@@ -5,6 +5,9 @@ language ID drops texts without a language and names that of all others, SimHash
 group of near-duplicates, decontamination drops documents with a passage of
 the benchmark, secrets are masked in the texts, and byte-level BPE encodes the
 texts and checks the decoding.
+
+Every stage takes an empty table (and gives one), texts of any length, and extra columns of any name, which
+all stages but the last hand on as they are. Each docstring says what becomes of nulls and repeated rows.
 """
 
 from __future__ import annotations
@@ -18,28 +21,37 @@ from chronolith.llm.common import crc_mod, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from three quarters of the labelled documents, labels all by their text, and drops those without a language; ``lang`` becomes what was found."""
+    """Learns from three quarters of the labelled documents, labels all by their text, and drops those without a language; ``lang`` becomes what was found.
+
+    Null and empty texts, and those without a letter, go. Rows without an id are judged but not learnt from; each of
+    several equal rows is judged alike. Nothing to learn from: all rows go, as no language is known.
+    """
     model = language.train(docs.where(crc_mod("doc_id", 4) != 2))
     return language.assign(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group, that of its smallest id; a group without any id keeps one row.
+
+    Null and empty texts share the fingerprint of no words, so they are one group. Of repeated rows one stays.
+    """
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows with a passage of the benchmark; null and empty texts have none and stay as they are, as do repeated rows and rows without an id."""
     return decontaminate.drop_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of secrets become a mark; n_chars follows the text."""
+    """Spans of secrets become a mark; n_chars follows the text. All rows stay; a null text stays null, and has a null n_chars."""
     masked = secrets.redact(docs, keep=tuple(docs.columns))
     masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
     return masked.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the number of tokens, and digests of the ids and of the text decoded from them."""
+    """doc_id, lang, source, the number of tokens, and digests of the ids and of the text decoded from them; a row for each row, null texts as empty ones."""
     keep = tuple(c for c in ("doc_id", "lang", "source") if c in docs.columns)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=keep)
 
