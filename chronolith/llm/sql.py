@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import WINDOW
+from .secrets import BASE, RULES as SECRETS
 from .suffix import LENGTH
 from .topk import SCALE
 from .urls import BINS, DEPTH, FOLDS, LIMIT, LOWER, PAD, RULES, SHARE, SYMBOLS, UPPER
@@ -92,5 +93,26 @@ cut AS (SELECT coalesce((SELECT t / {BINS}.0::DOUBLE FROM cuts WHERE error IS NO
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM rows_, cut"""
 
 
+
+def _spans(order: int) -> str:
+    """Matches of one kind: what lies before and between them gives their places; (rid, kind, start, end in code points)."""
+    rule = SECRETS[order]
+    pattern = rule.pattern.replace("'", "''").replace("(", "(?:")
+    long = f"length(m) >= {rule.least}"
+    if rule.head:  # the length of what follows the head
+        long = f"length(m) - length(regexp_extract(m, '^{rule.head.replace(chr(39), chr(39) * 2)}')) >= {rule.least}"
+    return f"""SELECT rid, {order} AS k, '{rule.kind}' AS kind, a, a + length(m) AS b FROM (
+  SELECT rid, ms[i] AS m, list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, regexp_extract_all(s, '{pattern}') AS ms, regexp_split_to_array(s, '{pattern}') AS gaps FROM d))) WHERE {long}"""
+
+
+SECRET_SPANS = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS s FROM documents),
+p AS ({" UNION ALL ".join(_spans(k) for k in range(len(SECRETS)))}),
+g AS (SELECT rid, {", ".join(f"count(*) FILTER (WHERE k = {k}) AS n_{kind}" for k, kind in enumerate(BASE))},
+  string_agg(format('{{}}:{{}}:{{}}', kind, a, b), ',' ORDER BY a, k) FILTER (WHERE k < {len(BASE)}) AS base, string_agg(format('{{}}:{{}}:{{}}', kind, a, b), ',' ORDER BY a, k) AS spans FROM p GROUP BY rid)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" for kind in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE, "op2_top_k": TOP_K, "op5_url_filter": URLS, "op10_suffix_dedup": SUFFIX}
+    return {"op1_decontaminate": DECONTAMINATE, "op2_top_k": TOP_K, "op3_secrets": SECRET_SPANS, "op5_url_filter": URLS, "op10_suffix_dedup": SUFFIX}
