@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import WINDOW
 from .secrets import BASE, RULES as SECRETS
+from .simhash import DISTANCE, SEED, SHINGLE
 from .suffix import LENGTH
 from .topk import SCALE
 from .urls import BINS, DEPTH, FOLDS, LIMIT, LOWER, PAD, RULES, SHARE, SYMBOLS, UPPER
@@ -114,5 +115,63 @@ SELECT doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" f
 FROM d LEFT JOIN g USING (rid)"""
 
 
+#: The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_WRAP = "18446744073709551616::UHUGEINT"
+
+
+def _rotated(x: str, by: int) -> str:
+    """To the left: times a power of two, where 2^64 counts as 1."""
+    return f"((({x}) * {1 << by}::UHUGEINT) % 18446744073709551615::UHUGEINT)"
+
+
+def _times(x: str, prime: int, plus: str = "0") -> str:
+    return f"((({x}) * {prime}::UHUGEINT + {plus}::UHUGEINT) % {_WRAP})"
+
+
+def _round(lane: str, before: str = "0") -> str:
+    return _times(_rotated(_times(lane, _P2, f"({before})"), 31), _P1)
+
+
+def _lane(at: str, size: int) -> str:
+    """The little-endian number of ``size`` bytes from a place of x, a text in hex."""
+    return "CAST('0x' || " + " || ".join(f"substring(x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(size))) + " AS UBIGINT)::UHUGEINT"
+
+
+def _accumulator(k: int) -> str:
+    start = (SEED + (_P1 + _P2, _P2, 0, -_P1)[k]) % (1 << 64)
+    lanes = f"list_transform(range(n // 32), lambda i: {_lane(f'32 * i + {8 * k}', 8)})"
+    return f"list_reduce({lanes}, lambda v, lane: {_round('lane', 'v')}, {start}::UHUGEINT) AS v{k}"
+
+
+def _xxh64() -> str:
+    """Stages from sh (shingle) to h0 (shingle, h)."""
+    mixed = f"(({_rotated('v0', 1)} + {_rotated('v1', 7)} + {_rotated('v2', 12)} + {_rotated('v3', 18)}) % {_WRAP})"
+    for k in range(4):
+        mixed = _times(f"xor({mixed}, {_round(f'v{k}')})", _P1, str(_P4))
+    eights = f"list_transform(range(n // 32 * 32, n // 8 * 8, 8), lambda i: {_lane('i', 8)})"
+    ones = f"list_transform(range(n // 4 * 4, n), lambda i: {_lane('i', 1)})"
+    h1 = f"list_reduce({eights}, lambda h, lane: {_times(_rotated(f'xor(h, {_round("lane")})', 27), _P1, str(_P4))}, h)"
+    h2 = f"CASE WHEN n % 8 >= 4 THEN {_times(_rotated(f'xor(h, {_times(_lane("n // 8 * 8", 4), _P1)})', 23), _P2, str(_P3))} ELSE h END"
+    h3 = f"list_reduce({ones}, lambda h, lane: {_times(_rotated(f'xor(h, {_times("lane", _P5)})', 11), _P1)}, h)"
+    steps = [h1, h2, h3, _times(f"xor(h, h // {1 << 33}::UHUGEINT)", _P2), _times(f"xor(h, h // {1 << 29}::UHUGEINT)", _P3), f"xor(h, h // {1 << 32}::UHUGEINT)"]
+    out = f"SELECT shingle, x, n, (CASE WHEN n >= 32 THEN {mixed} ELSE {SEED + _P5}::UHUGEINT END + n::UHUGEINT) % {_WRAP} AS h FROM (SELECT *, {', '.join(map(_accumulator, range(4)))} FROM (SELECT shingle, hex(encode(shingle)) AS x, strlen(shingle) AS n FROM (SELECT DISTINCT shingle FROM sh)))"
+    for step in steps:
+        out = f"SELECT shingle, x, n, {step} AS h FROM ({out})"
+    return out
+
+
+_BITS = " + ".join(f"CASE WHEN 2 * count(*) FILTER (WHERE (h // {1 << j}::UBIGINT) % 2 = 1) > count(*) THEN {1 << j}::UHUGEINT ELSE 0::UHUGEINT END" for j in range(64))
+SIMHASH = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT rid, array_to_string(list_slice(w, i, i + least(len(w), {SHINGLE}) - 1), ' ') AS shingle FROM d, unnest(range(1, greatest(2, len(w) - {SHINGLE} + 2))) AS r(i) WHERE len(w) > 0),
+h0 AS MATERIALIZED (SELECT shingle, CAST(h AS UBIGINT) AS h FROM ({_xxh64()})),
+f AS MATERIALIZED (SELECT d.rid, doc_id, coalesce(fp, 0) AS fp FROM d LEFT JOIN (SELECT rid, CAST({_BITS} AS UBIGINT) AS fp FROM sh JOIN h0 USING (shingle) GROUP BY rid) AS b USING (rid)),
+u AS MATERIALIZED (SELECT fp, min(doc_id) AS least FROM f GROUP BY fp),
+e AS MATERIALIZED (SELECT a.fp AS a, b.fp AS b FROM u AS a JOIN u AS b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {DISTANCE}),
+reach AS (SELECT fp AS a, fp AS b FROM u UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT reach.a AS fp, min(u.least) AS component_id FROM reach JOIN u ON reach.b = u.fp GROUP BY reach.a)
+SELECT doc_id, lpad(lower(to_hex(fp)), 16, '0') AS fingerprint, component_id FROM f JOIN c USING (fp)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": DECONTAMINATE, "op2_top_k": TOP_K, "op3_secrets": SECRET_SPANS, "op5_url_filter": URLS, "op10_suffix_dedup": SUFFIX}
+    return {"op1_decontaminate": DECONTAMINATE, "op2_top_k": TOP_K, "op3_secrets": SECRET_SPANS, "op4_simhash": SIMHASH, "op5_url_filter": URLS, "op10_suffix_dedup": SUFFIX}

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -18,7 +19,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from chronolith.llm import bpe, common, decontaminate, doubling, language, lm, quality, secrets, simhash, suffix, topk, urls
+from chronolith.llm import bpe, common, decontaminate, doubling, language, lm, quality, queries, secrets, simhash, sql, suffix, topk, urls
 from chronolith.llm.automaton import Rule, Scanner, compile_rules
 from chronolith.llm.common import split_join
 from chronolith.llm.components import components
@@ -828,3 +829,28 @@ def test_columns_of_any_name(spark, name):
     df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `no such-thing` string").repartition(2)
     got = carriers(spark)[name](df, ("doc_id", "a.b", "no such-thing"))
     assert Counter(tuple(r)[:3] for r in got.select("doc_id", "`a.b`", "`no such-thing`").collect()) == Counter((r[0], *r[2:]) for r in rows)
+
+
+# Checking SQL
+
+
+def test_xxh64_of_sql():
+    rng = random.Random(1)
+    texts = {"".join(rng.choice("abcé日 ") for _ in range(rng.randint(1, 60))) for _ in range(2000)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE sh (shingle VARCHAR)")
+    con.executemany("INSERT INTO sh VALUES (?)", [(t,) for t in texts])
+    got = dict(con.execute(f"SELECT shingle, CAST(h AS UBIGINT) FROM ({sql._xxh64()})").fetchall())
+    assert got == {t: xxhash.xxh64_intdigest(t.encode(), seed=simhash.SEED) for t in texts}
+
+
+@pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got = queries.queries()[name](spark, SMALL)
+    want = con.execute(sql.oracle_sql()[name])
+    names = [x[0] for x in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(map(tuple, got.select(*names).collect())) == Counter(want.fetchall())
