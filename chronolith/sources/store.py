@@ -9,7 +9,8 @@ leaves is never met again, and ``vacuum`` removes it. There is one writer at a t
 for another one's manifest isn't atomic on every file system.
 
 Compaction merges a bucket's directories into one, sorted by series and time,
-which is then read without any merging. Buckets outside a query's time range
+which is then read without any merging. Beside the samples of a bucket lie the ids of
+its series, so that retention finds series without samples in a number of rows that follows series, not samples. Buckets outside a query's time range
 are left out on the driver, within a bucket Parquet's statistics apply. Deleting
 before a time is a change of the manifest alone: whole buckets go, and the
 directories of the bucket that the time falls in get a lower bound, which reads apply.
@@ -49,11 +50,12 @@ class StoreError(RuntimeError):
 
 @dataclass
 class Part:
-    """A directory of a bucket; samples before ``since`` don't count."""
+    """A directory of a bucket; samples before ``since`` don't count. ``ids``: the directory of the ids of its series."""
 
     path: str
     size: int
     since: int | None = None
+    ids: str | None = None
 
 
 @dataclass
@@ -83,7 +85,7 @@ class Manifest:
     buckets: dict[int, Bucket] = field(default_factory=dict)
 
     def text(self) -> str:
-        buckets = {str(k): [[[p.path, p.size, p.since] for p in b.parts], b.count, b.first, b.last, b.merged] for k, b in sorted(self.buckets.items())}
+        buckets = {str(k): [[[p.path, p.size, p.since, p.ids] for p in b.parts], b.count, b.first, b.last, b.merged] for k, b in sorted(self.buckets.items())}
         return json.dumps({"format": FORMAT, "layout": LAYOUT, "version": self.version, "seq": self.seq, "bucket_ms": self.bucket_ms, "series": self.series, "series_count": self.series_count, "buckets": buckets})
 
     @staticmethod
@@ -292,11 +294,14 @@ class MetricStore:
             shard = F.pmod("sid", F.coalesce(of[F.col("bucket")], F.lit(1)))
         spread = rows.withColumn("bucket", self._bucket()).repartition("bucket", shard)
         spread.sortWithinPartitions("bucket", "sid", "ts").write.partitionBy("bucket").parquet(f"{self.path}/samples/{name}")
+        # The ids of each bucket's series, from the column just written: what retention reads instead of samples.
+        ids = self.spark.read.schema("sid long, bucket long").parquet(f"{self.path}/samples/{name}").select("bucket", "sid").distinct()
+        ids.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/ids/{name}")
         made = {}
         for status in self._fs.listStatus(self._Path(f"{self.path}/samples/{name}")):
             inner = status.getPath().getName()
             if inner.startswith("bucket="):
-                made[int(inner[7:])] = Part(f"samples/{name}/{inner}", self._fs.getContentSummary(status.getPath()).getLength())
+                made[int(inner[7:])] = Part(f"samples/{name}/{inner}", self._fs.getContentSummary(status.getPath()).getLength(), ids=f"ids/{name}/{inner}")
         return made
 
     def _add_series(self, batch: DataFrame, m: Manifest, name: str) -> None:
@@ -384,9 +389,13 @@ class MetricStore:
         self._commit(m)
 
     def _prune(self, m: Manifest) -> None:
-        """Only series ids are read of the samples, a sorted column; the table of series is written anew if it shrinks."""
-        rows = self._rows(m.buckets, None, None)
-        left = rows.select("sid").distinct() if rows is not None else self.spark.createDataFrame([], "sid long")
+        """Reads the ids of each bucket's series, and only of directories that a time cuts the ids of the samples left."""
+        whole = [f"{self.path}/{p.ids}" for b in m.buckets.values() for p in b.parts if p.ids and p.since is None]
+        cut = {k: Bucket([p for p in b.parts if not p.ids or p.since is not None]) for k, b in m.buckets.items()}
+        rows = self._rows(cut, None, None)
+        found = [self.spark.read.schema("sid long").parquet(*whole)] if whole else []
+        found += [] if rows is None else [rows.select("sid")]
+        left = reduce(DataFrame.unionByName, found).distinct() if found else self.spark.createDataFrame([], "sid long")
         n = left.count()
         if n < m.series_count:
             name = f"series/{uuid.uuid4().hex}"
@@ -400,11 +409,11 @@ class MetricStore:
         Nothing may be writing meanwhile.
         """
         m = self.manifest()
-        live = {p.path for b in m.buckets.values() for p in b.parts} | set(m.series)
+        live = {d for b in m.buckets.values() for p in b.parts for d in (p.path, p.ids)} | set(m.series)
         dead = [f"series/{n}" for n in self._list("series") if f"series/{n}" not in live]
-        for n in self._list("samples"):
-            own = [f"samples/{n}/{b}" for b in self._list(f"samples/{n}") if b.startswith("bucket=")]
-            dead += [d for d in own if d not in live] if any(d in live for d in own) else [f"samples/{n}"]
+        for place in [f"{kind}/{n}" for kind in ("samples", "ids") for n in self._list(kind)]:
+            own = [f"{place}/{b}" for b in self._list(place) if b.startswith("bucket=")]
+            dead += [d for d in own if d not in live] if any(d in live for d in own) else [place]
         dead += [f"{kind}/{n}" for kind in ("batch", "changes") for n in self._list(kind)]
         newest = f"{self._manifests()[-1]:012d}.json" if self._manifests() else ""
         for name in [*dead, *[f"manifest/{n}" for n in self._list("manifest") if n != newest and not n.endswith(".crc")]]:

@@ -70,6 +70,38 @@ def test_retention_compaction_and_vacuum(spark, store):
     assert store.delete_before_batch(3 * BUCKET_MS, 1) == {"complete": False, "cutoffMs": 3 * BUCKET_MS, "deletedSamples": 2}
 
 
+def test_retention_reads_ids_not_samples(spark, store):
+    """Series go with their last sample; of buckets that no time cuts, only the ids of their series are read."""
+    rng = random.Random(5)
+    model = {(str(i), t) for i in range(8) for t in rng.sample(range(0, 4 * BUCKET_MS, BUCKET_MS // 9), 2)}
+    for part in (0, 1):
+        store.ingest(frame(spark, *[("m", {"i": i}, t, 1) for i, t in sorted(model) if (t // (BUCKET_MS // 9)) % 2 == part]))
+    for cutoff in (BUCKET_MS // 2, BUCKET_MS, 2 * BUCKET_MS + 77):
+        store.delete_before(cutoff)
+        model = {(i, t) for i, t in model if t >= cutoff}
+        assert {r.labels["i"] for r in store.series().collect()} == {i for i, _ in model}
+        store.compact_before(cutoff + BUCKET_MS)
+        store.vacuum()
+        assert {(r.labels["i"], r.ts) for r in store.samples().join(store.series(), "sid").collect()} == model
+    m = store.manifest()
+    for part in m.buckets[3 * BUCKET_MS].parts:
+        store._delete(part.path)
+    store.finalize_retention()
+    assert {r.labels["i"] for r in store.series().collect()} == {i for i, _ in model}
+
+
+def test_retention_of_directories_without_ids(spark, store):
+    """Those of a manifest from before ids were kept: their samples are read instead."""
+    store.ingest(frame(spark, ("old", {}, 5, 1), ("new", {}, BUCKET_MS + 5, 1)))
+    m = store.manifest()
+    for b in m.buckets.values():
+        for part in b.parts:
+            part.ids = None
+    store._commit(m)
+    store.delete_before(BUCKET_MS)
+    assert [r.labels["__name__"] for r in store.series().collect()] == ["new"]
+
+
 def test_select_at_steps(spark, store):
     store.ingest(frame(spark, *[("dense", {"job": "a"}, s * 1000, s) for s in range(181)]))
     got = store.select_at_steps(parse_selector("dense"), 60_000, 180_000, 30_000, 300_000)
