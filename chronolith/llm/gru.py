@@ -29,8 +29,10 @@ ROW_RATE = 0.03
 LEVELS = 5
 #: Parameters of which a token touches a row alone.
 ROWS = ("e", *(f"w{i}" for i in range(1, LEVELS + 1)))
-#: Tokens of a class from which it has a product of its own, and matrices of the others that are gathered at once.
-MANY, GATHERED = 8, 2048
+#: Values of a run from which it is summed by itself.
+MANY = 8
+#: Tokens of a class to which it is filled up to be stacked with others, and matrices that are gathered at once.
+SIZES, GATHERED = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64), 512
 
 
 @cache
@@ -49,6 +51,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _halves(kind: np.dtype) -> np.ndarray:
+    """Factors of the gates' scores: the sigmoid of x is computed by the tanh of x / 2."""
+    return np.repeat(np.array([0.5, 1], kind), [2 * HIDDEN, HIDDEN])
+
+
 def _exp(z: np.ndarray) -> np.ndarray:
     """exp in place, and its sum for each row; scores beyond 60 either way count as that, so no row has to be shifted."""
     np.clip(z, -60, 60, out=z)
@@ -60,7 +67,7 @@ def _errors(z: np.ndarray, at: np.ndarray, total: float) -> np.ndarray:
     """The softmax of each row less one at a place, over ``total``; ``z`` is overwritten."""
     all_ = _exp(z)
     all_ *= total
-    z /= all_[:, None]
+    z *= np.reciprocal(all_, out=all_)[:, None]
     z[np.arange(len(z)), at] -= 1 / total
     return z
 
@@ -104,36 +111,49 @@ def _runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Runs:
-    """Products of rows with the matrix of their group; the groups are sorted.
+    """Products of rows with the matrix of their group; the rows are sorted by group.
 
-    A group of many rows has a product of its own, all others are stacked by their number of rows.
+    Groups are filled up to one of SIZES by their last row, and those of a size are stacked; a group of more rows has a product of its own.
+    ``each`` and ``n``: groups and their numbers of rows, by size.
     """
 
     def __init__(self, group: np.ndarray):
-        self.each, first, self.n = _runs(group)
-        n = self.n
-        many = np.flatnonzero(n >= MANY)
-        self.large = list(zip(self.each[many].tolist(), first[many].tolist(), (first + n)[many].tolist(), many.tolist(), strict=True))
-        self.small = [(own[at : at + GATHERED], place[at : at + GATHERED]) for own, place in _by_size(first, n) for at in range(0, len(own), GATHERED)]
+        each, first, n = _runs(group)
+        size = np.searchsorted(SIZES, n)
+        order = np.argsort(size, kind="stable")
+        self.each, self.n, first = each[order], n[order], first[order]
+        edges = np.searchsorted(size[order], np.arange(len(SIZES) + 1)).tolist()
+        self.large = [(self.each[j], first[j], first[j] + self.n[j], j) for j in range(edges[-1], len(each))]
+        self.small = []
+        for most, begin, end in zip(SIZES, edges[:-1], edges[1:], strict=True):
+            for at in range(begin, end, GATHERED):
+                own, inside = slice(at, min(at + GATHERED, end)), np.arange(most)
+                last = self.n[own, None] - 1
+                self.small.append((own, first[own, None] + np.minimum(inside, last), inside <= last))
 
     def scores(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         z = np.empty((len(h), w.shape[2]), np.result_type(h, w))
         for c, begin, end, _ in self.large:
             np.matmul(h[begin:end], w[c], out=z[begin:end])
-        for own, place in self.small:
-            z[place] = np.matmul(h[place], w[self.each[own]])
+        for own, place, _ in self.small:
+            z[place] = np.matmul(h.take(place, 0), w.take(self.each[own], 0))
         return z
 
     def gradients(self, h: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the groups' weights, and of ``h``, from those of the scores."""
-        gw, dh = np.empty((len(self.each), *w.shape[1:]), d.dtype), np.empty_like(h)
+        """Of the groups' weights, and of ``h`` but for its ones, from those of the scores."""
+        gw, dh = np.empty((len(self.each), *w.shape[1:]), d.dtype), np.empty((len(h), HIDDEN), h.dtype)
         for c, begin, end, j in self.large:
             np.matmul(h[begin:end].T, d[begin:end], out=gw[j])
-            np.matmul(d[begin:end], w[c].T, out=dh[begin:end])
-        for own, place in self.small:
-            error = d[place]
-            gw[own] = np.matmul(h[place].transpose(0, 2, 1), error)
-            dh[place] = np.matmul(error, w[self.each[own]].transpose(0, 2, 1))
+            np.matmul(d[begin:end], w[c, :HIDDEN].T, out=dh[begin:end])
+        for own, place, real in self.small:
+            rows, error, matrix = h.take(place, 0), d.take(place, 0), w.take(self.each[own], 0)[:, :HIDDEN]
+            if place.shape[1] == 1:  # as products these would take five times as long
+                dh[place] = np.matmul(error, matrix.transpose(0, 2, 1))
+                np.einsum("ni,nj->nij", rows[:, 0], error[:, 0], out=gw[own])
+            else:
+                dh[place] = np.matmul(matrix, np.ascontiguousarray(error.transpose(0, 2, 1))).transpose(0, 2, 1)
+                error *= real[:, :, None]
+                np.matmul(rows.transpose(0, 2, 1), error, out=gw[own])
         return gw, dh
 
 
@@ -149,7 +169,7 @@ class Gru:
         while CLASS ** (self.levels + 1) < self.words:
             self.levels += 1
         self.moments, self.squares, self.met, self.seen = {}, {}, {}, 0
-        self._given: np.ndarray | None = None
+        self._gates: np.ndarray | None = None
         self._room: tuple = None, []
         rng = np.random.default_rng(seed)
         shape = {"e": (self.words + 1, EMBEDDING), "wx": (EMBEDDING, 3 * HIDDEN), "wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "bn": (HIDDEN,), "w0": (HIDDEN + 1, CLASS + 1)}
@@ -176,7 +196,7 @@ class Gru:
             n = self.p[k].size
             self.p[k] = flat[at : at + n].reshape(self.p[k].shape).astype(np.float32)
             at += n
-        self._given = None
+        self._gates = None
         return self
 
     def changes(self, before: Gru):
@@ -190,7 +210,18 @@ class Gru:
         """What each token adds to the gates."""
         return self.p["e"] @ self.p["wx"] + self.p["b"]
 
+    def _joint(self) -> np.ndarray:
+        """One matrix of all that a step multiplies: gates by (input, state, one), with the state's part of the last gate by itself."""
+        p, k, n = self.p, HIDDEN, EMBEDDING
+        out = np.zeros((4 * k, n + k + 1), p["wh"].dtype)
+        out[: 3 * k, :n], out[: 3 * k, -1] = p["wx"].T, p["b"]
+        out[: 2 * k, n:-1], out[3 * k :, n:-1] = p["wh"][:, : 2 * k].T, p["wh"][:, 2 * k :].T
+        out[3 * k :, -1] = p["bn"]
+        out[: 2 * k] *= 0.5
+        return out
+
     def step(self, gates: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The states after ``h``, a row for each lane; the plain form of what ``score`` and ``_touched`` compute in place."""
         k = HIDDEN
         own = h @ self.p["wh"]
         zr = _sigmoid(gates[:, : 2 * k] + own[:, : 2 * k])
@@ -215,7 +246,7 @@ class Gru:
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logs; for the rare token (number ``words``) that of its place at the root alone."""
         order = self._order(target)
-        h, goal = _and_one(h[order]), target[order]
+        h, goal = _and_one(h.take(order, 0)), target[order]
         n = int(np.searchsorted(goal, self.words))
         own = _log_of(h @ self.p["w0"], self._root(goal))
         for w, of, at in self._below(goal[:n]):
@@ -224,43 +255,60 @@ class Gru:
         out[order] = own
         return out
 
-    def score(self, tokens: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 15) -> np.ndarray:
+    def score(self, tokens: np.ndarray, lengths: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
         """Natural log-likelihood of each text with its end. ``tokens``: all texts in a row, without ends.
 
         Texts are lanes, the longest first; all lanes that still have a token take
-        a step together and keep their state to the end of their text. Hidden
+        a step together and keep their state to the end of their text. There are as many steps as the
+        longest text has tokens, so many texts should be scored at once. Hidden
         states are gathered in windows for the output layer.
         """
-        if self._given is None:
-            self._given = self.inputs()
+        if self._gates is None:
+            self._gates = self._joint()
+        k, joint, e = HIDDEN, self._gates, self.p["e"]
         order = np.argsort(-lengths, kind="stable")
         begins, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
-        gates, out = self._given, np.zeros(len(lengths))
-        h = np.zeros((len(lengths), HIDDEN), gates.dtype)
+        out = np.zeros(len(lengths))
+        seen = np.zeros((joint.shape[1], len(lengths)), joint.dtype)  # input, state and a one, for each lane
+        seen[-1] = 1
         reach = -np.arange(int(size[0]) + 2 if len(size) else 0)
         active = np.searchsorted(-size, reach, "right").tolist()  # lanes with at least t tokens
-        states, targets, held, begin = [], [], [], 0
+        states, targets = np.empty((max(at_once, len(lengths)), k), joint.dtype), np.empty(max(at_once, len(lengths)), np.int32)
+        held, begin = [], 0
 
         def flush() -> None:
-            found = self.log_probabilities(np.concatenate(states), np.concatenate(targets))
+            found = self.log_probabilities(states[:begin], targets[:begin])
             at = 0
             for m in held:
                 out[:m] += found[at : at + m]
                 at += m
-            states.clear(), targets.clear(), held.clear()
+            held.clear()
 
-        given = np.zeros(len(lengths), tokens.dtype)
+        given = np.zeros(len(lengths), np.int32)
         for t, m in enumerate(active[:-1]):
-            h = self.step(gates[given[:m]], h[:m])
-            k = active[t + 1]  # the first k lanes have a next token; the others end here
-            given = np.zeros(m, tokens.dtype)
-            given[:k] = tokens[begins[:k] + t]
-            states.append(h), targets.append(given), held.append(m)
-            begin += m
-            if begin >= at_once:
+            if begin + m > len(states):
                 flush()
                 begin = 0
-        if states:
+            seen[:EMBEDDING, :m] = e.take(given[:m], 0).T
+            z, h = joint @ seen[:, :m], seen[EMBEDDING:-1, :m]
+            share, new = z[: 2 * k], z[3 * k :]
+            np.tanh(share, out=share)
+            share *= 0.5
+            share += 0.5
+            new *= share[k:]
+            new += z[2 * k : 3 * k]
+            np.tanh(new, out=new)
+            h -= new
+            h *= share[:k]
+            h += new
+            n = active[t + 1]  # the first n lanes have a next token; the others end here
+            given = targets[begin : begin + m]
+            given[n:] = 0
+            given[:n] = tokens[begins[:n] + t]
+            states[begin : begin + m] = h.T
+            held.append(m)
+            begin += m
+        if held:
             flush()
         result = np.zeros(len(lengths))
         result[order] = out
@@ -270,6 +318,7 @@ class Gru:
         """One pass over all of a stream of texts (tokens, then 0, for each) by truncated backpropagation through time; what it has learnt of step sizes goes on from call to call."""
         if not len(stream):
             return
+        self._gates = None
         lanes = int(np.clip(len(stream) // 256, 1, LANES))
         long = -(-len(stream) // lanes)
         target = np.full(lanes * long, -1, stream.dtype)  # the last lane ends with fewer than ``lanes`` steps without a target
@@ -291,7 +340,8 @@ class Gru:
                     total = self.squares[k][rows] + np.einsum("ij,ij->i", flat, flat) / flat.shape[1]
                     self.squares[k][rows] = total
                     flat *= (-ROW_RATE / np.sqrt(total + np.float32(1e-20)))[:, None]
-                    self.p[k][rows] += g
+                    g += self.p[k].take(rows, 0)
+                    self.p[k][rows] = g
                     continue
                 first, second = self.moments[k]
                 first += np.float32(0.1) * (g - first)
@@ -311,40 +361,42 @@ class Gru:
         p, k = self.p, HIDDEN
         steps, lanes = given.shape
         kind = np.result_type(h, p["wh"])
-        x = p["e"][given.reshape(-1)]
-        gates = x @ p["wx"]
-        gates += p["b"]
-        gates = gates.reshape(steps, lanes, 3 * k)
-        live = (given != 0)[:, :, None].astype(kind)  # 0: a text begins
+        # Lanes come last, so that what belongs to a gate is in one piece.
+        x = p["e"].take(given, 0)
+        half = _halves(kind)
+        gates = np.matmul((p["wx"] * half).T, x.transpose(0, 2, 1))
+        gates += (p["b"] * half)[:, None]
+        wh, bn = np.ascontiguousarray((p["wh"] * half).T), p["bn"][:, None]
+        live = (given != 0)[:, None, :].astype(kind)  # 0: a text begins
         before, hs, zr, inner, n, to_gates, to_own = self._space(steps, lanes, kind)
+        h = h.T
         for t in range(steps):
             old, new, share, out = before[t], n[t], zr[t], hs[t]
             np.multiply(h, live[t], out=old)
-            own = old @ p["wh"]
-            np.add(gates[t, :, : 2 * k], own[:, : 2 * k], out=share)
-            share *= 0.5
+            own = wh @ old
+            np.add(gates[t, : 2 * k], own[: 2 * k], out=share)
             np.tanh(share, out=share)
             share *= 0.5
             share += 0.5
-            np.add(own[:, 2 * k :], p["bn"], out=inner[t])
-            np.multiply(share[:, k:], inner[t], out=new)
-            new += gates[t, :, 2 * k :]
+            np.add(own[2 * k :], bn, out=inner[t])
+            np.multiply(share[k:], inner[t], out=new)
+            new += gates[t, 2 * k :]
             np.tanh(new, out=new)
             np.subtract(old, new, out=out)
-            out *= share[:, :k]
+            out *= share[:k]
             out += new
             h = out
         g, rows = {}, {}
-        flat, goal = _and_one(hs.reshape(-1, k)), target.reshape(-1)
+        flat, goal = _and_one(hs.transpose(0, 2, 1).reshape(-1, k)), target.reshape(-1)
         total = kind.type((goal >= 0).sum())
         d = _errors(flat @ p["w0"], self._root(goal), total)
         d[goal < 0] = 0
         g["w0"] = flat.T @ d
-        dh = d @ p["w0"].T
+        dh = d @ p["w0"][:k].T
         order = self._order(goal)
         known = order[: np.searchsorted(np.where(goal < 0, self.words, goal)[order], self.words)]
         if len(known):
-            own, ahead = flat[known], np.zeros((len(known), k + 1), kind)
+            own, ahead = flat.take(known, 0), np.zeros((len(known), k), kind)
             for w, of, at in self._below(goal[known]):
                 runs = _Runs(of)
                 d = _errors(runs.scores(own, p[w]), at, total)
@@ -352,42 +404,43 @@ class Gru:
                 rows[w] = runs.each, gw, runs.n
                 ahead += more
             dh[known] += ahead
-        dh = np.ascontiguousarray(dh[:, :k]).reshape(hs.shape)
-        back = np.zeros((lanes, k), kind)
+        dh = np.ascontiguousarray(dh.reshape(steps, lanes, k).transpose(0, 2, 1))
+        back = np.zeros((k, lanes), kind)
         for t in range(steps - 1, -1, -1):
-            z, r, new = zr[t, :, :k], zr[t, :, k:], n[t]
+            z, r, new = zr[t, :k], zr[t, k:], n[t]
             d = dh[t]
             d += back
             of_gates, of_own = to_gates[t], to_own[t]
-            dn, rest = of_gates[:, 2 * k :], 1 - z
+            dn, rest = of_gates[2 * k :], 1 - z
             np.multiply(new, new, out=dn)
             np.subtract(1, dn, out=dn)
             dn *= rest
             dn *= d
             rest *= z
             rest *= before[t] - new
-            np.multiply(rest, d, out=of_gates[:, :k])
+            np.multiply(rest, d, out=of_gates[:k])
             np.subtract(1, r, out=rest)
             rest *= r
             rest *= inner[t]
-            np.multiply(rest, dn, out=of_gates[:, k : 2 * k])
-            of_own[:, : 2 * k] = of_gates[:, : 2 * k]
-            np.multiply(dn, r, out=of_own[:, 2 * k :])
-            back = of_own @ p["wh"].T
+            np.multiply(rest, dn, out=of_gates[k : 2 * k])
+            of_own[: 2 * k] = of_gates[: 2 * k]
+            np.multiply(dn, r, out=of_own[2 * k :])
+            back = p["wh"] @ of_own
             d *= z
             back += d
             back *= live[t]
-        to_gates, to_own = to_gates.reshape(-1, 3 * k), to_own.reshape(-1, 3 * k)
-        g["b"], g["bn"] = to_gates.sum(0), to_own[:, 2 * k :].sum(0)
-        g["wx"], g["wh"] = x.T @ to_gates, before.reshape(-1, k).T @ to_own
-        de, order = to_gates @ p["wx"].T, self._order(given.reshape(-1))
+        g["b"], g["bn"] = to_gates.sum((0, 2)), to_own[:, 2 * k :].sum((0, 2))
+        by_lane = to_gates.transpose(0, 2, 1)
+        g["wx"] = np.matmul(x.transpose(0, 2, 1), by_lane).sum(0)
+        g["wh"] = np.matmul(before, to_own.transpose(0, 2, 1)).sum(0)
+        de, order = np.matmul(by_lane, p["wx"].T).reshape(-1, EMBEDDING), self._order(given.reshape(-1))
         each, begin, times = _runs(given.reshape(-1)[order])
-        rows["e"] = (each, _sums(de[order], begin, times), times)
+        rows["e"] = (each, _sums(de.take(order, 0), begin, times), times)
         rows |= {name: (slice(None), v, int(total)) for name, v in g.items()}
-        return rows, h.copy()
+        return rows, h.T.copy()
 
     def _space(self, steps: int, lanes: int, kind: np.dtype) -> list[np.ndarray]:
         """Room for what the steps of a window compute, kept from window to window."""
         if (steps, lanes, kind) != self._room[0]:
-            self._room = (steps, lanes, kind), [np.empty((steps, lanes, w * HIDDEN), kind) for w in (1, 1, 2, 1, 1, 3, 3)]
+            self._room = (steps, lanes, kind), [np.empty((steps, w * HIDDEN, lanes), kind) for w in (1, 1, 2, 1, 1, 3, 3)]
         return self._room[1]

@@ -303,9 +303,9 @@ def _stated(told: DataFrame, names: list[str], lexicon: Lexicon, weights: np.nda
     def run(batches):
         one_thread()
         model = Gru(*shape, seed=None).load(now.value)
-        for part in steps(batches, "ids", limit=4 << 20):
+        for part in steps(batches, "ids"):
             raw, at = text_bytes(part.column(len(names)))
-            state = model.score(np.frombuffer(raw.tobytes(), kind).astype(np.int32), np.diff(at) // np.dtype(kind).itemsize) / np.log(10)
+            state = model.score(np.frombuffer(raw.tobytes(), kind), np.diff(at) // np.dtype(kind).itemsize) / np.log(10)
             yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [pa.array(state)], names=[*names, "state"])
 
     return map_arrow(source, run, schema)

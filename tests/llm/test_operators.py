@@ -23,7 +23,7 @@ from chronolith.llm import bpe, common, decontaminate, doubling, language, lm, q
 from chronolith.llm.automaton import Rule, Scanner, compile_rules
 from chronolith.llm.common import split_join
 from chronolith.llm.components import components
-from chronolith.llm.gru import HIDDEN, Gru
+from chronolith.llm.gru import HIDDEN, SIZES, Gru, _Runs
 
 SMALL = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -619,6 +619,42 @@ def test_gru_gradients_and_normalisation(n):
     assert m.score(np.concatenate(texts), np.array([3, 0, 1]), at_once=2) == pytest.approx(each)
 
 
+@pytest.mark.parametrize("kind", [np.uint16, np.int32])
+def test_gru_scores_as_its_plain_steps(kind):
+    rng = np.random.default_rng(2)
+    m = Gru(np.ones(304), 3.0, 1)
+    for k in m.p:
+        m.p[k] = m.p[k].astype(np.float64) + rng.normal(0, 0.3, m.p[k].shape)
+    texts = [rng.integers(0, 305, n) for n in (5, 0, 40, 1, 17, 40)]
+    want = []
+    for text in texts:
+        h, states, given = np.zeros((1, HIDDEN)), [], [0, *text]
+        for token in given:
+            h = m.step(m.inputs()[[token]], h)
+            states.append(h)
+        want.append(m.log_probabilities(np.concatenate(states), np.append(text, 0)).sum())
+    tokens, sizes = np.concatenate(texts).astype(kind), np.array([len(t) for t in texts])
+    for at_once in (1, 7, 1 << 16):
+        assert m.score(tokens, sizes, at_once) == pytest.approx(want)
+    m.fit(np.append(texts[2], 0).astype(np.int32))
+    assert abs(m.score(tokens, sizes) - want).min() > 1e-6
+
+
+def test_gru_products_of_classes():
+    """Classes of up to 64 tokens need a product for each of twelve sizes, not one each."""
+    rng = np.random.default_rng(3)
+    n = np.append(rng.permutation(np.arange(1, SIZES[-1] + 1)), SIZES[-1] + 6)
+    group, w = np.repeat(np.arange(len(n)) * 2, n), rng.normal(0, 1, (2 * len(n), HIDDEN + 1, 16))
+    h, d = rng.normal(0, 1, (len(group), HIDDEN + 1)), rng.normal(0, 1, (len(group), 16))
+    runs = _Runs(group)
+    assert len(runs.small) + len(runs.large) == len(SIZES) + 1
+    assert runs.scores(h, w) == pytest.approx(np.einsum("ni,nij->nj", h, w[group]))
+    gw, dh = runs.gradients(h, w, d)
+    assert sorted(runs.each.tolist()) == np.unique(group).tolist() and runs.n.tolist() == n[runs.each // 2].tolist()
+    assert gw == pytest.approx(np.array([h[group == c].T @ d[group == c] for c in runs.each]))
+    assert dh == pytest.approx(np.einsum("nj,nij->ni", d, w[group])[:, :HIDDEN])
+
+
 # Suffix dedup
 
 
